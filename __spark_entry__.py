@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from kinrank import sqlref as Q
+from kinrank.functions import similarity as S
 from kinrank.operators import cochange as co
+from kinrank.operators import pairs as PR
+from kinrank.operators import stats as ST
+from kinrank.plans.features import item_features
 from kinrank.sources import tables as T
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -52,6 +57,75 @@ def q_cochange_recent(spark, d):
     return _rounded(co.cochange_scores(co.cochange_pairs(ch)))
 
 
+# ----------------------------------------------------------- item features
+def _feats(spark, d):
+    return item_features(T.item_paths(spark, d))
+
+
+def q_path_tokens(spark, d):
+    return _feats(spark, d).select("item_id", "path", "path_tokens")
+
+
+def q_names(spark, d):
+    return _feats(spark, d).select("item_id", "stem", "basename", "extensions", "language")
+
+
+def q_domain_tokens(spark, d):
+    return _feats(spark, d).select("item_id", "domain")
+
+
+def q_basename_freq(spark, d):
+    f = _feats(spark, d)
+    return ST.basename_freq(f).crossJoin(F.broadcast(ST.corpus_size(f)))
+
+
+def q_specificity(spark, d):
+    return _rounded(ST.with_specificity(_feats(spark, d)).select("item_id", "basename", "specificity"))
+
+
+def q_recency(spark, d):
+    it = T.item_paths(spark, d).join(T.item_mtimes(spark, d), "item_id", "left")
+    return _rounded(it.crossJoin(F.broadcast(T.as_of_time(spark, d)))
+                    .select("item_id", S.recency(F.col("mtime"), F.col("as_of")).alias("recency")))
+
+
+# ------------------------------------------------ pair signals (co-changed pairs)
+def _pair_rows(spark, d):
+    pairs = co.cochange_pairs(T.changes(spark, d)).select("target", "candidate")
+    return PR.attach_sides(pairs, _feats(spark, d))
+
+
+def q_token_jaccard(spark, d):
+    return _rounded(PR.cheap_signals(_pair_rows(spark, d)).select("target", "candidate", "jaccard_similarity"))
+
+
+def q_domain_sim(spark, d):
+    return _rounded(PR.cheap_signals(_pair_rows(spark, d)).select("target", "candidate", "domain_similarity"))
+
+
+def q_extension_sim(spark, d):
+    return _rounded(PR.cheap_signals(_pair_rows(spark, d))
+                    .select("target", "candidate", "extension_similarity"))
+
+
+def q_name_sim(spark, d):
+    return _rounded(PR.name_similarities(_pair_rows(spark, d))
+                    .select("target", "candidate", "stem_similarity", "filename_similarity"))
+
+
+def q_lev_sim(spark, d):
+    return _rounded(PR.cheap_signals(_pair_rows(spark, d)).select("target", "candidate", "lev_similarity"))
+
+
+def q_path_jw(spark, d):
+    return _rounded(PR.path_jaro_winkler(_pair_rows(spark, d)).select("target", "candidate", "path_jw"))
+
+
+def q_dir_proximity(spark, d):
+    return _rounded(PR.cheap_signals(_pair_rows(spark, d))
+                    .select("target", "candidate", "dir_proximity", "same_directory", "exact_name_match"))
+
+
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
  g AS (SELECT group_id, count(*) AS n FROM ch GROUP BY group_id HAVING count(*) BETWEEN 2 AND 64),
  m AS (SELECT ch.group_id, ch.item, g.n FROM ch JOIN g USING (group_id)),
@@ -67,6 +141,28 @@ _RECENT = """ch0 AS (SELECT l.l_orderkey AS group_id, l.l_partkey AS item, o.o_o
  rg AS (SELECT group_id, max(ts) AS ts FROM ch1 GROUP BY group_id
         ORDER BY ts DESC, group_id DESC LIMIT 400)"""
 
+_IT = f"it AS (SELECT p_partkey AS item_id, {T.PART_PATH_SQL} AS path FROM part)"
+_F = (f"f AS (SELECT item_id, path, {Q.normalize('path')} AS path_tokens, {Q.stem('path')} AS stem, "
+      f"{Q.basename('path')} AS basename, {Q.extensions('path')} AS extensions, "
+      f"{Q.domain('path')} AS domain, {Q.pdir('path')} AS dir, {Q.dirs('path')} AS dirs FROM it)")
+_FS = "fs AS (SELECT *, array_to_string(path_tokens, ' ') AS path_string FROM f)"
+_FREQ = ("fq AS (SELECT basename, count(*) AS freq FROM f WHERE basename <> '' GROUP BY basename), "
+         "tot AS (SELECT count(*) AS total_files FROM f)")
+_MT = ("mt AS (SELECT l_partkey AS item_id, max(o_orderdate) AS mtime FROM lineitem "
+       "JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), "
+       "ao AS (SELECT max(o_orderdate) AS as_of FROM orders)")
+_SIDES = ", ".join(f"t.{c} AS t_{c}, c.{c} AS c_{c}" for c in
+                   ("path", "path_tokens", "path_string", "stem", "basename", "extensions",
+                    "domain", "dir", "dirs"))
+_PR = (f"pr AS (SELECT p.target, p.candidate, {_SIDES} FROM p "
+       f"JOIN fs t ON t.item_id = p.target JOIN fs c ON c.item_id = p.candidate)")
+_PAIRS = f"WITH {_CH}, {_IT}, {_F}, {_FS}, {_PR}"
+
+
+def _r(e, name):
+    return f"round({e}, {DIGITS}) AS {name}"
+
+
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -87,6 +183,34 @@ ORACLE = {
         {_CH.split('),', 1)[1]}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count,
                round(score, {DIGITS}) AS score FROM s""",
+    "path_tokens": f"WITH {_IT}, {_F} SELECT item_id, path, path_tokens FROM f",
+    "names": f"""WITH {_IT}, {_F} SELECT item_id, stem, basename, extensions,
+        'generic' AS language FROM f""",
+    "domain_tokens": f"WITH {_IT}, {_F} SELECT item_id, domain FROM f",
+    "basename_freq": f"WITH {_IT}, {_F}, {_FREQ} SELECT basename, freq, total_files FROM fq, tot",
+    "specificity": f"""WITH {_IT}, {_F}, {_FREQ} SELECT item_id, f.basename,
+        {_r(f"CASE WHEN f.basename = '' THEN 1.0 ELSE {Q.specificity('coalesce(freq, 1)', 'total_files')} END",
+            'specificity')} FROM f LEFT JOIN fq USING (basename), tot""",
+    "recency": f"""WITH {_IT}, {_MT} SELECT item_id, {_r(
+        "CASE WHEN mtime IS NULL OR mtime > as_of THEN 0.0 "
+        "ELSE exp(-((epoch_us(as_of) - epoch_us(mtime)) / 3.6e9) / 69.3) END", 'recency')}
+        FROM it LEFT JOIN mt USING (item_id), ao""",
+    "token_jaccard": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.wjaccard('t_path_tokens', 'c_path_tokens'), 'jaccard_similarity')} FROM pr""",
+    "domain_sim": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.one_sided('t_domain', 'c_domain'), 'domain_similarity')} FROM pr""",
+    "extension_sim": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.one_sided('t_extensions', 'c_extensions'), 'extension_similarity')} FROM pr""",
+    "name_sim": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.name_sim('t_stem', 'c_stem', 0.15), 'stem_similarity')},
+        {_r(Q.name_sim('t_basename', 'c_basename', 0.10), 'filename_similarity')} FROM pr""",
+    "lev_sim": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.lev_sim('t_path_string', 'c_path_string'), 'lev_similarity')} FROM pr""",
+    "path_jw": f"""{_PAIRS} SELECT target, candidate,
+        {_r('jaro_winkler_similarity(t_path_string, c_path_string)', 'path_jw')} FROM pr""",
+    "dir_proximity": f"""{_PAIRS} SELECT target, candidate,
+        {_r(Q.dir_prox('t_dirs', 'c_dirs'), 'dir_proximity')},
+        t_dir = c_dir AS same_directory, t_basename = c_basename AS exact_name_match FROM pr""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -96,6 +220,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "change_type_filter": q_change_type_filter,
     "recent_groups": q_recent_groups,
     "cochange_recent": q_cochange_recent,
+    "path_tokens": q_path_tokens,
+    "names": q_names,
+    "domain_tokens": q_domain_tokens,
+    "basename_freq": q_basename_freq,
+    "specificity": q_specificity,
+    "recency": q_recency,
+    "token_jaccard": q_token_jaccard,
+    "domain_sim": q_domain_sim,
+    "extension_sim": q_extension_sim,
+    "name_sim": q_name_sim,
+    "lev_sim": q_lev_sim,
+    "path_jw": q_path_jw,
+    "dir_proximity": q_dir_proximity,
 }
 
 
