@@ -18,6 +18,7 @@ from kinrank.functions import similarity as S
 from kinrank.operators import cochange as co
 from kinrank.operators import pairs as PR
 from kinrank.operators import stats as ST
+from kinrank.plans import relatedness as RL
 from kinrank.plans.features import item_features
 from kinrank.sources import tables as T
 
@@ -126,6 +127,39 @@ def q_dir_proximity(spark, d):
                     .select("target", "candidate", "dir_proximity", "same_directory", "exact_name_match"))
 
 
+# ------------------------------------------------------------ relatedness
+N_TARGET_GROUPS = 25   # targets: items touched by the newest 25 change groups
+
+
+def _recent_targets(spark, d, n_groups=N_TARGET_GROUPS):
+    ch = co.filter_change_types(T.changes(spark, d, with_time=True))
+    return (ch.join(F.broadcast(co.recent_groups(ch, n_groups).select("group_id")), "group_id", "left_semi")
+            .select(F.col("item").alias("item_id")).distinct())
+
+
+def _relatedness(spark, d, targets, **kw):
+    return RL.relatedness(T.items(spark, d), targets, changes=T.changes(spark, d),
+                          as_of=T.as_of_time(spark, d), **kw)
+
+
+def q_relatedness(spark, d):
+    return _rounded(_relatedness(spark, d, _recent_targets(spark, d)))
+
+
+def q_relatedness_topk(spark, d):
+    return _rounded(_relatedness(spark, d, _recent_targets(spark, d), top_n=10))
+
+
+def q_explain(spark, d):
+    return _rounded(_relatedness(spark, d, _recent_targets(spark, d), top_n=10, explain=True)
+                    .select("target", "candidate", "rank", "labels"))
+
+
+def q_relatedness_all_topk(spark, d):
+    """Every item as a target (exact; quadratic in the corpus)."""
+    return _rounded(_relatedness(spark, d, T.item_paths(spark, d).select("item_id"), top_n=10))
+
+
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
  g AS (SELECT group_id, count(*) AS n FROM ch GROUP BY group_id HAVING count(*) BETWEEN 2 AND 64),
  m AS (SELECT ch.group_id, ch.item, g.n FROM ch JOIN g USING (group_id)),
@@ -163,6 +197,91 @@ def _r(e, name):
     return f"round({e}, {DIGITS}) AS {name}"
 
 
+
+def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool = False) -> str:
+    spec = Q.specificity("coalesce(freq, 1)", "total_files")
+    rec = ("CASE WHEN mtime IS NULL OR mtime > as_of THEN 0.0 "
+           "ELSE exp(-((epoch_us(as_of) - epoch_us(mtime)) / 3.6e9) / 69.3) END")
+    ctok = (r"list_distinct(list_transform(list_filter(string_split_regex(coalesce(content, ''), "
+            r"'[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2), lambda x: lower(x)))")
+    cols = ("path_tokens", "path_string", "stem", "basename", "extensions", "domain", "dir", "dirs",
+            "specificity", "recency", "ctoks")
+    sides = ", ".join(f"t.{c} AS t_{c}, c.{c} AS c_{c}" for c in cols)
+    sv = "t_specificity"
+    cv = "c_specificity"
+    base = (f"domain_similarity * 0.26 * (0.25 + {sv} * 0.75) + jaccard_similarity * 0.18 "
+            f"+ dir_proximity * 0.15 + path_jw * 0.03 + lev_similarity * 0.02 "
+            f"+ (stem_similarity * 0.22 + filename_similarity * 0.12 + extension_similarity * 0.02) "
+            f"* (0.15 + {sv} * 0.85) * (0.35 + {cv} * 0.65) "
+            f"+ CASE WHEN exact_name_match THEN {sv} * {cv} * 0.60 ELSE 0.0 END "
+            f"+ CASE WHEN same_directory THEN (1.0 - {sv}) * 0.30 ELSE 0.0 END")
+    out_cols = ["target", "candidate", _r("total", "total"), _r("domain_similarity", "domain_similarity"),
+                _r("stem_similarity", "stem_similarity"), _r("filename_similarity", "filename_similarity"),
+                _r("jaccard_similarity", "jaccard_similarity"), _r("dir_proximity", "dir_proximity"),
+                "same_directory", "exact_name_match", _r("t_specificity", "target_specificity"),
+                _r("feature_bonus", "feature_bonus"), _r("cochange_bonus", "cochange_bonus"),
+                "cochange_commits", _r("recency_bonus", "recency_bonus"),
+                _r("content_bonus", "content_bonus")]
+    sql = f"""WITH {_CH}, {_IT}, {_F}, {_FS}, {_FREQ}, {_MT},
+      fx AS (SELECT fs.*, CASE WHEN fs.basename = '' THEN 1.0 ELSE {spec} END AS specificity,
+                    {rec} AS recency, {ctok} AS ctoks
+             FROM fs LEFT JOIN fq USING (basename) CROSS JOIN tot LEFT JOIN mt USING (item_id)
+             CROSS JOIN ao LEFT JOIN (SELECT doc_id, text AS content FROM documents) dd
+             ON dd.doc_id = fs.item_id),
+      tg AS ({targets_sql}),
+      pr AS (SELECT t.item_id AS target, c.item_id AS candidate, {sides}
+             FROM fx t JOIN tg ON t.item_id = tg.item_id CROSS JOIN fx c WHERE t.item_id <> c.item_id),
+      sg AS (SELECT pr.*,
+               {Q.one_sided('t_domain', 'c_domain')} AS domain_similarity,
+               {Q.one_sided('t_extensions', 'c_extensions')} AS extension_similarity,
+               {Q.wjaccard('t_path_tokens', 'c_path_tokens')} AS jaccard_similarity,
+               {Q.dir_prox('t_dirs', 'c_dirs')} AS dir_proximity,
+               t_dir = c_dir AS same_directory, t_basename = c_basename AS exact_name_match,
+               {Q.lev_sim('t_path_string', 'c_path_string')} AS lev_similarity,
+               jaro_winkler_similarity(t_path_string, c_path_string) AS path_jw,
+               {Q.name_sim('t_stem', 'c_stem', 0.15)} AS stem_similarity,
+               {Q.name_sim('t_basename', 'c_basename', 0.10)} AS filename_similarity,
+               coalesce(s.score, 0.0) * 0.25 AS cochange_bonus,
+               coalesce(s.commit_count, 0) AS cochange_commits,
+               0.0::DOUBLE AS feature_bonus, c_recency * 0.1 AS recency_bonus
+             FROM pr LEFT JOIN s USING (target, candidate)),
+      b AS (SELECT *, {base} AS base FROM sg),
+      tt AS (SELECT *, CASE WHEN base >= 0.9 THEN {Q.set_jaccard('t_ctoks', 'c_ctoks')} * 0.1
+                            ELSE 0.0 END AS content_bonus FROM b),
+      res AS (SELECT *, base + recency_bonus + content_bonus + feature_bonus + cochange_bonus AS total
+              FROM tt WHERE base + recency_bonus + content_bonus + feature_bonus + cochange_bonus >= 0.3)"""
+    if top_n is None:
+        return sql + f" SELECT {', '.join(out_cols)} FROM res"
+    ranked = (f" SELECT * FROM (SELECT {', '.join(out_cols)}, row_number() OVER (PARTITION BY target "
+              f"ORDER BY total DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}")
+    if not labels:
+        return sql + ranked
+    f2 = lambda c: f"printf('%.2f', {c})"
+    parts = [f"CASE WHEN feature_bonus >= 0.20 THEN 'direct-ref +' || {f2('feature_bonus')} END",
+             f"CASE WHEN cochange_bonus >= 0.08 THEN 'co-change +' || {f2('cochange_bonus')} || ' (' "
+             f"|| cochange_commits || ' commits)' END",
+             "CASE WHEN same_directory AND target_specificity < 0.8 THEN 'same-dir' END",
+             "CASE WHEN exact_name_match AND target_specificity >= 0.8 THEN 'exact-name' END",
+             f"CASE WHEN stem_similarity >= 0.95 AND NOT exact_name_match THEN 'stem ' || "
+             f"{f2('stem_similarity')} END",
+             f"CASE WHEN domain_similarity >= 0.85 THEN 'domain ' || {f2('domain_similarity')} END",
+             f"CASE WHEN filename_similarity >= 0.9 THEN 'filename ' || {f2('filename_similarity')} END",
+             f"CASE WHEN content_bonus >= 0.05 THEN 'content +' || {f2('content_bonus')} END",
+             f"CASE WHEN recency_bonus >= 0.05 THEN 'recent +' || {f2('recency_bonus')} END"]
+    found = f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+    fallback = f"['path ' || {f2('jaccard_similarity')} || ', dir ' || {f2('dir_proximity')}]"
+    return (sql + f""" SELECT target, candidate, rank,
+        CASE WHEN len({found}) > 0 THEN {found} ELSE {fallback} END AS labels
+        FROM (SELECT res.*, t_specificity AS target_specificity, row_number() OVER (PARTITION BY target
+              ORDER BY total DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}""")
+
+
+_TARGETS = f"""SELECT DISTINCT item AS item_id FROM (SELECT l.l_orderkey AS group_id, l.l_partkey AS item
+        FROM lineitem l WHERE l_returnflag <> 'R') x WHERE group_id IN (
+        SELECT group_id FROM (SELECT l.l_orderkey AS group_id, max(o.o_orderdate) AS ts
+          FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l_returnflag <> 'R'
+          GROUP BY 1 ORDER BY ts DESC, group_id DESC LIMIT {N_TARGET_GROUPS}))"""
+
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -211,6 +330,10 @@ ORACLE = {
     "dir_proximity": f"""{_PAIRS} SELECT target, candidate,
         {_r(Q.dir_prox('t_dirs', 'c_dirs'), 'dir_proximity')},
         t_dir = c_dir AS same_directory, t_basename = c_basename AS exact_name_match FROM pr""",
+    "relatedness": _relatedness_sql(_TARGETS),
+    "relatedness_topk": _relatedness_sql(_TARGETS, top_n=10),
+    "explain": _relatedness_sql(_TARGETS, top_n=10, labels=True),
+    "relatedness_all_topk": _relatedness_sql("SELECT p_partkey AS item_id FROM part", top_n=10),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -233,6 +356,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lev_sim": q_lev_sim,
     "path_jw": q_path_jw,
     "dir_proximity": q_dir_proximity,
+    "relatedness": q_relatedness,
+    "relatedness_topk": q_relatedness_topk,
+    "explain": q_explain,
+    "relatedness_all_topk": q_relatedness_all_topk,
 }
 
 
