@@ -38,6 +38,39 @@ def weighted_jaccard(a: Column, b: Column, noise=W.NOISE_TOKENS,
             .otherwise(inter_w / union_w))
 
 
+def hashed_set(tokens: Column) -> Column:
+    """Distinct tokens as 64-bit hashes (once per item): pair jobs then
+    intersect primitive long arrays instead of strings."""
+    return F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))
+
+
+def hashed_words(values) -> Column:
+    return F.array(*[F.xxhash64(F.lit(v)) for v in values])
+
+
+def token_set_weight(hset: Column, noise=W.NOISE_TOKENS, noise_weight=W.NOISE_WEIGHT) -> Column:
+    """Weight of a hashed token set: noise tokens count ``noise_weight``."""
+    return F.size(hset) - (1.0 - noise_weight) * F.size(F.array_intersect(hset, hashed_words(noise)))
+
+
+def weighted_jaccard_pre(a: Column, wa: Column, b: Column, wb: Column, noise=W.NOISE_TOKENS,
+                         noise_weight=W.NOISE_WEIGHT, one_sided_zero: bool = False) -> Column:
+    """J2/J4/J5 over hashed token sets (``hashed_set``) with per-item set
+    weights precomputed (``token_set_weight``).
+
+    Per pair it needs only ``array_intersect`` and sizes (code-generated, no
+    lambdas): I = |A n B| - (1 - w_noise) |A n B n NOISE|, U = Wa + Wb - I.
+    """
+    inter = F.array_intersect(a, b)
+    i_w = F.size(inter) - (1.0 - noise_weight) * F.size(F.array_intersect(inter, hashed_words(noise)))
+    u_w = wa + wb - i_w
+    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
+    out = F.when(both_empty, F.lit(1.0))
+    if one_sided_zero:
+        out = out.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
+    return out.when(u_w <= 0, F.lit(0.0)).otherwise(i_w / u_w)
+
+
 def one_sided_jaccard(a: Column, b: Column, **kw) -> Column:
     """As J2, but exactly one empty side gives 0.0."""
     return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
@@ -172,6 +205,15 @@ def _jw_batch(a, b):
 _JW_UDF = None
 
 
+def _ship_by_value():
+    """Pickle this module's helpers by value, so Python workers need no
+    installed copy of the package (as with --py-files on a cluster)."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def jaro_winkler_arrow(a: Column, b: Column) -> Column:
     """J8 as an Arrow-batched pandas UDF.
 
@@ -183,5 +225,6 @@ def jaro_winkler_arrow(a: Column, b: Column) -> Column:
     """
     global _JW_UDF
     if _JW_UDF is None:
+        _ship_by_value()
         _JW_UDF = F.pandas_udf(_jw_batch, "double")
     return _JW_UDF(a, b)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import similarity as S
 
 FEATURE_COLUMNS = ("path_tokens", "path_string", "stem", "basename", "extensions",
-                   "domain", "dir", "dirs", "language")
+                   "domain", "dir", "dirs", "language", "path_set", "path_w", "domain_set",
+                   "domain_w", "ext_set", "ext_w")
 
 
 def item_features(items: DataFrame) -> DataFrame:
@@ -24,4 +26,12 @@ def item_features(items: DataFrame) -> DataFrame:
             .withColumn("domain", P.domain_tokens(p))
             .withColumn("dir", P.parent_dir(p))
             .withColumn("dirs", P.dir_parts(p))
-            .withColumn("language", P.language(p)))
+            .withColumn("language", P.language(p))
+            # Distinct token sets and their weights, once per item, so pair
+            # jobs compute weighted Jaccard without per-pair lambdas.
+            .withColumn("path_set", S.hashed_set(F.col("path_tokens")))
+            .withColumn("path_w", S.token_set_weight(F.col("path_set")))
+            .withColumn("domain_set", S.hashed_set(F.col("domain")))
+            .withColumn("domain_w", S.token_set_weight(F.col("domain_set")))
+            .withColumn("ext_set", S.hashed_set(F.col("extensions")))
+            .withColumn("ext_w", S.token_set_weight(F.col("ext_set"))))
