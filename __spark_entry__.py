@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from kinrank import sqlref as Q
 from kinrank.functions import similarity as S
 from kinrank.operators import cochange as co
+from kinrank.operators import content as CT
 from kinrank.operators import pairs as PR
 from kinrank.operators import stats as ST
 from kinrank.plans import relatedness as RL
@@ -160,6 +161,27 @@ def q_relatedness_all_topk(spark, d):
     return _rounded(_relatedness(spark, d, T.item_paths(spark, d).select("item_id"), top_n=10))
 
 
+# ---------------------------------------------------------------- content
+def q_content_tokens(spark, d):
+    toks = CT.document_tokens(T.read_table(spark, d, "documents"))
+    return toks.select(F.col("id").alias("doc_id"), F.size("tokens").alias("n_tokens"),
+                       F.array_sort("tokens").alias("tokens"))
+
+
+def _content_join(spark, d, t):
+    sets = CT.document_tokens(T.read_table(spark, d, "documents"))
+    return _rounded(CT.similarity_join(sets, t).select(
+        F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "intersection", "jaccard"))
+
+
+def q_content_jaccard(spark, d):
+    return _content_join(spark, d, 0.5)
+
+
+def q_content_neardup(spark, d):
+    return _content_join(spark, d, 0.8)
+
+
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
  g AS (SELECT group_id, count(*) AS n FROM ch GROUP BY group_id HAVING count(*) BETWEEN 2 AND 64),
  m AS (SELECT ch.group_id, ch.item, g.n FROM ch JOIN g USING (group_id)),
@@ -282,6 +304,21 @@ _TARGETS = f"""SELECT DISTINCT item AS item_id FROM (SELECT l.l_orderkey AS grou
           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l_returnflag <> 'R'
           GROUP BY 1 ORDER BY ts DESC, group_id DESC LIMIT {N_TARGET_GROUPS}))"""
 
+_DT = (r"dt AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split_regex("
+       r"coalesce(text, ''), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2), lambda x: lower(x))) AS toks "
+       r"FROM documents)")
+
+
+def _content_sql(t: float) -> str:
+    return f"""WITH {_DT},
+      pr AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, len(a.toks) AS na, len(b.toks) AS nb,
+                    len(list_intersect(a.toks, b.toks)) AS intersection
+             FROM dt a JOIN dt b ON a.doc_id < b.doc_id
+             WHERE len(a.toks) > 0 AND len(b.toks) > 0
+               AND len(b.toks) >= len(a.toks) * {t} AND len(a.toks) >= len(b.toks) * {t})
+      SELECT doc_a, doc_b, intersection, round(intersection / (na + nb - intersection), {DIGITS}) AS jaccard
+      FROM pr WHERE intersection / (na + nb - intersection) >= {t}"""
+
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -330,6 +367,10 @@ ORACLE = {
     "dir_proximity": f"""{_PAIRS} SELECT target, candidate,
         {_r(Q.dir_prox('t_dirs', 'c_dirs'), 'dir_proximity')},
         t_dir = c_dir AS same_directory, t_basename = c_basename AS exact_name_match FROM pr""",
+    "content_tokens": f"""WITH {_DT} SELECT doc_id, len(toks) AS n_tokens, list_sort(toks) AS tokens
+        FROM dt""",
+    "content_jaccard": _content_sql(0.5),
+    "content_neardup": _content_sql(0.8),
     "relatedness": _relatedness_sql(_TARGETS),
     "relatedness_topk": _relatedness_sql(_TARGETS, top_n=10),
     "explain": _relatedness_sql(_TARGETS, top_n=10, labels=True),
@@ -356,6 +397,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lev_sim": q_lev_sim,
     "path_jw": q_path_jw,
     "dir_proximity": q_dir_proximity,
+    "content_tokens": q_content_tokens,
+    "content_jaccard": q_content_jaccard,
+    "content_neardup": q_content_neardup,
     "relatedness": q_relatedness,
     "relatedness_topk": q_relatedness_topk,
     "explain": q_explain,
