@@ -17,7 +17,10 @@ from kinrank import sqlref as Q
 from kinrank.functions import similarity as S
 from kinrank.operators import cochange as co
 from kinrank.operators import content as CT
+from kinrank.operators import overlap as OV
 from kinrank.operators import pairs as PR
+from kinrank.operators import php as PHP
+from kinrank.operators import refs as RF
 from kinrank.operators import stats as ST
 from kinrank.plans import relatedness as RL
 from kinrank.plans.features import item_features
@@ -182,6 +185,37 @@ def q_content_neardup(spark, d):
     return _content_join(spark, d, 0.8)
 
 
+# ------------------------------------------------------------- references
+def _code_lines(spark, d):
+    return RF.content_lines(T.code_items(spark, d))
+
+
+def _page_lines(spark, d):
+    pages = T.read_table(spark, d, "pages").select(
+        F.col("page_id").alias("item_id"), F.lit("page.html").alias("path"), F.col("html").alias("content"))
+    return RF.content_lines(pages)
+
+
+def q_quoted_refs(spark, d):
+    code = RF.generic_ref_edges(_code_lines(spark, d)).withColumn("source", F.lit("code"))
+    pages = RF.generic_ref_edges(_page_lines(spark, d)).withColumn("source", F.lit("page"))
+    return code.unionByName(pages)
+
+
+def q_import_refs(spark, d):
+    return RF.language_ref_edges(_code_lines(spark, d))
+
+
+def q_php_refs(spark, d):
+    return PHP.php_ref_edges(_code_lines(spark, d))
+
+
+def q_ref_overlap(spark, d):
+    lines = _code_lines(spark, d)
+    refs = RF.generic_ref_edges(lines).unionByName(RF.language_ref_edges(lines))
+    return _rounded(OV.ref_overlap(refs, _feats(spark, d)))
+
+
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
  g AS (SELECT group_id, count(*) AS n FROM ch GROUP BY group_id HAVING count(*) BETWEEN 2 AND 64),
  m AS (SELECT ch.group_id, ch.item, g.n FROM ch JOIN g USING (group_id)),
@@ -319,6 +353,25 @@ def _content_sql(t: float) -> str:
       SELECT doc_a, doc_b, intersection, round(intersection / (na + nb - intersection), {DIGITS}) AS jaccard
       FROM pr WHERE intersection / (na + nb - intersection) >= {t}"""
 
+_CI = f"ci AS (SELECT p_partkey AS item_id, {T.CODE_PATH_SQL} AS path, {T.CODE_CONTENT_SQL} AS content FROM part)"
+
+
+def _lines(src: str, name: str) -> str:
+    line = Q.trim_ws("regexp_replace(raw, '\\r$', '')")
+    return (f"{name} AS (SELECT item_id, path, {line} AS line FROM (SELECT item_id, path, "
+            f"unnest(string_split(coalesce(content, ''), chr(10))) AS raw FROM {src}))")
+
+
+_PG = "pg AS (SELECT page_id AS item_id, 'page.html' AS path, html AS content FROM pages)"
+_QR = (f"qr AS (SELECT * FROM (SELECT item_id, 'quoted' AS kind, {Q.uri_tokens('q')} AS tokens, "
+       f"1.0::DOUBLE AS weight FROM (SELECT item_id, unnest({Q.quoted('line')}) AS q FROM ln)) "
+       f"WHERE tokens IS NOT NULL)")
+_IR = (f"ir AS (SELECT item_id, lang AS kind, unnest(refs) AS tokens, 1.0::DOUBLE AS weight FROM ("
+       f"SELECT item_id, lang, CASE lang WHEN 'python' THEN {Q.python_refs('line')} "
+       f"WHEN 'rust' THEN {Q.rust_refs('line')} WHEN 'java' THEN {Q.java_refs('line')} "
+       f"ELSE {Q.csharp_refs('line')} END AS refs FROM (SELECT *, {Q.language('path')} AS lang FROM ln) "
+       f"WHERE lang IN ('python', 'rust', 'java', 'csharp')))")
+
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -371,6 +424,17 @@ ORACLE = {
         FROM dt""",
     "content_jaccard": _content_sql(0.5),
     "content_neardup": _content_sql(0.8),
+    "quoted_refs": f"""WITH {_CI}, {_lines('ci', 'ln')}, {_QR},
+        {_PG}, {_lines('pg', 'pl')}, {_QR.replace('qr AS', 'qp AS').replace('FROM ln', 'FROM pl')}
+        SELECT *, 'code' AS source FROM qr UNION ALL SELECT *, 'page' AS source FROM qp""",
+    "import_refs": f"WITH {_CI}, {_lines('ci', 'ln')}, {_IR} SELECT * FROM ir",
+    "ref_overlap": f"""WITH {_CI}, {_lines('ci', 'ln')}, {_QR}, {_IR}, {_IT}, {_F},
+        rf AS (SELECT DISTINCT item_id AS target, tokens, weight FROM (SELECT * FROM qr UNION ALL SELECT * FROM ir)),
+        sc AS (SELECT rf.target, c.item_id AS candidate, rf.weight,
+                      len(list_filter(rf.tokens, lambda x: list_contains(c.path_tokens, x))) / len(rf.tokens) AS share
+               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id AND len(rf.tokens) > 0)
+        SELECT target, candidate, round(max(least(share * weight, 1.5)), {DIGITS}) AS bonus
+        FROM sc WHERE share >= 0.5 GROUP BY target, candidate""",
     "relatedness": _relatedness_sql(_TARGETS),
     "relatedness_topk": _relatedness_sql(_TARGETS, top_n=10),
     "explain": _relatedness_sql(_TARGETS, top_n=10, labels=True),
@@ -400,6 +464,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_tokens": q_content_tokens,
     "content_jaccard": q_content_jaccard,
     "content_neardup": q_content_neardup,
+    "quoted_refs": q_quoted_refs,
+    "import_refs": q_import_refs,
+    "php_refs": q_php_refs,
+    "ref_overlap": q_ref_overlap,
     "relatedness": q_relatedness,
     "relatedness_topk": q_relatedness_topk,
     "explain": q_explain,

@@ -80,3 +80,37 @@ def changes(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFr
     od = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("group_id"), F.col("o_orderdate").alias("ts"))
     return li.join(od, "group_id")
+
+
+# Source files derived from parts, one language per p_size % 5, with import /
+# use / view lines that name other parts' types and names.  Text built with
+# chr() so the same SQL runs in Spark and DuckDB.
+CODE_PATH_SQL = (
+    "concat('code/', lower(p_type), '/', replace(p_name, ' ', '_'), "
+    "CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.java' "
+    "WHEN 3 THEN '.cs' ELSE '.php' END)"
+)
+CODE_CONTENT_SQL = (
+    "CASE p_size % 5 "
+    "WHEN 0 THEN concat('from ', lower(p_type), '.', replace(p_name, ' ', '_'), ' import Thing', chr(10), "
+    "'# import skipped', chr(10), 'import ', split_part(p_name, ' ', 2), ' as alias', chr(10), "
+    "'path = ', chr(39), lower(p_type), '/', replace(p_name, ' ', '/'), '.ts', chr(39)) "
+    "WHEN 1 THEN concat('use crate::', lower(p_type), '::', replace(p_name, ' ', '_'), '::Item;', chr(10), "
+    "'mod ', split_part(p_name, ' ', 2), ';', chr(10), '// use skipped::line;') "
+    "WHEN 2 THEN concat('import static com.acme.', lower(p_type), '.', replace(p_name, ' ', '.'), ';', "
+    "chr(10), 'import java.util.*;', chr(10), 'import ', lower(p_type), '.', split_part(p_name, ' ', 2), "
+    "'.*;') "
+    "WHEN 3 THEN concat('using ', p_type, '.', replace(p_name, ' ', '.'), ';', chr(10), 'using System;', "
+    "chr(10), 'using Alias = ', split_part(p_name, ' ', 1), '.', p_type, ';') "
+    "ELSE concat('<?php', chr(10), 'use App', chr(92), 'Models', chr(92), split_part(p_name, ' ', 2), ';', "
+    "chr(10), '$view = ', chr(39), lower(p_type), '.', replace(p_name, ' ', '_'), chr(39), ';', chr(10), "
+    "'return view($view);', chr(10), '<x-', replace(p_name, ' ', '-'), ' />', chr(10), "
+    "'return to_route(', chr(39), split_part(p_name, ' ', 2), '.show', chr(39), ');') END"
+)
+
+
+def code_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, path, content): one source file per part."""
+    return read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item_id"), F.expr(CODE_PATH_SQL).alias("path"),
+        F.expr(CODE_CONTENT_SQL).alias("content"))

@@ -116,3 +116,102 @@ def specificity(freq: str, total: str) -> str:
     idf = f"ln(1 + {total} / ({freq} - 1.0)) / ln(1 + {total})"
     return (f"(CASE WHEN {total} <= 1 THEN 1.0::DOUBLE WHEN {freq} <= 2 THEN 1.0::DOUBLE "
             f"ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, pow({idf}, 2))) END)")
+
+
+# ------------------------------------------------------------ references
+def trim_ws(s: str) -> str:
+    return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _tok_flat(parts: str) -> str:
+    return f"flatten(list_transform({parts}, lambda g: {tokenize('g')}))"
+
+
+def _nonempty_split(s: str, sep_regex: str) -> str:
+    return f"list_filter(string_split_regex({s}, '{sep_regex}'), lambda g: g <> '')"
+
+
+def _drop(toks: str, stop=()) -> str:
+    cond = "strlen(y) >= 2" + (f" AND NOT list_contains({lst(stop)}, y)" if stop else "")
+    return f"list_filter({toks}, lambda y: {cond})"
+
+
+def uri_tokens(v: str) -> str:
+    s = trim_ws(v)
+    ext = " OR ".join(f"starts_with({s}, '{p}')" for p in W.EXTERNAL_PREFIXES)
+    path = f"regexp_extract(regexp_extract({s}, '^([^?]*)', 1), '^([^#]*)', 1)"
+    seg_tokens = tokenize("split_part(g, '.', 1)")
+    slash = _drop(f"flatten(list_transform(list_filter(string_split({path}, '/'), lambda g: g <> ''), "
+                  f"lambda g: {seg_tokens}))", W.NOISE_TOKENS)
+    nophp = f"regexp_replace(regexp_replace({s}, '(\\.php)+$', ''), '(\\.PHP)+$', '')"
+    back = _drop(_tok_flat(f"list_filter(string_split({nophp}, chr(92)), lambda g: g <> '')"), W.NOISE_TOKENS)
+    dot_ok = (f"(contains({s}, '.') AND NOT contains({s}, ' ') AND NOT contains({s}, '/') "
+              f"AND NOT contains({s}, chr(92)) AND list_bool_and(list_transform(string_split({s}, '.'), "
+              f"lambda g: strlen(g) >= 2 AND regexp_full_match(g, '[\\p{{L}}\\p{{N}}_]+') "
+              f"AND NOT regexp_full_match(g, '[0-9]+'))))")
+    dots = _drop(_tok_flat(f"list_filter(string_split({s}, '.'), lambda g: g <> '')"))
+    toks = (f"(CASE WHEN {s} = '' OR {ext} THEN NULL WHEN contains({s}, '/') THEN {slash} "
+            f"WHEN contains({s}, chr(92)) THEN {back} WHEN {dot_ok} THEN {dots} END)")
+    return f"(CASE WHEN len({toks}) >= 2 THEN {toks} END)"
+
+
+def module_tokens(p: str, extra=()) -> str:
+    return _drop(_tok_flat(_nonempty_split(p, "[.:\\\\]")), (*W.NOISE_TOKENS, *extra))
+
+
+def quoted(line: str) -> str:
+    found = f"regexp_extract_all({line}, '\"[^\"\\n]*\"|''[^''\\n]*''|[\"''][^\\n]*')"
+    return (f"list_transform(list_filter({found}, lambda q: length(q) >= 2 AND right(q, 1) = left(q, 1)), "
+            f"lambda q: substring(q, 2, length(q) - 2))")
+
+
+def language(path: str) -> str:
+    name = fname(path)
+    ext = f"(CASE WHEN regexp_full_match({name}, '\\.?[^.]*') THEN '' ELSE regexp_extract({name}, '[^.]*$') END)"
+    cases = " ".join(f"WHEN {ext} = '{e}' THEN '{lang}'" for e, lang in W.LANGUAGE_BY_EXTENSION.items())
+    return f"(CASE {cases} ELSE 'generic' END)"
+
+
+def python_refs(line: str) -> str:
+    rest = trim_ws(f"regexp_replace(substr({line}, 6), '^[.]+', '')")
+    w = f"string_split_regex({rest}, '\\s+')"
+    from_form = (f"(CASE WHEN {w}[1] = 'import' AND {w}[2] IS NOT NULL THEN regexp_replace({w}[2], ',+$', '') "
+                 f"WHEN {w}[2] = 'import' AND {w}[1] <> 'import' THEN {w}[1] END)")
+    imp = trim_ws(f"split_part(split_part(substr({line}, 8), ',', 1), ' as ', 1)")
+    m = (f"(CASE WHEN starts_with({line}, '#') THEN NULL WHEN starts_with({line}, 'from ') THEN {from_form} "
+         f"WHEN starts_with({line}, 'import ') THEN {imp} END)")
+    t = module_tokens(m)
+    return f"(CASE WHEN {m} <> '' AND len({t}) > 0 THEN [{t}] ELSE [] END)"
+
+
+def rust_refs(line: str) -> str:
+    rest = f"substr({line}, 5)"
+    path = trim_ws(f"regexp_replace(split_part(regexp_replace({rest}, ';+$', ''), '{{', 1), '(::)+$', '')")
+    segs = f"list_filter(string_split({path}, '::'), lambda g: g <> '')"
+    module = f"array_to_string({segs}[1:len({segs}) - 1], '::')"
+    mod_t = module_tokens(module, W.RUST_NOISE)
+    full_t = module_tokens(path, W.RUST_NOISE)
+    use_refs = (f"list_filter([CASE WHEN len({segs}) >= 2 AND len({mod_t}) > 0 THEN {mod_t} END, "
+                f"CASE WHEN len({full_t}) > 0 THEN {full_t} END], lambda r: r IS NOT NULL)")
+    name = trim_ws(f"regexp_replace(substr({line}, 5), ';+$', '')")
+    mt = _drop(tokenize(name))
+    mod_refs = f"(CASE WHEN NOT contains({name}, '{{') AND len({mt}) > 0 THEN [{mt}] ELSE [] END)"
+    return (f"(CASE WHEN starts_with({line}, '//') THEN [] WHEN starts_with({line}, 'use ') THEN {use_refs} "
+            f"WHEN starts_with({line}, 'mod ') THEN {mod_refs} ELSE [] END)")
+
+
+def java_refs(line: str) -> str:
+    rest = f"regexp_replace(substr({line}, 8), '^static ', '')"
+    path = trim_ws(f"regexp_replace(regexp_replace({rest}, ';+$', ''), '(\\.\\*)+$', '')")
+    t = module_tokens(path, W.JAVA_NOISE)
+    return (f"(CASE WHEN NOT starts_with({line}, '//') AND NOT starts_with({line}, '*') "
+            f"AND starts_with({line}, 'import ') AND len({t}) >= 2 THEN [{t}] ELSE [] END)")
+
+
+def csharp_refs(line: str) -> str:
+    rest = f"regexp_replace(substr({line}, 7), '^static ', '')"
+    after = f"(CASE WHEN contains({rest}, ' = ') THEN substr({rest}, strpos({rest}, ' = ') + 3) ELSE {rest} END)"
+    path = trim_ws(f"regexp_replace({after}, ';+$', '')")
+    t = module_tokens(path, W.CSHARP_NOISE)
+    return (f"(CASE WHEN NOT starts_with({line}, '//') AND NOT starts_with({line}, '*') "
+            f"AND starts_with({line}, 'using ') AND len({t}) >= 2 THEN [{t}] ELSE [] END)")
