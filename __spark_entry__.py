@@ -309,7 +309,7 @@ def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool =
     if top_n is None:
         return sql + f" SELECT {', '.join(out_cols)} FROM res"
     ranked = (f" SELECT * FROM (SELECT {', '.join(out_cols)}, row_number() OVER (PARTITION BY target "
-              f"ORDER BY total DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}")
+              f"ORDER BY round(total, 9) DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}")
     if not labels:
         return sql + ranked
     f2 = lambda c: f"printf('%.2f', {c})"
@@ -329,7 +329,7 @@ def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool =
     return (sql + f""" SELECT target, candidate, rank,
         CASE WHEN len({found}) > 0 THEN {found} ELSE {fallback} END AS labels
         FROM (SELECT res.*, t_specificity AS target_specificity, row_number() OVER (PARTITION BY target
-              ORDER BY total DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}""")
+              ORDER BY round(total, 9) DESC, candidate) AS rank FROM res) WHERE rank <= {top_n}""")
 
 
 _TARGETS = f"""SELECT DISTINCT item AS item_id FROM (SELECT l.l_orderkey AS group_id, l.l_partkey AS item
@@ -381,7 +381,7 @@ ORACLE = {
     "cochange_topk": f"""WITH {_CH}
         SELECT * FROM (SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count,
                commit_count, round(score, {DIGITS}) AS score,
-               row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM s)
+               row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, candidate) AS rank FROM s)
         WHERE rank <= 10""",
     "change_type_filter": """SELECT l_orderkey AS group_id, l_partkey AS item, change_type FROM (
         SELECT *, CASE l_returnflag WHEN 'R' THEN 'D' WHEN 'A' THEN 'A' ELSE 'M' END AS change_type
