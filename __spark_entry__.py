@@ -24,6 +24,7 @@ from kinrank.operators import refs as RF
 from kinrank.operators import stats as ST
 from kinrank.plans import relatedness as RL
 from kinrank.plans.features import item_features
+from kinrank.sources import loaders as LD
 from kinrank.sources import tables as T
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -216,6 +217,16 @@ def q_ref_overlap(spark, d):
     return _rounded(OV.ref_overlap(refs, _feats(spark, d)))
 
 
+# ------------------------------------------------------------- exclusions
+# An ignore list: generated declaration files and one vendor folder.
+EXCLUDE_PATTERNS = (r"\.d\.ts$", r"^src/promo/")
+
+
+def q_exclusions_anti(spark, d):
+    pats = spark.createDataFrame([(p,) for p in EXCLUDE_PATTERNS], "pattern string")
+    return LD.exclude(T.item_paths(spark, d), pats)
+
+
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
  g AS (SELECT group_id, count(*) AS n FROM ch GROUP BY group_id HAVING count(*) BETWEEN 2 AND 64),
  m AS (SELECT ch.group_id, ch.item, g.n FROM ch JOIN g USING (group_id)),
@@ -435,6 +446,8 @@ ORACLE = {
                FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id AND len(rf.tokens) > 0)
         SELECT target, candidate, round(max(least(share * weight, 1.5)), {DIGITS}) AS bonus
         FROM sc WHERE share >= 0.5 GROUP BY target, candidate""",
+    "exclusions_anti": f"""WITH {_IT} SELECT item_id, path FROM it
+        WHERE NOT regexp_matches(path, '\\.d\\.ts$') AND NOT regexp_matches(path, '^src/promo/')""",
     "relatedness": _relatedness_sql(_TARGETS),
     "relatedness_topk": _relatedness_sql(_TARGETS, top_n=10),
     "explain": _relatedness_sql(_TARGETS, top_n=10, labels=True),
@@ -468,6 +481,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_refs": q_import_refs,
     "php_refs": q_php_refs,
     "ref_overlap": q_ref_overlap,
+    "exclusions_anti": q_exclusions_anti,
     "relatedness": q_relatedness,
     "relatedness_topk": q_relatedness_topk,
     "explain": q_explain,

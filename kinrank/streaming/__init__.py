@@ -1,0 +1 @@
+"""Incremental co-change maintenance with Structured Streaming."""
