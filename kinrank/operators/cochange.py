@@ -57,16 +57,21 @@ def clean_groups(changes: DataFrame, min_size: int = W.MIN_GROUP,
 
 
 def cochange_pairs(changes: DataFrame, min_size: int = W.MIN_GROUP,
-                   max_size: int = W.MAX_GROUP) -> DataFrame:
+                   max_size: int = W.MAX_GROUP, targets: DataFrame | None = None) -> DataFrame:
     """A5: for every ordered pair of distinct items sharing a group, the sum
     of 1/sqrt(group size) and the number of groups.
 
     The self-join is on group_id after the size filter, so each group emits
     at most max_size * (max_size - 1) rows; the pair sums use partial
     aggregation.  Returns (target, candidate, weighted_count, commit_count).
+
+    ``targets`` (item ids, column ``item_id``) limits the left side to those
+    items; group sizes still count every item, so the scores are unchanged.
     """
     g = clean_groups(changes, min_size, max_size)
     left = g.select("group_id", F.col("item").alias("target"), "n")
+    if targets is not None:
+        left = left.join(targets.select(F.col("item_id").alias("target")).distinct(), "target", "left_semi")
     right = g.select("group_id", F.col("item").alias("candidate"))
     return (left.join(right, "group_id")
             .where(F.col("target") != F.col("candidate"))

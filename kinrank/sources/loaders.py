@@ -37,12 +37,14 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return relativize(df.withColumn("item_id", F.xxhash64("path")), root)
 
 
-def exclude(items: DataFrame, patterns: DataFrame, col: str = "path") -> DataFrame:
+def exclude(items: DataFrame, patterns: DataFrame, col: str = "path",
+            max_broadcast_rules: int = 10_000) -> DataFrame:
     """Drop items whose path matches any regex in ``patterns(pattern)``.
 
-    Rule lists are small by nature (an ignore file), so they are broadcast
-    into a non-equi anti join."""
-    return items.join(F.broadcast(patterns), F.expr(f"`{col}` RLIKE pattern"), "left_anti")
+    Rule lists are small by nature (an ignore file); the list is broadcast
+    into the non-equi anti join only after its row count is checked."""
+    rules = F.broadcast(patterns) if patterns.count() <= max_broadcast_rules else patterns
+    return items.join(rules, F.expr(f"`{col}` RLIKE pattern"), "left_anti")
 
 
 def parse_changelog(spark: SparkSession, path: str, marker: str = COMMIT_MARKER) -> DataFrame:
