@@ -29,3 +29,15 @@ def test_oracle_agreement(spark, name):
     res = duck(SF).execute(E.oracle_sql()[name])
     c2, r2 = canon([d[0] for d in res.description], res.fetchall())
     assert c1 == c2 and r1 == r2
+
+
+def test_all_targets_exact_topk(spark):
+    """Every item against every item (quadratic), on the smallest data set."""
+    sys.path.insert(0, os.path.join(ROOT, "tools"))
+    import __spark_entry__ as E
+    from oracle_check import canon, duck
+    sdf = E.q_relatedness_all_topk(spark, SF)
+    c1, r1 = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
+    res = duck(SF).execute(E.ALL_TARGETS_SQL)
+    c2, r2 = canon([d[0] for d in res.description], res.fetchall())
+    assert c1 == c2 and r1 == r2
