@@ -491,6 +491,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# Training-data operators: present only if their subpackage is.
+try:
+    from kinrank.llm.queries import ORACLE as _LLM_ORACLE
+    from kinrank.llm.queries import QUERIES as _LLM_QUERIES
+except ImportError:
+    _LLM_QUERIES, _LLM_ORACLE = {}, {}
+QUERIES.update(_LLM_QUERIES)
+ORACLE.update(_LLM_ORACLE)
+try:
+    import corpus_pipeline
+except ImportError:
+    pass
+else:
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: each part's 10 most co-purchased parts (co-change top-k)."""
     return q_cochange_topk(spark, SMOKE_DIR)
