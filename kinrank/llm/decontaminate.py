@@ -110,11 +110,11 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int):
         yield docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()]), at == blocks - 1
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_words, spans, items): merged word ranges hit by any window, for every document row."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, keep_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, spans, items[, text]): merged word ranges hit by any window, for every document row."""
     kind, out, first = dict(docs.dtypes)["doc_id"], docs.select("doc_id", "text"), True
     for sent, last in _blocks(docs, benchmark, n):
-        out = _scan(out, sent, kind, first, last)
+        out = _scan(out, sent, kind, first, with_text=keep_text or not last)
         out, first = out if last else written(out), False
     return out
 
@@ -136,36 +136,31 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> D
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, text): the texts with every hit span cut out, from its first to its last word."""
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text")
-    for sent, last in _blocks(docs, benchmark, n):
-        def run(batches, sent=sent):
-            import pyarrow as pa
-            block = _Block(sent.value)
-            for b in batches:
-                texts = [_cut(block, text) for some in text_batches(b, "text") for text in some]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-        out = out.mapInArrow(run, f"doc_id {kind}, text string")
-        out = out if last else written(out)
-    return out
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            spans = iter(b.column(b.schema.get_field_index("spans")).to_pylist())
+            texts = [_cut(text, next(spans)) for some in text_batches(b, "text") for text in some]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return (contamination(docs, benchmark, n, keep_text=True).select("doc_id", "spans", "text")
+            .mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string"))
 
 
-def _cut(block: _Block, text: str | None):
+def _cut(text: str | None, spans: list[dict]):
     import re
-    hits = block.find(words(text))[0]
-    if not hits:
+    if not spans:
         return text
     data = text.encode()
     places = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", data.lower())]
     out, at = [], 0
-    for s in _merged([(i, i + n - 1) for i, n in hits]):
+    for s in spans:
         out.append(data[at:places[s["first"]][0]])
         at = places[s["last"]][1]
     return b"".join([*out, data[at:]]).decode()
 
 
-def _scan(docs: DataFrame, sent, kind: str, first: bool, last: bool) -> DataFrame:
-    """One pass: adds a block's hits to those of earlier passes; the text goes along until the last."""
+def _scan(docs: DataFrame, sent, kind: str, first: bool, with_text: bool) -> DataFrame:
+    """One pass: adds a block's hits to those of earlier passes; the text goes along where asked for."""
     def run(batches):
         import pyarrow as pa
         block = _Block(sent.value)
@@ -187,10 +182,10 @@ def _scan(docs: DataFrame, sent, kind: str, first: bool, last: bool) -> DataFram
             arrays = [col("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, span),
                       pa.array(items, pa.list_(pa.string()))]
             names = ["doc_id", "n_words", "spans", "items"]
-            if not last:
+            if with_text:
                 arrays.append(col("text")), names.append("text")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-    return docs.mapInArrow(run, HITS.format(id=kind) + ("" if last else ", text string"))
+    return docs.mapInArrow(run, HITS.format(id=kind) + (", text string" if with_text else ""))
 
 
 def _merged(ranges):

@@ -11,7 +11,8 @@ is near-duplicate removal's business, and stays whole.
 
 Defined cases: a null text has no lines and stays null; empty and blank lines
 are never boilerplate; a null site counts as no site; repeated rows are
-decided alike; columns besides doc_id, text and the site pass through.
+decided alike; columns besides doc_id, text and the site pass through (but
+for those named like the three counts that are added).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ BAND = 6 * 1.04 / 2 ** (LG_K / 2)  # six standard errors
 BLANK = " \t\r"
 KEY = ["_h1", "_h2"]               # of a line
 DOC = ["_doc", "_t1", "_t2"]       # of a document: its id and its text
+ADDED = ["_n_lines", "_n_boilerplate", "_n_removed"]
 
 
 def _clean(line: Column) -> Column:
@@ -67,21 +69,22 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
              .select(*DOC, "_pos", *_hashes(F.col("_line"), KEY)))
     hits = (lines.join(found, KEY, "left_semi")
             .groupBy(*DOC).agg(F.collect_set("_pos").alias("_hit")))   # at most the lines of one text
-    keyed = docs.select(*docs.columns, *_doc_key())
-    all_lines = F.split("text", "\n")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), *_doc_key())    # no name of `docs` can clash
+    text = F.col("_row.text")
+    all_lines = F.split(text, "\n")
     size = lambda lines: F.length(F.regexp_replace(F.array_join(lines, ""), r"\s", ""))
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains("_hit", i))
     hit = F.col("_hit").isNotNull()
-    cleaned = (keyed.join(hits, DOC, "left")
+    cleaned = (whole.join(hits, DOC, "left")
                .withColumn("_kept", F.when(hit, kept))
                .withColumn("_go", hit & (size(F.col("_kept")) >= (1 - max_share) * size(all_lines))))
     count = F.coalesce(F.size("_hit"), F.lit(0))
     return cleaned.select(
-        *[F.when(F.col("_go"), F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text")
-          if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).alias("_n_lines"),
-        F.when(hit, count).otherwise(0).alias("_n_boilerplate"),
-        F.when(F.col("_go"), count).otherwise(0).alias("_n_removed"))
+        *[F.when(F.col("_go"), F.array_join("_kept", "\n")).otherwise(text).alias("text")
+          if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED],
+        F.when(text.isNull(), 0).otherwise(F.size(all_lines)).alias(ADDED[0]),
+        F.when(hit, count).otherwise(0).alias(ADDED[1]),
+        F.when(F.col("_go"), count).otherwise(0).alias(ADDED[2]))
 
 
 def line_dedup_sql(min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> str:

@@ -65,3 +65,11 @@ def text_batches(batch, column: str, rows: int = 256):
     values = batch.column(batch.schema.get_field_index(column))
     for at in range(0, len(values), rows):
         yield values.slice(at, rows).to_pylist()
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """`name`, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

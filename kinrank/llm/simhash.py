@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinrank.llm.graph import components
-from kinrank.llm.shared import text_batches, written
+from kinrank.llm.shared import free_name, text_batches, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -285,17 +285,18 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     found = written(near_duplicates(docs, shingle, distance))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = (docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one))
-             .where("_row = 1").select(*docs.columns))
+    row, fp = free_name("_row", docs), free_name("_fp", docs)
+    named = (docs.join(first, "doc_id", "left_semi").withColumn(row, F.row_number().over(one))
+             .where(F.col(row) == 1).select(*docs.columns))
 
     def keyed(batches):
         import pyarrow as pa
         for b in batches:
             out = [fingerprint(t, shingle) for texts in text_batches(b, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, fp])
     from pyspark.sql.types import LongType, StructField, StructType
     nameless = (docs.where("doc_id is null")
-                .mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-                .join(found.where("component_id is null").select(F.col("fp").alias("_fp")).distinct(), "_fp", "left_semi")
+                .mapInArrow(keyed, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+                .join(found.where("component_id is null").select(F.col("fp").alias(fp)).distinct(), fp, "left_semi")
                 .select(*docs.columns))
     return named.unionByName(nameless)

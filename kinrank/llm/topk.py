@@ -111,7 +111,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     pivots: dict[int, np.ndarray] = {}
     for r in sample:
         pivots.setdefault(len(r["v"]), []).append(r["v"])
-    pivots = {n: np.unique(np.array([[0.0] * n, *rows], float).reshape(-1, n), axis=0) for n, rows in pivots.items()}
+    pivots = {n: np.unique(np.array([[0.0] * n, *rows], float), axis=0) if n else np.zeros((1, 0))
+              for n, rows in pivots.items()}
     placed = written(_cells(vectors, pivots))
     row = F.struct("v", "dim", "cell", "d", "norm")
     queries = placed.where(is_query).groupBy("vec_id").agg(F.max(row).alias("r")).select("vec_id", "r.*")

@@ -36,9 +36,9 @@ RECORD = ("record_id string, type string, date string, target_uri string, concur
           "payload_digest string, fields map<string,string>, payload binary")
 
 
-def record_id(page_id, serial: int, kind: str) -> str:
+def record_id(page_id, sha1: str, serial: int, kind: str) -> str:
     import uuid
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{serial}/{kind}')}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{sha1}/{serial}/{kind}')}>"
 
 
 def _record(kind: str, own: str, headers: list[tuple[str, str]], block: str) -> str:
@@ -88,24 +88,25 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
 
 
 def _capture(row: dict, html: str, digest: str) -> list[str]:
-    page, serial, url = row["page_id"], row["serial"], _header_value(row["url"])
-    own = record_id(page, serial, "response")
+    page, url = row["page_id"], _header_value(row["url"])
+    name = lambda kind: record_id(page, row["sha1"], row["serial"], kind)
+    own = name("response")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}{END}"
     headers = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"),
                ("Content-Type", "application/http; msgtype=response")]
     if row["is_revisit"]:
         headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("WARC-Refers-To", record_id(row["first"], 1, "response"))]
+                    ("WARC-Refers-To", record_id(row["first"], row["sha1"], 1, "response"))]
         main = _record("revisit", own, headers, http)
     else:
         main = _record("response", own, headers, http + html)
     linked = [("WARC-Target-URI", url), ("WARC-Concurrent-To", own)]
     get = f"GET {url} HTTP/1.1\r\nAccept: */*{END}"
     about = f"page_id: {'' if page is None else page}\r\n"
-    return [_record("request", record_id(page, serial, "request"),
+    return [_record("request", name("request"),
                     [*linked, ("Content-Type", "application/http; msgtype=request")], get),
             main,
-            _record("metadata", record_id(page, serial, "metadata"),
+            _record("metadata", name("metadata"),
                     [*linked, ("Content-Type", "application/warc-fields")], about)]
 
 
