@@ -19,8 +19,8 @@ Defined cases: vectors that are null, or hold a null or non-finite component,
 and rows without vec_id take no part; only vectors of equal length meet; rows
 that repeat a vec_id count once per query (with their best score); a query
 with no candidate has no rows; ties go to the smaller vec_id.  Scores are
-computed in double precision where that is exact, else as integers; extra
-columns stay out of the result.
+computed in double precision where that is exact, else as integers, and beyond
+the range of a long count as its end; extra columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -151,6 +151,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         out = []
         for at in range(0, len(qi), 256):
             scores = qv[at:at + 256] @ xv.T
+            if not exact:
+                scores = np.clip(scores, -(2 ** 63), 2 ** 63 - 1)
             for i, row in zip(qi[at:at + 256].tolist(), scores):
                 live = np.flatnonzero(xi != i)
                 if len(live) > 4 * k and exact:            # keep whatever ties with the k-th of distinct ids

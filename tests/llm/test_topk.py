@@ -17,7 +17,7 @@ def brute(rows, k, every):
             continue
         best = []
         for i, xs in vec.items():
-            s = [sum(a * b for a, b in zip(max(qs), x)) for x in xs if len(x) == len(max(qs))]
+            s = [min(max(sum(a * b for a, b in zip(max(qs), x)), -2 ** 63), 2 ** 63 - 1) for x in xs if len(x) == len(max(qs))]
             if i != q and s:
                 best.append((-max(s), i))
         out |= {(q, n, i, -s) for n, (s, i) in enumerate(sorted(best)[:k], 1)}
