@@ -24,6 +24,7 @@ from kinrank.operators import refs as RF
 from kinrank.operators import stats as ST
 from kinrank.plans import relatedness as RL
 from kinrank.plans.features import item_features
+from kinrank.session import shared_dir
 from kinrank.sources import loaders as LD
 from kinrank.sources import tables as T
 
@@ -120,7 +121,7 @@ def q_name_sim(spark, d):
 
 
 def q_lev_sim(spark, d):
-    return _rounded(PR.cheap_signals(_pair_rows(spark, d)).select("target", "candidate", "lev_similarity"))
+    return _rounded(PR.path_levenshtein(_pair_rows(spark, d)).select("target", "candidate", "lev_similarity"))
 
 
 def q_path_jw(spark, d):
@@ -133,17 +134,23 @@ def q_dir_proximity(spark, d):
 
 
 # ------------------------------------------------------------ relatedness
-N_TARGET_GROUPS = 25   # targets: items touched by the newest 25 change groups
+TARGET_HOURS = 48          # targets: items changed within this time before the newest change
+HISTORY = 400              # change groups that count
 
 
-def _recent_targets(spark, d, n_groups=N_TARGET_GROUPS):
+def _history(spark, d):
+    return co.limit_history(co.filter_change_types(T.changes(spark, d, with_time=True)), HISTORY)
+
+
+def _recent_targets(spark, d, hours=TARGET_HOURS):
+    newest = T.as_of_time(spark, d).first()["as_of"]
     ch = co.filter_change_types(T.changes(spark, d, with_time=True))
-    return (ch.join(F.broadcast(co.recent_groups(ch, n_groups).select("group_id")), "group_id", "left_semi")
+    return (ch.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {hours} HOURS"))
             .select(F.col("item").alias("item_id")).distinct())
 
 
 def _relatedness(spark, d, targets, **kw):
-    return RL.relatedness(T.items(spark, d), targets, changes=T.changes(spark, d),
+    return RL.relatedness(T.items(spark, d), targets, changes=_history(spark, d),
                           as_of=T.as_of_time(spark, d), **kw)
 
 
@@ -176,15 +183,23 @@ def q_content_tokens(spark, d):
 
 def _content_join(spark, d, t):
     sets = CT.document_tokens(T.read_table(spark, d, "documents"))
-    return _rounded(CT.similarity_join(sets, t).select(
-        F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "intersection", "jaccard"))
+    pairs, _ = CT.similarity_join(sets, t)
+    return _rounded(pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "intersection", "jaccard"))
+
+
+def q_content_classes(spark, d):
+    """Documents with equal word sets: the smallest doc_id names the class."""
+    return CT.set_classes(CT.document_tokens(T.read_table(spark, d, "documents"))).select(
+        F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
 
 
 def q_content_jaccard(spark, d):
+    """Pairs of classes (by their smallest doc_id); `content_classes` has the members."""
     return _content_join(spark, d, 0.5)
 
 
 def q_content_neardup(spark, d):
+    """As content_jaccard, at 0.8."""
     return _content_join(spark, d, 0.8)
 
 
@@ -210,13 +225,23 @@ def q_import_refs(spark, d):
 
 
 def q_php_refs(spark, d):
-    return PHP.php_ref_edges(_code_lines(spark, d))
+    return PHP.php_ref_edges(T.code_items(spark, d))
+
+
+def q_php_use_class_component(spark, d):
+    return PHP.php_name_edges(_code_lines(spark, d))
+
+
+def q_php_view_route(spark, d):
+    return PHP.php_hinted_edges(_code_lines(spark, d))
+
+
+def q_php_values(spark, d):
+    return PHP.php_value_edges(T.code_items(spark, d))
 
 
 def q_ref_overlap(spark, d):
-    lines = _code_lines(spark, d)
-    refs = RF.generic_ref_edges(lines).unionByName(RF.language_ref_edges(lines))
-    return _rounded(OV.ref_overlap(refs, _feats(spark, d)))
+    return _rounded(OV.ref_overlap(RF.ref_edges(T.code_items(spark, d)), _feats(spark, d)))
 
 
 # ------------------------------------------------------------- exclusions
@@ -225,8 +250,14 @@ EXCLUDE_PATTERNS = (r"\.d\.ts$", r"^src/promo/")
 
 
 def q_exclusions_anti(spark, d):
-    pats = spark.createDataFrame([(p,) for p in EXCLUDE_PATTERNS], "pattern string")
-    return LD.exclude(T.item_paths(spark, d), pats)
+    return LD.exclude(T.item_paths(spark, d), EXCLUDE_PATTERNS)
+
+
+def q_changelog_parse(spark, d):
+    """A change log written from the orders (newest first), parsed again."""
+    path = shared_dir(spark)
+    T.write_changelog(spark, d, path)
+    return LD.parse_changelog(spark, path).select("group_id", "line_no", "item")
 
 
 _CH = f"""ch AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem),
@@ -267,6 +298,74 @@ def _r(e, name):
 
 
 
+_CI = f"ci AS (SELECT p_partkey AS item_id, {T.CODE_PATH_SQL} AS path, {T.CODE_CONTENT_SQL} AS content FROM part)"
+
+
+def _lines(src: str, name: str) -> str:
+    line = Q.trim_ws("regexp_replace(raw, '\\r$', '')")
+    return (f"{name} AS (SELECT item_id, path, {line} AS line FROM (SELECT item_id, path, "
+            f"unnest(string_split(coalesce(content, ''), chr(10))) AS raw FROM {src}))")
+
+
+_PG = "pg AS (SELECT page_id AS item_id, 'page.html' AS path, html AS content FROM pages)"
+_QR = (f"qr AS (SELECT * FROM (SELECT item_id, 'quoted' AS kind, {Q.uri_tokens('q')} AS tokens, "
+       f"1.0::DOUBLE AS weight FROM (SELECT item_id, unnest({Q.quoted('line')}) AS q FROM ln)) "
+       f"WHERE tokens IS NOT NULL)")
+_IR = (f"ir AS (SELECT item_id, lang AS kind, unnest(refs) AS tokens, 1.0::DOUBLE AS weight FROM ("
+       f"SELECT item_id, lang, CASE lang WHEN 'python' THEN {Q.python_refs('line')} "
+       f"WHEN 'rust' THEN {Q.rust_refs('line')} WHEN 'java' THEN {Q.java_refs('line')} "
+       f"ELSE {Q.csharp_refs('line')} END AS refs FROM (SELECT *, {Q.language('path')} AS lang FROM ln) "
+       f"WHERE lang IN ('python', 'rust', 'java', 'csharp')))")
+_PHP_NAMES = f"""SELECT item_id, 'php_use' AS kind, unnest({Q.php_use('line')}) AS tokens, 1.05::DOUBLE AS weight FROM pln
+      UNION ALL SELECT item_id, 'php_class', unnest({Q.php_class('line')}), 1.25 FROM pln
+      UNION ALL SELECT item_id, 'php_component', unnest({Q.php_component('line')}), 1.35 FROM pln"""
+_PHP_HINTED = f"""SELECT item_id, 'php_view' AS kind, unnest({Q.php_quoted('line', 'views')}) AS tokens, 1.40::DOUBLE AS weight
+      FROM pln WHERE {Q.php_hinted('line', Q.VIEW_MARKS)}
+      UNION ALL SELECT item_id, 'php_route', unnest({Q.php_quoted('line', 'routes')}), 1.15
+      FROM pln WHERE {Q.php_hinted('line', ['route('])}
+      UNION ALL SELECT item_id, 'php_route_file', ['routes', 'web'], 1.10 FROM pln WHERE {Q.php_hinted('line', ['route('])}"""
+_PHP_LINES = f"""pln AS (SELECT item_id, line, rn FROM (SELECT item_id, path, line, rn FROM lno) WHERE {Q.language('path')} = 'php'
+      AND {Q.php_live('line')})"""
+
+
+def _numbered(src: str) -> str:
+    line = Q.trim_ws("regexp_replace(raw, '\\r$', '')")
+    return (f"lno AS (SELECT item_id, path, {line} AS line, rn FROM (SELECT item_id, path, "
+            f"unnest(string_split(coalesce(content, ''), chr(10))) AS raw, "
+            f"unnest(range(len(string_split(coalesce(content, ''), chr(10))))) AS rn FROM {src}))")
+
+
+# Assignments of a literal, of a variable, and of a literal before a variable; then calls with a
+# variable (first in its argument), a literal before a variable, and a literal, wrapped or not.
+_ENV = r"""r0 AS (SELECT item_id, rn, m[1] AS v, m[2] AS value FROM (SELECT *, regexp_extract_all(line, '^\$(\w+) = ''([^'']*)'';$', 1) || regexp_extract_all(line, '^\$(\w+) = ''([^'']*)'';$', 2) AS m FROM pln) WHERE len(m) = 2),
+      a1 AS (SELECT item_id, rn, regexp_extract(line, '^\$(\w+) = ', 1) AS v, regexp_extract(line, '^\$\w+ = \$(\w+);$', 1) AS src FROM pln),
+      r1 AS (SELECT a.item_id, a.rn, a.v, r.value FROM (SELECT * FROM a1 WHERE src <> '') a
+             ASOF JOIN r0 r ON a.item_id = r.item_id AND a.src = r.v AND a.rn >= r.rn),
+      r01 AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1),
+      a2 AS (SELECT item_id, rn, regexp_extract(line, '^\$(\w+) = ', 1) AS v, regexp_extract(line, '^\$\w+ = ''([^'']*)'' \. \$\w+;$', 1) AS lit,
+                    regexp_extract(line, '^\$\w+ = ''[^'']*'' \. \$(\w+);$', 1) AS src FROM pln),
+      r2 AS (SELECT a.item_id, a.rn, a.v, a.lit || r.value AS value FROM (SELECT * FROM a2 WHERE src <> '') a
+             ASOF JOIN r01 r ON a.item_id = r.item_id AND a.src = r.v AND a.rn >= r.rn),
+      env AS (SELECT * FROM r01 UNION ALL SELECT * FROM r2),
+      u AS (SELECT item_id, rn, regexp_extract(line, 'view\(\$(\w+)', 1) AS v, '' AS lit FROM pln
+            UNION ALL SELECT item_id, rn, regexp_extract(line, 'view\(''[^'']*'' \. \$(\w+)\)', 1),
+                             regexp_extract(line, 'view\(''([^'']*)'' \. ', 1) FROM pln),
+      vals AS (SELECT u.item_id, 'php_view' AS kind, 'views' AS ctx, 1.40::DOUBLE AS weight, u.lit || e.value AS value
+               FROM (SELECT * FROM u WHERE v <> '') u ASOF JOIN env e ON u.item_id = e.item_id AND u.v = e.v AND u.rn >= e.rn
+               UNION ALL SELECT item_id, 'php_view', 'views', 1.40, value FROM (SELECT item_id,
+                 regexp_extract(line, 'view\(\(*''([^'']*)''\)*\)', 1) AS value FROM pln) WHERE value <> ''
+               UNION ALL SELECT item_id, 'php_route', 'routes', 1.15, value FROM (SELECT item_id,
+                 regexp_extract(line, 'to_route\(''([^'']*)''\)', 1) AS value, unnest([1, 2]) AS needle FROM pln) WHERE value <> '')"""
+_PHP_VALUES = f"""SELECT item_id, kind, {Q.dedup_adjacent(f"list_concat([ctx], {Q.uri_tokens('value')})")} AS tokens, weight FROM vals"""
+
+
+def _all_refs(src: str) -> str:
+    """rf: the distinct references of the items of `src`, all languages."""
+    return f"""{_lines(src, 'ln')}, {_numbered(src)}, {_PHP_LINES}, {_ENV}, {_QR}, {_IR},
+      rf AS (SELECT DISTINCT item_id AS target, tokens, weight FROM (SELECT * FROM qr UNION ALL SELECT * FROM ir
+             UNION ALL {_PHP_NAMES} UNION ALL {_PHP_HINTED} UNION ALL {_PHP_VALUES}) WHERE len(tokens) > 0)"""
+
+
 def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool = False) -> str:
     spec = Q.specificity("coalesce(freq, 1)", "total_files")
     rec = ("CASE WHEN mtime IS NULL OR mtime > as_of THEN 0.0 "
@@ -291,13 +390,18 @@ def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool =
                 _r("feature_bonus", "feature_bonus"), _r("cochange_bonus", "cochange_bonus"),
                 "cochange_commits", _r("recency_bonus", "recency_bonus"),
                 _r("content_bonus", "content_bonus")]
-    sql = f"""WITH {_CH}, {_IT}, {_F}, {_FS}, {_FREQ}, {_MT},
+    sql = f"""WITH {_RECENT}, ch AS (SELECT DISTINCT group_id, item FROM ch1 WHERE group_id IN (SELECT group_id FROM rg)),
+      {_CH.split('),', 1)[1]}, {_IT}, {_F}, {_FS}, {_FREQ}, {_MT}, tg AS ({targets_sql}),
+      pc AS (SELECT p_partkey AS item_id, {T.PART_PATH_SQL} AS path, {T.PART_CONTENT_SQL} AS content FROM part),
+      tc AS (SELECT pc.* FROM pc JOIN tg USING (item_id)), {_all_refs('tc')},
+      fb AS (SELECT target, candidate, max(least(share * weight, 1.5)) AS bonus FROM (
+               SELECT rf.target, c.item_id AS candidate, rf.weight,
+                      len(list_filter(rf.tokens, lambda x: list_contains(c.path_tokens, x))) / len(rf.tokens) AS share
+               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id) WHERE share >= 0.5 GROUP BY 1, 2),
       fx AS (SELECT fs.*, CASE WHEN fs.basename = '' THEN 1.0 ELSE {spec} END AS specificity,
                     {rec} AS recency, {ctok} AS ctoks
              FROM fs LEFT JOIN fq USING (basename) CROSS JOIN tot LEFT JOIN mt USING (item_id)
-             CROSS JOIN ao LEFT JOIN (SELECT doc_id, text AS content FROM documents) dd
-             ON dd.doc_id = fs.item_id),
-      tg AS ({targets_sql}),
+             CROSS JOIN ao LEFT JOIN (SELECT item_id, content FROM pc) dd USING (item_id)),
       pr AS (SELECT t.item_id AS target, c.item_id AS candidate, {sides}
              FROM fx t JOIN tg ON t.item_id = tg.item_id CROSS JOIN fx c WHERE t.item_id <> c.item_id),
       sg AS (SELECT pr.*,
@@ -312,8 +416,8 @@ def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool =
                {Q.name_sim('t_basename', 'c_basename', 0.10)} AS filename_similarity,
                coalesce(s.score, 0.0) * 0.25 AS cochange_bonus,
                coalesce(s.commit_count, 0) AS cochange_commits,
-               0.0::DOUBLE AS feature_bonus, c_recency * 0.1 AS recency_bonus
-             FROM pr LEFT JOIN s USING (target, candidate)),
+               coalesce(fb.bonus, 0.0) * 0.3 AS feature_bonus, c_recency * 0.1 AS recency_bonus
+             FROM pr LEFT JOIN s USING (target, candidate) LEFT JOIN fb USING (target, candidate)),
       b AS (SELECT *, {base} AS base FROM sg),
       tt AS (SELECT *, CASE WHEN base >= 0.9 THEN {Q.set_jaccard('t_ctoks', 'c_ctoks')} * 0.1
                             ELSE 0.0 END AS content_bonus FROM b),
@@ -347,46 +451,28 @@ def _relatedness_sql(targets_sql: str, top_n: int | None = None, labels: bool =
 
 ALL_TARGETS_SQL = _relatedness_sql("SELECT p_partkey AS item_id FROM part", top_n=10)
 
-_TARGETS = f"""SELECT DISTINCT item AS item_id FROM (SELECT l.l_orderkey AS group_id, l.l_partkey AS item
-        FROM lineitem l WHERE l_returnflag <> 'R') x WHERE group_id IN (
-        SELECT group_id FROM (SELECT l.l_orderkey AS group_id, max(o.o_orderdate) AS ts
-          FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l_returnflag <> 'R'
-          GROUP BY 1 ORDER BY ts DESC, group_id DESC LIMIT {N_TARGET_GROUPS}))"""
+_TARGETS = f"""SELECT DISTINCT l_partkey AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE l_returnflag <> 'R' AND o_orderdate >= (SELECT max(o_orderdate) FROM orders)
+              - INTERVAL {TARGET_HOURS} HOUR"""
 
 _DT = (r"dt AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split_regex("
        r"coalesce(text, ''), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2), lambda x: lower(x))) AS toks "
        r"FROM documents)")
 
 
+_CLS = "cl AS (SELECT min(doc_id) AS doc_id, list_sort(toks) AS toks FROM dt GROUP BY list_sort(toks))"
+
+
 def _content_sql(t: float) -> str:
-    return f"""WITH {_DT},
+    return f"""WITH {_DT}, {_CLS},
       pr AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, len(a.toks) AS na, len(b.toks) AS nb,
                     len(list_intersect(a.toks, b.toks)) AS intersection
-             FROM dt a JOIN dt b ON a.doc_id < b.doc_id
+             FROM cl a JOIN cl b ON a.doc_id < b.doc_id
              WHERE len(a.toks) > 0 AND len(b.toks) > 0
                AND len(b.toks) >= len(a.toks) * {t} AND len(a.toks) >= len(b.toks) * {t})
       SELECT doc_a, doc_b, intersection, round(intersection / (na + nb - intersection), {DIGITS}) AS jaccard
       FROM pr WHERE intersection / (na + nb - intersection) >= {t}"""
 
-_CI = f"ci AS (SELECT p_partkey AS item_id, {T.CODE_PATH_SQL} AS path, {T.CODE_CONTENT_SQL} AS content FROM part)"
-
-
-def _lines(src: str, name: str) -> str:
-    line = Q.trim_ws("regexp_replace(raw, '\\r$', '')")
-    return (f"{name} AS (SELECT item_id, path, {line} AS line FROM (SELECT item_id, path, "
-            f"unnest(string_split(coalesce(content, ''), chr(10))) AS raw FROM {src}))")
-
-
-_PG = "pg AS (SELECT page_id AS item_id, 'page.html' AS path, html AS content FROM pages)"
-_QR = (f"qr AS (SELECT * FROM (SELECT item_id, 'quoted' AS kind, {Q.uri_tokens('q')} AS tokens, "
-       f"1.0::DOUBLE AS weight FROM (SELECT item_id, unnest({Q.quoted('line')}) AS q FROM ln)) "
-       f"WHERE tokens IS NOT NULL)")
-_IR = (f"ir AS (SELECT item_id, lang AS kind, unnest(refs) AS tokens, 1.0::DOUBLE AS weight FROM ("
-       f"SELECT item_id, lang, CASE lang WHEN 'python' THEN {Q.python_refs('line')} "
-       f"WHEN 'rust' THEN {Q.rust_refs('line')} WHEN 'java' THEN {Q.java_refs('line')} "
-       f"ELSE {Q.csharp_refs('line')} END AS refs FROM (SELECT *, {Q.language('path')} AS lang FROM ln) "
-       f"WHERE lang IN ('python', 'rust', 'java', 'csharp')))")
-
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -409,7 +495,7 @@ ORACLE = {
                round(score, {DIGITS}) AS score FROM s""",
     "path_tokens": f"WITH {_IT}, {_F} SELECT item_id, path, path_tokens FROM f",
     "names": f"""WITH {_IT}, {_F} SELECT item_id, stem, basename, extensions,
-        'generic' AS language FROM f""",
+        {Q.language('path')} AS language FROM f""",
     "domain_tokens": f"WITH {_IT}, {_F} SELECT item_id, domain FROM f",
     "basename_freq": f"WITH {_IT}, {_F}, {_FREQ} SELECT basename, freq, total_files FROM fq, tot",
     "specificity": f"""WITH {_IT}, {_F}, {_FREQ} SELECT item_id, f.basename,
@@ -437,19 +523,30 @@ ORACLE = {
         t_dir = c_dir AS same_directory, t_basename = c_basename AS exact_name_match FROM pr""",
     "content_tokens": f"""WITH {_DT} SELECT doc_id, len(toks) AS n_tokens, list_sort(toks) AS tokens
         FROM dt""",
+    "content_classes": f"""WITH {_DT} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(toks)) AS class_id FROM dt""",
     "content_jaccard": _content_sql(0.5),
     "content_neardup": _content_sql(0.8),
     "quoted_refs": f"""WITH {_CI}, {_lines('ci', 'ln')}, {_QR},
         {_PG}, {_lines('pg', 'pl')}, {_QR.replace('qr AS', 'qp AS').replace('FROM ln', 'FROM pl')}
         SELECT *, 'code' AS source FROM qr UNION ALL SELECT *, 'page' AS source FROM qp""",
     "import_refs": f"WITH {_CI}, {_lines('ci', 'ln')}, {_IR} SELECT * FROM ir",
-    "ref_overlap": f"""WITH {_CI}, {_lines('ci', 'ln')}, {_QR}, {_IR}, {_IT}, {_F},
-        rf AS (SELECT DISTINCT item_id AS target, tokens, weight FROM (SELECT * FROM qr UNION ALL SELECT * FROM ir)),
+    "ref_overlap": f"""WITH {_CI}, {_all_refs('ci')}, {_IT}, {_F},
         sc AS (SELECT rf.target, c.item_id AS candidate, rf.weight,
                       len(list_filter(rf.tokens, lambda x: list_contains(c.path_tokens, x))) / len(rf.tokens) AS share
-               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id AND len(rf.tokens) > 0)
+               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id)
         SELECT target, candidate, round(max(least(share * weight, 1.5)), {DIGITS}) AS bonus
         FROM sc WHERE share >= 0.5 GROUP BY target, candidate""",
+    "php_use_class_component": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES} {_PHP_NAMES}",
+    "php_view_route": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES} {_PHP_HINTED}",
+    "php_values": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES}, {_ENV} {_PHP_VALUES}",
+    "php_refs": f"""WITH {_CI}, {_numbered('ci')}, {_PHP_LINES}, {_ENV}
+        {_PHP_NAMES} UNION ALL {_PHP_HINTED} UNION ALL {_PHP_VALUES}""",
+    "changelog_parse": f"""WITH l AS (SELECT o_orderdate, o_orderkey, l_linenumber AS n, l_partkey AS k, {T.PART_PATH_SQL} AS item
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+        w AS (SELECT * FROM l UNION ALL SELECT DISTINCT o_orderdate, o_orderkey, -1, -1, NULL FROM l),
+        o AS (SELECT *, dense_rank() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS group_id,
+                     row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC, n, k) AS line_no FROM w)
+        SELECT group_id::BIGINT AS group_id, line_no::BIGINT AS line_no, item FROM o WHERE item IS NOT NULL""",
     "exclusions_anti": f"""WITH {_IT} SELECT item_id, path FROM it
         WHERE NOT regexp_matches(path, '\\.d\\.ts$') AND NOT regexp_matches(path, '^src/promo/')""",
     "relatedness": _relatedness_sql(_TARGETS),
@@ -478,13 +575,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "path_jw": q_path_jw,
     "dir_proximity": q_dir_proximity,
     "content_tokens": q_content_tokens,
+    "content_classes": q_content_classes,
     "content_jaccard": q_content_jaccard,
     "content_neardup": q_content_neardup,
     "quoted_refs": q_quoted_refs,
     "import_refs": q_import_refs,
     "php_refs": q_php_refs,
+    "php_use_class_component": q_php_use_class_component,
+    "php_view_route": q_php_view_route,
+    "php_values": q_php_values,
     "ref_overlap": q_ref_overlap,
     "exclusions_anti": q_exclusions_anti,
+    "changelog_parse": q_changelog_parse,
     "relatedness": q_relatedness,
     "relatedness_topk": q_relatedness_topk,
     "explain": q_explain,

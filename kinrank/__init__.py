@@ -6,7 +6,7 @@ Layers:
   operators/  relational building blocks (co-change, statistics, set joins,
               reference edges, top-k)
   plans/      end-to-end jobs (item features, relatedness scoring)
-  streaming/  incremental co-change maintenance with Structured Streaming
+
 """
 
 __version__ = "0.1.0"

@@ -53,15 +53,12 @@ LANGUAGE_BY_EXTENSION = {
 }
 
 # PHP: a line is searched for view / route calls only if its lower-cased text
-# contains one of these hints.  Mixed-case hints can never match a lower-cased
-# line; they are listed as the reference has them and filtered where used.
+# contains one of these hints.
 VIEW_HINTS = (
-    "view(", "view()->", "View::make(", "View::first(", "response()->view(",
-    "redirect()->view(", "Route::view(", "@extends(", "@include(", "@includeif(",
-    "@includewhen(", "@includeunless(", "@includefirst(", "@component(", "@each(",
-    "@livewire(",
+    "view(", "view()->", "@extends(", "@include(", "@includeif(", "@includewhen(", "@includeunless(",
+    "@includefirst(", "@component(", "@each(", "@livewire(",
 )
-ROUTE_HINTS = ("route(", "to_route(", "->route(", "redirect()->route(", "Route::")
+ROUTE_HINTS = ("route(",)
 
 # PHP view calls searched on hinted lines, in order; the two marked forms take
 # their second argument, all others their first.

@@ -5,12 +5,14 @@ least half of its tokens (duplicates counted) occur in the candidate's path
 token set; the pair's bonus is the best min(share * w, 1.5) over the
 target's references.
 
-Prefix filter (lossless): order a reference's distinct tokens rarest first
-(by how many candidate paths hold them).  A candidate that holds none of the
-tokens whose remaining multiplicity (from that token on) is still >= ceil(n/2)
-cannot reach half, so only those tokens are join keys.  Common path words
-('src', 'controller') therefore rarely drive the join.  Candidates are then
-verified exactly against the full token list.
+Many items hold the same reference, and many candidates the same token set, so
+the match runs between distinct token lists and distinct sets and is expanded
+to targets and candidates last.  Prefix filter (lossless): order a reference's
+distinct tokens rarest first.  A set that holds none of the tokens whose
+remaining multiplicity (from that token on) is still >= ceil(n/2) cannot reach
+half, so only those tokens are join keys.  Common path words ('src',
+'controller') therefore rarely drive the join; a hot one is split by the skew
+join.  Survivors are verified against the full token list.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
+from ..session import written
+
+MARK = "\u0001"              # joins the tokens of a reference; no token holds it
 
 
 def ref_overlap(refs: DataFrame, candidates: DataFrame, exclude_self: bool = True) -> DataFrame:
@@ -26,29 +31,34 @@ def ref_overlap(refs: DataFrame, candidates: DataFrame, exclude_self: bool = Tru
 
     Returns (target, candidate, bonus) with bonus = best capped share * weight.
     """
-    r = (refs.select(F.col("item_id").alias("target"), "tokens", "weight").distinct()
-         .withColumn("ref_id", F.xxhash64("target", "tokens", "weight"))
-         .withColumn("n", F.size("tokens")).where(F.col("n") > 0)
-         .withColumn("need", F.ceil(F.col("n") * W.REF_SHARE_MIN)))
-    cset = candidates.select(F.col("item_id").alias("candidate"),
-                             F.array_distinct("path_tokens").alias("cset"))
-    postings = cset.select("candidate", F.explode("cset").alias("token"))
+    uses = written(refs.where(F.size("tokens") > 0)
+                   .select(F.col("item_id").alias("target"), F.array_join("tokens", MARK).alias("ref"), "weight")
+                   .groupBy("target", "ref").agg(F.max("weight").alias("weight")))
+    sets = written(candidates.select(F.col("item_id").alias("candidate"),
+                                     F.array_sort(F.array_distinct("path_tokens")).alias("cset")))
+    kinds = sets.groupBy("cset").agg(F.min("candidate").alias("kind"))
+    postings = kinds.select("kind", F.explode("cset").alias("token"))
     dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
-    toks = (r.select("ref_id", "need", F.explode("tokens").alias("token"))
-            .groupBy("ref_id", "need", "token").agg(F.count(F.lit(1)).alias("mult"))
+    lists = uses.select("ref").distinct().withColumn("tokens", F.split("ref", MARK))
+    need = F.ceil(F.size("tokens") * W.REF_SHARE_MIN).alias("need")
+    toks = (lists.select("ref", need, F.explode("tokens").alias("token"))
+            .groupBy("ref", "need", "token").agg(F.count(F.lit(1)).alias("mult"))
             .join(dfreq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))))
-    w = (Window.partitionBy("ref_id").orderBy(F.col("df").desc(), F.col("token").desc())
+    w = (Window.partitionBy("ref").orderBy(F.col("df").desc(), F.col("token").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     prefix = (toks.withColumn("rest", F.sum("mult").over(w))   # multiplicity from this token on
-              .where(F.col("rest") >= F.col("need")).select("ref_id", "token"))
-
-    cand = prefix.join(postings, "token").select("ref_id", "candidate").distinct()
-    checked = (cand.join(r, "ref_id").join(cset, "candidate")
-               .withColumn("overlap", F.size(F.filter("tokens", lambda x: F.array_contains(F.col("cset"), x))))
-               .withColumn("share", F.col("overlap") / F.col("n"))
-               .where(F.col("share") >= W.REF_SHARE_MIN))
-    if exclude_self:
-        checked = checked.where(F.col("target") != F.col("candidate"))
-    return (checked.groupBy("target", "candidate")
+              .where(F.col("rest") >= F.col("need")).select("ref", "token"))
+
+    tokens = F.split("ref", MARK)
+    plain = F.size(F.array_distinct(tokens)) == F.size(tokens)
+    overlap = (F.when(plain, F.size(F.array_intersect(tokens, "cset")))
+               .otherwise(F.size(F.filter(tokens, lambda x: F.array_contains("cset", x)))))
+    matched = (prefix.join(postings, "token").select("ref", "kind").distinct()
+               .join(kinds, "kind").withColumn("share", overlap / F.size(tokens))
+               .where(F.col("share") >= W.REF_SHARE_MIN).select("ref", "kind", "share"))
+    members = sets.join(kinds, "cset").select("kind", "candidate")
+    best = (uses.join(matched, "ref").groupBy("target", "kind")
             .agg(F.max(F.least(F.col("share") * F.col("weight"), F.lit(W.REF_CAP))).alias("bonus")))
+    out = best.join(members, "kind").select("target", "candidate", "bonus")
+    return out.where(F.col("target") != F.col("candidate")) if exclude_self else out

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import similarity as S
 
-FEATURE_COLUMNS = ("path_tokens", "path_string", "stem", "basename", "extensions",
-                   "domain", "dir", "dirs", "language", "path_set", "path_w", "domain_set",
-                   "domain_w", "ext_set", "ext_w")
-
 
 def item_features(items: DataFrame) -> DataFrame:
     """Adds the per-item path features.  All are built-in expressions, so the

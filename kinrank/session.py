@@ -1,9 +1,10 @@
-"""Session construction and lineage helpers."""
+"""Session construction and intermediate tables."""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Checkpoint files of dropped DataFrames are removed by the cleaner.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,24 +38,29 @@ def get_session(master: str | None = None, app: str = "kinrank",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which all machines of a
+    cluster share.
 
-    On a cluster the setting names a shared (HDFS/object-store) folder and is
-    used as is.  Only when it is unset (local tests) is a scratch folder made.
+    Only a single-machine session (``local[n]``, tests) may leave the setting
+    out; it gets a scratch folder of its own.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="kinrank-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(conf_dir)
-    return conf_dir
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
+        base = tempfile.mkdtemp(prefix="kinrank-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/kinrank-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write an intermediate table as Parquet to the shared folder and read it back.
+
+    This cuts lineage in a form that survives lost executors, whose columns can
+    still be pruned and whose size is known.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

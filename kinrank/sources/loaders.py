@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.refs import trim_ws
+
 # Marker line that opens each commit in a name-only change log.
 COMMIT_MARKER = "__COMMIT__"
 
@@ -19,53 +23,62 @@ def relativize(df: DataFrame, root: str | None = None, col: str = "path") -> Dat
 
 
 def read_items(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """S1 (primary): an items table in Parquet with path[, content, mtime]."""
-    df = spark.read.parquet(path)
-    if "item_id" not in df.columns:
-        df = df.withColumn("item_id", F.xxhash64("path"))
-    return relativize(df, root)
+    """S1 (primary): an items table in Parquet with path[, content, mtime]; a
+    table without item_id is keyed by its (relative) path."""
+    df = relativize(spark.read.parquet(path), root)
+    return df if "item_id" in df.columns else df.withColumn("item_id", F.col("path"))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """S1 (convenience): regular files under ``root`` via the binaryFile
-    source.  Note that Spark's file listing skips names starting with '_' or
-    '.', so use ``read_items`` when such files matter."""
+    source, keyed by relative path; bytes that are not UTF-8 become U+FFFD.
+    Note that Spark's file listing skips names starting with '_' or '.', so
+    use ``read_items`` when such files matter."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select(F.regexp_replace("path", "^file:", "").alias("path"),
+          .select(F.regexp_replace("path", "^file:/*", "/").alias("path"),
                   F.col("modificationTime").alias("mtime"),
-                  F.decode("content", "UTF-8").alias("content")))
-    return relativize(df.withColumn("item_id", F.xxhash64("path")), root)
+                  F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
+    return relativize(df, root).withColumn("item_id", F.col("path"))
 
 
-def exclude(items: DataFrame, patterns: DataFrame, col: str = "path",
-            max_broadcast_rules: int = 10_000) -> DataFrame:
-    """Drop items whose path matches any regex in ``patterns(pattern)``.
+def exclude(items: DataFrame, patterns: Sequence[str], col: str = "path", fold: int = 200) -> DataFrame:
+    """Drop items whose path matches any of the regular expressions.
 
-    Rule lists are small by nature (an ignore file); the list is broadcast
-    into the non-equi anti join only after its row count is checked."""
-    rules = F.broadcast(patterns) if patterns.count() <= max_broadcast_rules else patterns
-    return items.join(rules, F.expr(f"`{col}` RLIKE pattern"), "left_anti")
+    The rules are folded into literal alternations, compiled once each, so the
+    filter runs next to the scan."""
+    for at in range(0, len(patterns), fold):
+        items = items.where(~F.col(col).rlike("|".join(f"(?:{p})" for p in patterns[at:at + fold])))
+    return items
 
 
 def parse_changelog(spark: SparkSession, path: str, marker: str = COMMIT_MARKER) -> DataFrame:
-    """S3: a name-only change log (marker line, then one path per line) as
-    long-form ``changes(group_id, seq, item)``.
-
-    The text source splits records at the marker, so each record is one
-    commit and the file is read in parallel without a global line order.
-    Blank lines are skipped, paths trimmed, empty commits vanish.  Group ids
-    are stable hashes of (file, record offset)."""
-    raw = (spark.read.option("lineSep", marker).text(path)
-           .withColumn("group_id", F.xxhash64(F.input_file_name(), F.monotonically_increasing_id())))
-    return changes_from_records(raw, "value")
-
-
-def changes_from_records(records: DataFrame, text_col: str = "value") -> DataFrame:
-    """Records (one commit each, newline-separated paths) -> long form."""
-    lines = records.select("group_id", F.posexplode(F.split(F.col(text_col), "\n")).alias("seq", "item"))
-    return (lines.withColumn("item", F.trim(F.col("item")))
-            .where(F.col("item") != "")
-            .select("group_id", "seq", "item"))
+    """S3: a name-only change log, newest commit first (a line that is the
+    marker, then one path per line), as ``changes(group_id, ts, line_no, item)``.
+
+    The log is read in splits.  A line's place is (file, start of its split,
+    place in the split); markers and lines are counted inside each split, and
+    the counts of earlier splits (one row each) are added.  So group_id, the
+    number of the commit, and line_no do not depend on how the log is split.
+    ``ts`` falls from commit to commit, so that ``limit_history`` keeps the
+    newest ones.  Blank lines are skipped, paths trimmed, empty commits vanish.
+    """
+    split = ["_file", "_start"]
+    place = Window.partitionBy(*split).orderBy("_at")
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_at"))
+             .withColumn("_mark", (F.regexp_replace("value", "\r$", "") == marker).cast("long"))
+             .withColumn("_group", F.sum("_mark").over(place)).withColumn("_line", F.row_number().over(place)))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)     # one row a split
+    offsets = (lines.groupBy(*split).agg(F.sum("_mark").alias("m"), F.count(F.lit(1)).alias("n"))
+               .select(*split, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_m"),
+                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n")))
+    group = F.col("_group") + F.col("_m")
+    return (lines.where(F.col("_mark") == 0).join(offsets, split)
+            .select(group.alias("group_id"), (-group).alias("ts"), (F.col("_line") + F.col("_n")).alias("line_no"),
+                    trim_ws(F.col("value")).alias("item"))
+            .where(F.col("item") != ""))
 
 
 def write_ranked(ranked: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -22,10 +22,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # The same SQL text is used by the Spark jobs and by the DuckDB oracle.
+# The shapes cover root files, unequal depths, generic stems, dot-files, names
+# without a domain, names that two items share, and PHP views and components.
+_NAME, _TYPE = "replace(p_name, ' ', '_')", "lower(p_type)"
+_TWIN = "CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING)"
+_FIRST, _SECOND = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
 PART_PATH_SQL = (
-    "concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/', "
-    "replace(p_name, ' ', '_'), "
-    "CASE p_size % 3 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '.ts' ELSE '.d.ts' END)"
+    "CASE p_partkey % 20 "
+    f"WHEN 0 THEN concat({_NAME}, '.ts') "
+    f"WHEN 1 THEN concat('src/', {_TYPE}, '/', replace(p_brand, '#', '-'), '/', {_NAME}, '/index.ts') "
+    f"WHEN 2 THEN concat('src/', {_TYPE}, '/.', {_NAME}, 'rc.json') "
+    f"WHEN 3 THEN concat('src/', {_TYPE}, '/Controller.php') "
+    f"WHEN 4 THEN concat('src/', {_TYPE}, '/', {_NAME}, '/part', {_TWIN}, '.ts') "
+    f"WHEN 14 THEN concat('src/', {_TYPE}, '/part', {_TWIN}, '.spec.ts') "
+    f"WHEN 5 THEN concat('resources/views/', {_FIRST}, '/', {_SECOND}, '.blade.php') "
+    f"WHEN 6 THEN concat('lib/', {_TYPE}, '/', {_NAME}, '.py') "
+    f"WHEN 7 THEN concat('resources/views/components/', {_FIRST}, '-', {_SECOND}, '.blade.php') "
+    f"ELSE concat('src/', {_TYPE}, '/', replace(p_brand, '#', '-'), '/', {_NAME}, "
+    "CASE p_size % 3 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '.ts' ELSE '.d.ts' END) END"
+)
+_Q, _NL = "chr(39)", "chr(10)"
+PART_CONTENT_SQL = (
+    "CASE p_partkey % 20 "
+    f"WHEN 3 THEN concat('<?php', {_NL}, 'use App', chr(92), 'Models', chr(92), {_SECOND}, ';', {_NL}, "
+    f"'$page = ', {_Q}, {_FIRST}, '.', {_SECOND}, {_Q}, ';', {_NL}, 'return view($page);') "
+    f"WHEN 5 THEN concat('<x-', {_FIRST}, '-', {_SECOND}, ' />', {_NL}, "
+    f"'return to_route(', {_Q}, {_SECOND}, '.show', {_Q}, ');') "
+    f"WHEN 6 THEN concat('from ', {_TYPE}, '.', {_NAME}, ' import Thing') "
+    f"WHEN 4 THEN concat('twin ', {_TWIN}, ' of ', p_type, {_NL}, 'see the other one') "
+    f"WHEN 14 THEN concat('twin ', {_TWIN}, ' of ', p_type, {_NL}, 'see this one') "
+    f"ELSE concat('import Thing from ', {_Q}, './', {_TYPE}, '/', {_NAME}, {_Q}, ';', {_NL}, p_name, ' ', p_brand) END"
 )
 
 # Deletions ('D') are what the change-type filter removes.
@@ -47,17 +73,12 @@ def item_mtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.max("o_orderdate").alias("mtime")))
 
 
-def items(spark: SparkSession, sf_dir: str, with_content: bool = True) -> DataFrame:
-    """Full item table: path, last change time and (optionally) content.
-
-    Item ``i``'s content is document ``i`` where one exists.
-    """
-    df = item_paths(spark, sf_dir).join(item_mtimes(spark, sf_dir), "item_id", "left")
-    if with_content:
-        docs = read_table(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("item_id"), F.col("text").alias("content"))
-        df = df.join(docs, "item_id", "left")
-    return df
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full item table: path, last change time and content."""
+    parts = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item_id"), F.expr(PART_PATH_SQL).alias("path"),
+        F.expr(PART_CONTENT_SQL).alias("content"))
+    return parts.join(item_mtimes(spark, sf_dir), "item_id", "left")
 
 
 def as_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +103,19 @@ def changes(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFr
     return li.join(od, "group_id")
 
 
+def write_changelog(spark: SparkSession, sf_dir: str, path: str, marker: str = "__COMMIT__") -> None:
+    """The orders as a name-only change log, newest first: one row a line, sorted over range partitions."""
+    od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = (read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+          .join(item_paths(spark, sf_dir).withColumnRenamed("item_id", "l_partkey"), "l_partkey"))
+    items = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    key = ["o_orderdate", "o_orderkey"]
+    rows = (items.select(*key, F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("k"), F.col("path").alias("line"))
+            .unionByName(items.select(*key).distinct().select(
+                *key, F.lit(-1).cast("long").alias("n"), F.lit(-1).cast("long").alias("k"), F.lit(marker).alias("line"))))
+    rows.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"), "n", "k").select("line").write.text(path)
+
+
 # Source files derived from parts, one language per p_size % 5, with import /
 # use / view lines that name other parts' types and names.  Text built with
 # chr() so the same SQL runs in Spark and DuckDB.
@@ -103,9 +137,15 @@ CODE_CONTENT_SQL = (
     "WHEN 3 THEN concat('using ', p_type, '.', replace(p_name, ' ', '.'), ';', chr(10), 'using System;', "
     "chr(10), 'using Alias = ', split_part(p_name, ' ', 1), '.', p_type, ';') "
     "ELSE concat('<?php', chr(10), 'use App', chr(92), 'Models', chr(92), split_part(p_name, ' ', 2), ';', "
-    "chr(10), '$view = ', chr(39), lower(p_type), '.', replace(p_name, ' ', '_'), chr(39), ';', chr(10), "
-    "'return view($view);', chr(10), '<x-', replace(p_name, ' ', '-'), ' />', chr(10), "
-    "'return to_route(', chr(39), split_part(p_name, ' ', 2), '.show', chr(39), ');') END"
+    "chr(10), '$view = ', chr(39), lower(p_type), '.', replace(p_name, ' ', '_'), chr(39), ';', "
+    "chr(10), '$alias = $view;', chr(10), '$full = ', chr(39), 'admin.', chr(39), ' . $alias;', "
+    "chr(10), 'return view($view);', chr(10), 'return view($alias, array_merge(foo(bar(1)), x()));', "
+    "chr(10), 'return view($full);', chr(10), 'return view(', chr(39), 'ui.', chr(39), ' . $view);', "
+    "chr(10), 'return view(((', chr(39), lower(p_type), '.', split_part(p_name, ' ', 2), chr(39), ')));', "
+    "chr(10), '$view = trans(', chr(39), 'no.value', chr(39), ');', chr(10), 'return view($view . $tail);', "
+    "chr(10), '<x-', replace(p_name, ' ', '-'), ' />', "
+    "chr(10), 'Route::get(', chr(39), '/', p_size, chr(39), ', [', split_part(p_name, ' ', 2), 'Controller::class]);', "
+    "chr(10), 'return to_route(', chr(39), split_part(p_name, ' ', 2), '.show', chr(39), ');') END"
 )
 
 

@@ -8,16 +8,28 @@ a capture group), lambdas use ``lambda x: ...``, lists are 1-based.
 
 from __future__ import annotations
 
-from .functions import wordlists as W
-
 
 def lst(values) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
-NOISE = lst(W.NOISE_TOKENS)
-TYPE_WORDS = lst(W.TYPE_WORDS)
-GENERIC = lst(W.GENERIC_STEMS)
+# --- fixed values, written out here so that the oracle does not share the library's lists ---
+NOISE_WORDS = ("app src lib resources assets main index mod bin pkg internal common shared").split()
+NOISE = lst(NOISE_WORDS)
+TYPE_WORDS = lst(("controller model view service repository factory helper manager handler test spec dto dao "
+                  "middleware component provider resolver presenter interactor usecase query command listener "
+                  "observer").split())
+GENERIC = lst("index show create edit delete update store main home base default init bootstrap".split())
+RUST_WORDS = "crate super self std core alloc proc_macro".split()
+JAVA_WORDS = ("com org net io gov edu java javax android kotlin sun oracle apache google").split()
+CSHARP_WORDS = "system microsoft windows azure".split()
+PHP_WORDS = "illuminate laravel symfony doctrine league monolog guzzle psr zend".split()
+EXTERNAL = "http:// https:// // mailto: tel: javascript: data: #".split()
+LANGUAGES = {"py": "python", "pyw": "python", "pyi": "python", "rs": "rust", "java": "java", "kt": "java",
+             "kts": "java", "cs": "csharp", "php": "php", "phtml": "php"}
+VIEW_MARKS = ("view( view()-> @extends( @include( @includeif( @includewhen( @includeunless( @includefirst( "
+              "@component( @each( @livewire(").split()
+# ---------------------------------------------------------------------------------------------
 
 
 def tokenize(s: str) -> str:
@@ -138,13 +150,13 @@ def _drop(toks: str, stop=()) -> str:
 
 def uri_tokens(v: str) -> str:
     s = trim_ws(v)
-    ext = " OR ".join(f"starts_with({s}, '{p}')" for p in W.EXTERNAL_PREFIXES)
+    ext = " OR ".join(f"starts_with({s}, '{p}')" for p in EXTERNAL)
     path = f"regexp_extract(regexp_extract({s}, '^([^?]*)', 1), '^([^#]*)', 1)"
     seg_tokens = tokenize("split_part(g, '.', 1)")
     slash = _drop(f"flatten(list_transform(list_filter(string_split({path}, '/'), lambda g: g <> ''), "
-                  f"lambda g: {seg_tokens}))", W.NOISE_TOKENS)
+                  f"lambda g: {seg_tokens}))", NOISE_WORDS)
     nophp = f"regexp_replace(regexp_replace({s}, '(\\.php)+$', ''), '(\\.PHP)+$', '')"
-    back = _drop(_tok_flat(f"list_filter(string_split({nophp}, chr(92)), lambda g: g <> '')"), W.NOISE_TOKENS)
+    back = _drop(_tok_flat(f"list_filter(string_split({nophp}, chr(92)), lambda g: g <> '')"), NOISE_WORDS)
     dot_ok = (f"(contains({s}, '.') AND NOT contains({s}, ' ') AND NOT contains({s}, '/') "
               f"AND NOT contains({s}, chr(92)) AND list_bool_and(list_transform(string_split({s}, '.'), "
               f"lambda g: strlen(g) >= 2 AND regexp_full_match(g, '[\\p{{L}}\\p{{N}}_]+') "
@@ -156,7 +168,7 @@ def uri_tokens(v: str) -> str:
 
 
 def module_tokens(p: str, extra=()) -> str:
-    return _drop(_tok_flat(_nonempty_split(p, "[.:\\\\]")), (*W.NOISE_TOKENS, *extra))
+    return _drop(_tok_flat(_nonempty_split(p, "[.:\\\\]")), (*NOISE_WORDS, *extra))
 
 
 def quoted(line: str) -> str:
@@ -168,7 +180,7 @@ def quoted(line: str) -> str:
 def language(path: str) -> str:
     name = fname(path)
     ext = f"(CASE WHEN regexp_full_match({name}, '\\.?[^.]*') THEN '' ELSE regexp_extract({name}, '[^.]*$') END)"
-    cases = " ".join(f"WHEN {ext} = '{e}' THEN '{lang}'" for e, lang in W.LANGUAGE_BY_EXTENSION.items())
+    cases = " ".join(f"WHEN {ext} = '{e}' THEN '{lang}'" for e, lang in LANGUAGES.items())
     return f"(CASE {cases} ELSE 'generic' END)"
 
 
@@ -189,8 +201,8 @@ def rust_refs(line: str) -> str:
     path = trim_ws(f"regexp_replace(split_part(regexp_replace({rest}, ';+$', ''), '{{', 1), '(::)+$', '')")
     segs = f"list_filter(string_split({path}, '::'), lambda g: g <> '')"
     module = f"array_to_string({segs}[1:len({segs}) - 1], '::')"
-    mod_t = module_tokens(module, W.RUST_NOISE)
-    full_t = module_tokens(path, W.RUST_NOISE)
+    mod_t = module_tokens(module, RUST_WORDS)
+    full_t = module_tokens(path, RUST_WORDS)
     use_refs = (f"list_filter([CASE WHEN len({segs}) >= 2 AND len({mod_t}) > 0 THEN {mod_t} END, "
                 f"CASE WHEN len({full_t}) > 0 THEN {full_t} END], lambda r: r IS NOT NULL)")
     name = trim_ws(f"regexp_replace(substr({line}, 5), ';+$', '')")
@@ -203,7 +215,7 @@ def rust_refs(line: str) -> str:
 def java_refs(line: str) -> str:
     rest = f"regexp_replace(substr({line}, 8), '^static ', '')"
     path = trim_ws(f"regexp_replace(regexp_replace({rest}, ';+$', ''), '(\\.\\*)+$', '')")
-    t = module_tokens(path, W.JAVA_NOISE)
+    t = module_tokens(path, JAVA_WORDS)
     return (f"(CASE WHEN NOT starts_with({line}, '//') AND NOT starts_with({line}, '*') "
             f"AND starts_with({line}, 'import ') AND len({t}) >= 2 THEN [{t}] ELSE [] END)")
 
@@ -212,6 +224,43 @@ def csharp_refs(line: str) -> str:
     rest = f"regexp_replace(substr({line}, 7), '^static ', '')"
     after = f"(CASE WHEN contains({rest}, ' = ') THEN substr({rest}, strpos({rest}, ' = ') + 3) ELSE {rest} END)"
     path = trim_ws(f"regexp_replace({after}, ';+$', '')")
-    t = module_tokens(path, W.CSHARP_NOISE)
+    t = module_tokens(path, CSHARP_WORDS)
     return (f"(CASE WHEN NOT starts_with({line}, '//') AND NOT starts_with({line}, '*') "
             f"AND starts_with({line}, 'using ') AND len({t}) >= 2 THEN [{t}] ELSE [] END)")
+
+
+# ------------------------------------------------------------------- PHP
+def php_live(line: str) -> str:
+    return " AND ".join(f"NOT starts_with({line}, '{m}')" for m in ("//", "*", "#"))
+
+
+def dedup_adjacent(toks: str) -> str:
+    return f"list_transform(list_filter(list_zip({toks}, {toks}[2:]), lambda z: z[1] IS NOT NULL AND z[1] IS DISTINCT FROM z[2]), lambda z: z[1])"
+
+
+def php_use(line: str) -> str:
+    path = trim_ws(f"regexp_replace(split_part(substr({line}, 5), ' as ', 1), ';+$', '')")
+    toks = _drop(_tok_flat(f"list_filter(string_split({path}, chr(92)), lambda g: g <> '')"), (*NOISE_WORDS, *PHP_WORDS))
+    return (f"(CASE WHEN starts_with({line}, 'use ') AND NOT starts_with({path}, '(') AND len({toks}) > 0 "
+            f"THEN [{toks}] ELSE [] END)")
+
+
+def php_class(line: str) -> str:
+    names = f"regexp_extract_all({line}, '([A-Za-z0-9_\\\\]+)::class', 1)"
+    return f"list_filter(list_transform({names}, lambda n: {module_tokens('n', PHP_WORDS)}), lambda t: len(t) > 0)"
+
+
+def php_component(line: str) -> str:
+    names = f"regexp_extract_all({line}, '<x-([A-Za-z0-9\\-.:/]+)', 1)"
+    parts = _drop(_tok_flat("list_filter(string_split_regex(n, '[.:/-]'), lambda g: g <> '')"))
+    return f"list_transform({names}, lambda n: list_concat(['components'], {parts}))"
+
+
+def php_hinted(line: str, marks) -> str:
+    return "(" + " OR ".join(f"contains(lower({line}), '{m}')" for m in marks) + ")"
+
+
+def php_quoted(line: str, context: str) -> str:
+    found = f"list_filter(list_transform({quoted(line)}, lambda v: {uri_tokens('v')}), lambda t: t IS NOT NULL)"
+    joined = f"list_concat(['{context}'], t)"
+    return f"list_transform({found}, lambda t: {dedup_adjacent(joined)})"

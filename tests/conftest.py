@@ -12,8 +12,7 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 @pytest.fixture(scope="session")
 def spark():
     from kinrank.session import get_session
-    s = get_session("local[4]", app="kinrank-tests", shuffle_partitions=4)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinrank-test-ckpt-"))
+    s = get_session("local[4]", app="kinrank-tests", shuffle_partitions=4,
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="kinrank-test-")})
     yield s
     s.stop()

@@ -18,8 +18,8 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", ["cochange_topk", "specificity", "name_sim", "content_jaccard",
-                                  "import_refs", "ref_overlap", "relatedness_topk", "explain"])
+@pytest.mark.parametrize("name", ["cochange_topk", "specificity", "names", "name_sim", "content_jaccard", "content_classes",
+                                  "import_refs", "php_refs", "ref_overlap", "changelog_parse", "relatedness", "explain"])
 def test_oracle_agreement(spark, name):
     sys.path.insert(0, os.path.join(ROOT, "tools"))
     import __spark_entry__ as E
@@ -31,6 +31,17 @@ def test_oracle_agreement(spark, name):
     assert c1 == c2 and r1 == r2
 
 
+def test_every_score_term_and_label_occurs(spark):
+    import __spark_entry__ as E
+    rows = E._relatedness(spark, "/root/testdata/sf0.01", E._recent_targets(spark, "/root/testdata/sf0.01"),
+                          explain=True).collect()
+    for term in ("feature_bonus", "cochange_bonus", "content_bonus", "recency_bonus", "domain_similarity"):
+        assert any(getattr(r, term) > 0 for r in rows), term
+    labels = {x.split(" ")[0] for r in rows for x in r.labels}
+    assert labels >= {"direct-ref", "co-change", "same-dir", "exact-name", "stem", "domain", "filename", "content",
+                      "recent"}, labels
+
+
 def test_all_targets_exact_topk(spark):
     """Every item against every item (quadratic), on the smallest data set."""
     sys.path.insert(0, os.path.join(ROOT, "tools"))

@@ -1,19 +1,75 @@
-from kinrank.sources.loaders import exclude, parse_changelog, relativize
+import pytest
 
+from kinrank.operators import cochange as co
+from kinrank.session import get_session, shared_dir  # noqa: F401
+from kinrank.sources import loaders as LD
 
-def test_changelog_parse(spark, tmp_path):
-    p = tmp_path / "log.txt"
-    p.write_text("__COMMIT__\nsrc/a.rs\n src/b.rs \n\n__COMMIT__\nsrc/c.rs\n__COMMIT__\n\n")
-    ch = parse_changelog(spark, str(p))
+LOG = ("__COMMIT__\r\nlib/a.rs\r\n\tlib/b.rs \r\n\r\n__COMMIT__\r\ndocs/__COMMIT__notes.md\r\n__COMMIT__\r\n\r\n"
+       " __COMMIT__x\n__COMMIT__\nlib/c.rs\n" + "".join(f"big/f{i}.rs\n" for i in range(300)))
+
+
+def parsed(spark, path):
     groups = {}
-    for r in ch.collect():
-        groups.setdefault(r.group_id, []).append((r.seq, r.item))
-    got = sorted([i for _, i in sorted(v)] for v in groups.values())
-    assert got == [["src/a.rs", "src/b.rs"], ["src/c.rs"]]
+    for r in LD.parse_changelog(spark, path).orderBy("line_no").collect():
+        groups.setdefault(r.group_id, []).append(r.item)
+    return [groups[k] for k in sorted(groups)]
+
+
+def test_changelog_by_whole_lines_in_any_split(spark, tmp_path):
+    (tmp_path / "log.txt").write_bytes(LOG.encode())
+    want = [["lib/a.rs", "lib/b.rs"], ["docs/__COMMIT__notes.md"], ["__COMMIT__x"],
+            ["lib/c.rs", *(f"big/f{i}.rs" for i in range(300))]]
+    assert parsed(spark, str(tmp_path)) == want
+    first = LD.parse_changelog(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        assert parsed(spark, str(tmp_path)) == want
+        assert sorted(LD.parse_changelog(spark, str(tmp_path)).collect()) == sorted(first)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    newest = co.limit_history(LD.parse_changelog(spark, str(tmp_path)), 2)
+    assert {r.item for r in newest.collect()} == {"lib/a.rs", "lib/b.rs", "docs/__COMMIT__notes.md"}
+
+
+def test_lines_before_the_first_marker_are_a_commit(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("early.c\n__COMMIT__\nlate.c\n")
+    assert parsed(spark, str(tmp_path)) == [["early.c"], ["late.c"]]
+
+
+def test_read_files_replaces_bad_bytes(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_bytes(b"ok \xff\xfe end")
+    (tmp_path / "b.txt").write_text("é")
+    got = {r.item_id: r.content for r in LD.read_files(spark, str(tmp_path)).select("item_id", "content").collect()}
+    assert got["b.txt"] == "é" and got["sub/a.txt"].startswith("ok \ufffd")
+
+
+def test_items_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("./x/a.py", "t"), ("/r/b.py", None)], "path string, content string")
+    LD.write_ranked(df, str(tmp_path / "items"))
+    got = sorted((r.item_id, r.path) for r in LD.read_items(spark, str(tmp_path / "items"), "/r").collect())
+    assert got == [("b.py", "b.py"), ("x/a.py", "x/a.py")]
 
 
 def test_relativize_and_exclude(spark):
-    df = spark.createDataFrame([("/repo/src/a.ts",), ("./lib/b.ts",), ("/repo/node_modules/x.js",)], "path string")
-    rel = relativize(df, "/repo")
-    pats = spark.createDataFrame([("^node_modules/",)], "pattern string")
-    assert sorted(r.path for r in exclude(rel, pats).collect()) == ["lib/b.ts", "src/a.ts"]
+    df = spark.createDataFrame([("/repo/src/a.ts",), ("./lib/b.ts",), ("/repo/vendor/x.js",), ("a|b",)], "path string")
+    rel = LD.relativize(df, "/repo")
+    assert sorted(r.path for r in LD.exclude(rel, ["^vendor/", r"\|"]).collect()) == ["lib/b.ts", "src/a.ts"]
+    assert LD.exclude(rel, []).count() == 4
+    assert LD.exclude(rel, ["^vendor/", r"\|", "^lib"], fold=1).count() == 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(ValueError):
+        shared_dir(Session())
