@@ -11,9 +11,10 @@ p and radii r, by the Cauchy-Schwarz inequality
 with the cells' counts, give a score that each query's k-th best reaches for
 sure; a data vector whose upper bound stays below it is not sent to that query
 cell.  Query cells are merged into groups of about ``QUERIES``, larger ones are
-split, and the data sent to a group is dealt by hash into slices of about
-``SLICE`` vectors; a task solves one group and slice exactly with numpy, a
-window merges the slices' best.
+split, and the data sent to a group is dealt by hash into slices of ``LEAST`` to
+``SLICE`` vectors (as few as keep all shuffle partitions busy, for queries go to
+every slice); a task solves one group and slice exactly with numpy, a window
+merges the slices' best.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 and rows without vec_id take no part; only vectors of equal length meet; rows
@@ -34,7 +35,8 @@ from kinrank.llm.shared import written
 K = 10
 PIVOTS = 64                 # sampled pivots: bounds what the driver holds and sends
 QUERIES = 2048              # queries solved together
-SLICE = 512                 # data vectors solved together
+SLICE = 32_768              # data vectors solved together, at most about so many ...
+LEAST = 512                 # ... and at least so many, if there are idle partitions
 SCALE = 1024
 SLACK = 1e-9                # relative allowance for rounding in the bounds
 
@@ -123,7 +125,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     data = summary(placed)
     rows = plan(pivots, data, summary(queries), k)
     routes = spark.createDataFrame(rows, "dim int, qcell int, cell int, grp int, blocks int, nearest double")
-    slices = max(1, -(-sum(n for _, _, n, _, _ in data) // SLICE))
+    n = sum(n for _, _, n, _, _ in data)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-n // SLICE), min(partitions, -(-n // LEAST)))
 
     asked = (queries.join(F.broadcast(routes.select("dim", F.col("qcell").alias("cell"), "grp", "blocks").distinct()),
                           ["dim", "cell"])
@@ -149,11 +153,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         if not exact:
             qv, xv = (np.array([[int(c) for c in r] for r in m], dtype=object) for m in (qv, xv))
         out = []
-        for at in range(0, len(qi), 256):
-            scores = qv[at:at + 256] @ xv.T
+        for at in range(0, len(qi), 64):
+            scores = qv[at:at + 64] @ xv.T
             if not exact:
                 scores = np.clip(scores, -(2 ** 63), 2 ** 63 - 1)
-            for i, row in zip(qi[at:at + 256].tolist(), scores):
+            for i, row in zip(qi[at:at + 64].tolist(), scores):
                 live = np.flatnonzero(xi != i)
                 if len(live) > 4 * k and exact:            # keep whatever ties with the k-th of distinct ids
                     cut = np.partition(row[live], len(live) - 2 * k)[len(live) - 2 * k]

@@ -43,7 +43,8 @@ def test_matches_brute_force(spark, monkeypatch):
         rows += [(2000 + i, rows[3][1]) for i in range(120)]           # one very common vector: ties
         assert run(spark, rows) == brute(rows, 10, 10)
         monkeypatch.setattr(K, "QUERIES", 20)
-        monkeypatch.setattr(K, "SLICE", 64)
+        monkeypatch.setattr(K, "LEAST", 64)
+        monkeypatch.setattr(K, "SLICE", 100)
 
 
 def test_pruning_leaves_cells_out():
