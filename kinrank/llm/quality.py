@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 from operator import eq
 
 import numpy as np
@@ -35,40 +36,45 @@ VOCABULARY = 2048
 WINDOW = 2
 HIDDEN = 24
 SHAPE = 6                    # figures of a document's shape
-MEMO = 200_000
 __all__ = ["fit", "sample", "scores"]
 
 
 def tokens(text: str | None) -> list[str]:
     """Runs of letters, of digits, and of other visible characters."""
-    import regex
-    return worker_memo("quality-tokens", lambda: regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")).findall(text or "")
-
-
-def index_vector(token: str):
-    """A token's sparse ternary vector."""
-    from xxhash import xxh3_128_intdigest
-    bits, out = xxh3_128_intdigest(token.encode()), np.zeros(DIM, np.float32)
-    for _ in range(MARKS):
-        bits, at = divmod(bits, DIM)
-        bits, sign = divmod(bits, 2)
-        out[at] += 1.0 if sign else -1.0
+    import re
+    find = worker_memo("quality-tokens", lambda: re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+").findall)
+    return find(text or "")
+
+
+def hashes(words: list[str]):
+    from xxhash import xxh3_64_intdigest
+    return np.fromiter((xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+def marks(h):
+    """The places and signs of the index vectors behind the hashes, mark by mark."""
+    for m in range(MARKS):
+        bits = (h >> np.uint64(10 * m)) & np.uint64(1023)
+        yield (bits >> np.uint64(1)).astype(np.int64) % DIM, np.where(bits & np.uint64(1), 1.0, -1.0)
+
+
+def index_vectors(words: list[str]):
+    """The sparse ternary vectors of tokens, one row each."""
+    out, rows = np.zeros((len(words), DIM), np.float32), np.arange(len(words))
+    for place, sign in marks(hashes(words)):
+        out[rows, place] += sign           # a row has one place in each mark
     return out
 
 
-def _shape(found: list[str]) -> list[float]:
+def _shape(found: list[str], low: list[str]) -> list[float]:
     n = len(found)
-    if not n:
-        return [0.0] * SHAPE
-    lower = [w.lower() for w in found]
-    return [math.log1p(n), len(set(lower)) / n, sum(map(eq, lower, lower[1:])) / n,
-            sum(w.isupper() and len(w) > 1 for w in found) / n, sum(map(len, found)) / n / 10,
-            sum(not w[0].isalnum() for w in found) / n]
+    return [math.log1p(n), len(set(low)) / n, sum(map(eq, low, low[1:])) / n,
+            sum(map(str.isupper, found)) / n, sum(map(len, found)) / n / 10, 1 - sum(map(str.isalnum, found)) / n]
 
 
-def _numbers(found: list[str], vocabulary: dict[str, int]):
-    get = vocabulary.get
-    return np.fromiter((get(w.lower(), -1) for w in found), np.int64, len(found))
+def _numbers(low: list[str], vocabulary: dict[str, int]):
+    """Vocabulary numbers of lower-cased tokens, -1 for all others."""
+    return np.fromiter(map(vocabulary.get, low, repeat(-1)), np.int64, len(low))
 
 
 def vocabulary(known: DataFrame) -> dict[str, int]:
@@ -96,16 +102,26 @@ def context_vectors(docs: DataFrame, words: dict[str, int]):
         import pyarrow as pa
         known = sent.value
         together = np.zeros(size * size, np.int64)       # of VOCABULARY squared, whatever the input
+        rows, held = [], 0
+
+        def add():
+            x = np.concatenate([*rows, np.empty(0, np.int64)])
+            for o in range(1, WINDOW + 1):
+                a, c = x[:-o], x[o:]
+                both = (a >= 0) & (c >= 0)
+                np.add(together, np.bincount(a[both] * size + c[both], minlength=size * size), out=together)
         for b in batches:
             for texts in text_batches(b, "text"):
-                row = [np.concatenate([_numbers(tokens(t), known), np.full(WINDOW, -1)]) for t in texts]
-                x = np.concatenate([*row, np.empty(0, np.int64)])
-                for o in range(1, WINDOW + 1):
-                    a, c = x[:-o], x[o:]
-                    both = (a >= 0) & (c >= 0)
-                    together += np.bincount(a[both] * size + c[both], minlength=size * size)
+                for t in texts:
+                    x = _numbers(tokens((t or "").lower()), known)
+                    rows += [x, np.full(WINDOW, -1)]
+                    held += len(x)
+                if held > 1_000_000:
+                    add()
+                    rows, held = [], 0
+        add()
         together = together.reshape(size, size)
-        index = np.array([index_vector(w) for w in known]).astype(np.int64)
+        index = index_vectors(list(known)).astype(np.int64)
         out = (together + together.T) @ index
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *(pa.array(out[:, i]) for i in range(DIM))],
                                          names=["word", *columns])
@@ -118,33 +134,29 @@ def context_vectors(docs: DataFrame, words: dict[str, int]):
 
 def pooled(model: dict):
     """A function from text to the document's vector."""
-    words, vectors, known = model["words"], model["vectors"], {}
-
-    def vector(w):
-        if len(known) > MEMO:
-            known.clear()
-        known[w] = index_vector(w)
-        return known[w]
+    words, vectors = model["words"], model["vectors"]
 
     def pool(text):
         found = tokens(text)
         if not found:
             return np.zeros(DIM + SHAPE)
-        x = _numbers(found, words)
-        total = np.bincount(x[x >= 0], minlength=len(words))[: len(words)] @ vectors
-        rest = Counter([found[i].lower() for i in np.flatnonzero(x < 0).tolist()])
-        if rest:
-            total = total + np.array(list(rest.values()), np.float32) @ np.array([known.get(w) if w in known else vector(w) for w in rest])
-        return np.concatenate([total / len(found), _shape(found)])
+        low = list(map(str.lower, found))
+        x = _numbers(low, words)
+        total = np.bincount(x[x >= 0], minlength=len(words)) @ vectors if len(words) else np.zeros(DIM)
+        rest = hashes([low[i] for i in np.flatnonzero(x < 0).tolist()])
+        for place, sign in marks(rest):
+            total = total + np.bincount(place, sign, DIM)
+        return np.concatenate([total / len(found), _shape(found, low)])
     return pool
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The classifier; `labelled` is what `sample` returned, a bounded number of rows."""
-    known = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").dropDuplicates(["doc_id"])
+    known = (docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
+             .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
     words = vocabulary(known)
     context = context_vectors(docs, words)
-    index = np.array([index_vector(w) for w in words], np.float32).reshape(-1, DIM)
+    index = index_vectors(list(words))
     length = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = index + context / np.maximum(length, 1) * math.sqrt(MARKS)
     model = {"words": words, "vectors": vectors}
@@ -158,7 +170,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))],
                                              names=["doc_id", "label", "x"])
     rows = (known.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, x array<double>")
-            .orderBy("doc_id").toPandas())                 # at most MAX_LABELLED rows
+            .toPandas().sort_values("doc_id"))             # at most MAX_LABELLED rows
     y = rows.label.to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
