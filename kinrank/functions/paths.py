@@ -120,9 +120,5 @@ def last_extension(path) -> Column:
 
 def language(path) -> Column:
     """Language from the (case-sensitive) last extension."""
-    ext = last_extension(path)
-    expr = None
-    for e, lang in W.LANGUAGE_BY_EXTENSION.items():
-        expr = (F.when(ext == e, F.lit(lang)) if expr is None
-                else expr.when(ext == e, F.lit(lang)))
-    return expr.otherwise(F.lit("generic"))
+    known = F.create_map(*[F.lit(x) for pair in W.LANGUAGE_BY_EXTENSION.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, last_extension(path)), F.lit("generic"))

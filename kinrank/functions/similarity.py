@@ -14,7 +14,7 @@ from . import wordlists as W
 from .paths import words
 
 
-def _let(value: Column, fn) -> Column:
+def let(value: Column, fn) -> Column:
     """Bind ``value`` once and use it several times inside ``fn``."""
     return F.element_at(F.transform(F.array(value), fn), 1)
 
@@ -94,7 +94,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     inside the loops is an array access, not a new split.
     """
     chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    jw = _let(chars, lambda s: _jaro_winkler_chars(s["a"], s["b"]))
+    jw = let(chars, lambda s: _jaro_winkler_chars(s["a"], s["b"]))
     return (F.when((F.length(a) == 0) & (F.length(b) == 0), F.lit(1.0))
             .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
             .otherwise(jw))
@@ -113,7 +113,7 @@ def _jaro_winkler_chars(ca: Column, cb: Column) -> Column:
         hits = F.filter(window, lambda j: (F.element_at(cb, j + 1) == ch)
                         & ~F.element_at(acc["bf"], j + 1))
         found = F.when(i - reach <= lb - 1, F.try_element_at(hits, F.lit(1)))
-        return _let(found, lambda j: F.when(j.isNull(), acc).otherwise(
+        return let(found, lambda j: F.when(j.isNull(), acc).otherwise(
             F.struct(F.transform(acc["bf"], lambda f, k: f | (k == j)).alias("bf"),
                      F.concat(acc["am"], F.array(i)).alias("am"))))
 
@@ -132,7 +132,7 @@ def _jaro_winkler_chars(ca: Column, cb: Column) -> Column:
                        lambda x, y: F.coalesce(x == y, F.lit(False)))
     first_miss = F.array_position(heads, False)
     prefix = F.when(first_miss == 0, F.size(heads)).otherwise(first_miss - 1)
-    return _let(jaro, lambda j: F.when(j > 0.7, j + 0.1 * prefix * (1.0 - j)).otherwise(j))
+    return let(jaro, lambda j: F.when(j > 0.7, j + 0.1 * prefix * (1.0 - j)).otherwise(j))
 
 
 def name_similarity(t: Column, c: Column, boost: float, jw=None) -> Column:

@@ -38,6 +38,9 @@ def get_session(master: str | None = None, app: str = "kinrank",
     return spark
 
 
+_FOLDERS: list[str] = []      # what shared_dir has named so far
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all machines of a
     cluster share.
@@ -52,7 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         base = tempfile.mkdtemp(prefix="kinrank-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kinrank-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{base.rstrip('/')}/kinrank-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -64,3 +68,11 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process, once no result that reads them is needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)

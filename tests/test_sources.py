@@ -1,7 +1,8 @@
 import pytest
 
 from kinrank.operators import cochange as co
-from kinrank.session import get_session, shared_dir  # noqa: F401
+from kinrank import session
+from kinrank.session import shared_dir, written
 from kinrank.sources import loaders as LD
 
 LOG = ("__COMMIT__\r\nlib/a.rs\r\n\tlib/b.rs \r\n\r\n__COMMIT__\r\ndocs/__COMMIT__notes.md\r\n__COMMIT__\r\n\r\n"
@@ -73,3 +74,14 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_intermediate_tables_can_be_removed(spark, monkeypatch):
+    import os
+    monkeypatch.setattr(session, "_FOLDERS", [])
+    df = written(spark.range(5).where("id > 9"))
+    assert df.count() == 0 and df.columns == ["id"]
+    folder = session._FOLDERS[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.remove_written(spark)
+    assert not os.path.exists(folder) and not session._FOLDERS
