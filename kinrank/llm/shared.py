@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import builtins
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinrank.session import shared_dir, written  # noqa: F401  (for the operators)
+
 # Python workers get these modules with the functions that use them, so that
 # no installed copy of the package is needed on the executors.
 cloudpickle.register_pickle_by_value(sys.modules["kinrank.llm"])
@@ -22,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, local runs) is a scratch folder
-    made; on a cluster the setting names the folder that all machines share.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="kinrank-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
-
-    This cuts lineage in a form that survives lost executors and whose columns
-    can still be pruned.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(divisor: int, column: str = "doc_id") -> Column:
     """True where crc32(id as text) leaves the remainder that is kept for tests."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor == 1, F.lit(False))
