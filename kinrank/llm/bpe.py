@@ -8,7 +8,7 @@ pair has a rank.  Words of more than ``SHORT`` bytes use a heap of ranks with
 linked parts instead (the same merges in the same order, not quadratic).
 
 Text is prepared as the file prescribes: added tokens are cut out of the raw
-text; the rest is normalised and pre-split.  Texts within U+0000-U+024F take
+text; the rest is normalised and pre-split.  Texts within U+0000-U+017F take
 a direct path (there the rules come to white space, lower case and a pattern);
 any other text goes through the library's normaliser and pre-tokeniser.
 
@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 from kinrank.llm.shared import text_batches, worker_memo
 
 SHORT = 128
-MEMO = 200_000               # words a worker remembers at once
+MEMO = 500_000               # words a worker remembers at once (about 120 MB)
 NONE = 1 << 62               # the rank of a pair that doesn't merge
 
-# Fixed values of the file format: white space of its normaliser below U+0250, and its word pattern.
-SPACE = "[\\t-\\r \\x85\\xa0]"
-PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|(?:(?!{SPACE})[^\\p{{L}}\\p{{N}}])+"
+# Fixed values of the file format, for characters below U+0180: white space of its
+# normaliser, letters (L), numbers (N), and its word pattern.
+SPACE = "\\t-\\r \\x85\\xa0"
+LETTER = "a-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f"
+NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+PATTERN = f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
 
 ENCODED = "doc_id {id}, ids array<int>, decoded string"
 
@@ -49,7 +52,8 @@ class Bpe:
     """One tokenizer file with byte letters, an end-of-word suffix and no decoder."""
 
     def __init__(self, path: str):
-        import regex
+        import re
+
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -64,9 +68,9 @@ class Bpe:
         self.letter_byte = {c: b for b, c in enumerate(letters)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.find = regex.compile(PATTERN).findall
-        self.plain = regex.compile("[\\x00-\\u024f]*").fullmatch
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.find = re.compile(PATTERN).findall
+        self.plain = re.compile("[\\x00-\\u017f]*").fullmatch
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.known: dict[bytes, tuple[bytes, str]] = {}
