@@ -11,8 +11,9 @@ Scan: Ruzzo and Tompa's linear-time algorithm finds every maximal scoring
 segment of a whole text.  Segments are kept if their expected number in clean
 text of that length (an extreme-value law whose two constants are fitted on
 clean sample documents) is below ``MAX_E``.  A logistic curve over the log
-expectation of the best segment and the share of positive score turns them
-into one probability per document.
+expectation of the best segment and the positive score of the text's distinct
+words (a word that a text repeats counts once there) turns them into one
+probability per document.
 
 Defined cases: a null or empty text has no tokens, no passages and the score
 of the curve at "nothing found"; repeated labelled rows count once (the
@@ -66,7 +67,8 @@ def sample(labels: DataFrame, label: str, is_held_out) -> DataFrame:
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The model as a small dictionary; `labelled` is what `sample` returned."""
-    known = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id").dropDuplicates(["doc_id"])
+    known = (docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
+             .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
 
     def count(batches):
         import pyarrow as pa
@@ -169,7 +171,7 @@ def segments(positions, scores, gap: float) -> list[tuple[int, int, float]]:
 
 
 def _token_scores(model: dict):
-    """A function from words to (places of positive tokens, their scores)."""
+    """A function from words to (places of positive tokens, their scores, sum over distinct words)."""
     lexicon, known = model["lexicon"], {}
 
     def score(found):
@@ -181,7 +183,7 @@ def _token_scores(model: dict):
                 w = found[i]
                 out[i] = known[w] = max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)
         at = [i for i, s in enumerate(out) if s > 0]
-        return at, [out[i] for i in at]
+        return at, [out[i] for i in at], sum({found[i]: out[i] for i in at}.values())
     return score
 
 
@@ -194,9 +196,9 @@ def _scanner(model: dict):
             for texts in text_batches(b, "text"):
                 for text in texts:
                     found = words(text)
-                    at, s = score(found)
+                    at, s, total = score(found)
                     best = max((x[2] for x in segments(at, s, model["gap"])), default=0.0)
-                    out.append((len(found), len(at), best, float(sum(s))))
+                    out.append((len(found), len(at), best, float(total)))
             ids = b.column(b.schema.get_field_index("doc_id"))
             n, hits, best, total = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -213,9 +215,9 @@ def _judge(model: dict):
 
     def judge(text):
         found = words(text)
-        at, s = score(found)
+        at, s, total = score(found)
         all_of = segments(at, s, gap)
-        x = _evidence(model, len(found), len(at), max((v[2] for v in all_of), default=0.0), float(sum(s)))
+        x = _evidence(model, len(found), len(at), max((v[2] for v in all_of), default=0.0), float(total))
         p = 1 / (1 + math.exp(-min(max(sum(a * w for a, w in zip(x, curve)), -30), 30)))
         return p, len(found), [
             {"first": i, "last": j, "score": v, "expected": e} for i, j, v in all_of
