@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Documents are read once into slabs: the distinct words of some million tokens
+Documents are read once into slabs: the distinct words of about a million tokens
 and the texts as word numbers.  Slabs and parts of the hashed vocabulary meet
 in two shuffles of packed arrays (a slab sends each part its words with their
 training counts, the part answers with the corpus-wide counts), so every
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from kinrank.llm.shared import held_out, text_batches, written
 
-SLAB = 2_000_000             # tokens of a slab
+SLAB = 1_000_000             # tokens of a slab
 PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
 FREQUENT = 1e-5              # share of all tokens that a word of a counted bigram has at least
 MIN_COUNT = 2
