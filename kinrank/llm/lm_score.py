@@ -1,16 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Documents are read once into slabs: the distinct words of about a million tokens
+Documents are read once into slabs: the distinct words of about ``SLAB`` tokens
 and the texts as word numbers.  Slabs and parts of the hashed vocabulary meet
 in two shuffles of packed arrays (a slab sends each part its words with their
-training counts, the part answers with the corpus-wide counts), so every
-document gets the exact count of each of its words; this gives the base score
-and the unigram backoff.
-
-Bigrams are counted in the same way, over words that make up at least
-``FREQUENT`` of all training tokens (so at most 1 / FREQUENT words).  Those seen
-``MIN_COUNT`` times or more go into a Bloom filter: a bigram of quantised
-log count q = 1 + floor(log_BASE c) is entered q times, as (bigram, 1) to
+training counts, the part answers with the corpus-wide counts and discounted
+masses), so every document gets the exact count of each of its words; this gives
+the base score and the unigram backoff.
+
+Before that, a slab sends its bigrams, as the 64-bit hashes of their two words,
+to parts of the hashed bigrams, which add up their counts.  Those seen
+``MIN_COUNT`` times or more, at any size of the corpus and however rare their
+words, go into a Bloom filter: a bigram of quantised log count q = 1 + floor(log_BASE c) is entered q times, as (bigram, 1) to
 (bigram, q).  Every part of the bigram keys builds its own block of the filter;
 blocks are broadcast in segments of at most ``SEGMENT`` bytes, one pass over the
 slabs for each (a token's bigram belongs to one block, so passes add up).  A
@@ -19,7 +19,7 @@ fails.  With absolute discounting,
 
     P(w | v) = max(c(v, w) - D, 0) / c(v) + (1 - S(v) / c(v)) P(w),
 
-where S(v) is the discounted mass of the bigrams that begin with v, and P(w)
+where S(v) is the discounted mass of the bigrams that begin with v , and P(w)
 gives unseen words the Good-Turing share of the tokens.  The score is the sum of
 log10 P over the words and the end of a text; the end also serves as the
 context of the first word.
@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 
 from kinrank.llm.shared import held_out, text_batches, written
 
-SLAB = 1_000_000             # tokens of a slab
+SLAB = 750_000               # tokens of a slab
 PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
-FREQUENT = 1e-5              # share of all tokens that a word of a counted bigram has at least
-MIN_COUNT = 2
+FREQUENT = 0.0               # no share of all tokens is asked of a bigram's words (unused; tests set it)
+MIN_COUNT = 2                # of a bigram, whatever the size of the corpus
 BASE = 1.5                   # of the logarithm that quantises counts
 DISCOUNT = 0.75
 PROBES, BITS = 6, 10         # hash functions, and bits for each entry
@@ -93,7 +93,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def slabs(docs: DataFrame, parts: int) -> DataFrame:
-    """Two kinds of rows: texts as word numbers (part null), and vocabularies by part."""
+    """Two kinds of rows: texts as word numbers, with the words' hashes (part null), and vocabularies by part."""
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -114,7 +114,7 @@ def slabs(docs: DataFrame, parts: int) -> DataFrame:
             train = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(x[train], minlength=len(h)).astype(np.uint32)
             h, part = h[order], part[order]
-            rows = [(serial, None, pack(x), None, ids, held, sizes, int(train.sum()))]
+            rows = [(serial, None, pack(x), pack_sorted(h), ids, held, sizes, int(train.sum()))]
             cut = np.searchsorted(part, np.arange(parts + 1))
             rows += [(serial, p, pack_sorted(h[a:b]), pack(counts[a:b]), None, None, None, None)
                      for p, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if b > a]
@@ -141,55 +141,105 @@ def slabs(docs: DataFrame, parts: int) -> DataFrame:
              "sizes array<int>, train bigint")
 
 
-def _totals(keys: list, counts: list):
+def _totals(keys: list, counts: list, kind=np.int64):
     """Sum of the counts of equal keys: distinct keys, sums, and each entry's place among them."""
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64), at
+    unique, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_inverse=True)
+    return unique, np.bincount(at, np.concatenate([np.empty(0, kind), *counts]), len(unique)).astype(kind), at
 
 
-def answers(vocabulary: DataFrame, least: int) -> DataFrame:
-    """For each slab and part the corpus counts in the slab's order, with the hashes of frequent
-    words; and for each part (slab null) its statistics and frequent words."""
-    def run(t):
+def answers(vocabulary: DataFrame, heads: DataFrame) -> DataFrame:
+    """For each slab and part, in the slab's order, the corpus counts of its words and the discounted
+    mass of the bigrams that each begins; and for each part (slab null) its statistics."""
+    def run(t, m):
         import pyarrow as pa
+        head, mass, _ = _totals([unpack_sorted(x) for x in m.column("head").to_pylist()],
+                                [unpack(x, np.float64) for x in m.column("mass").to_pylist()], np.float64)
         keys = [unpack_sorted(x) for x in t.column("a").to_pylist()]
         unique, total, at = _totals(keys, [unpack(x, np.uint32) for x in t.column("b").to_pylist()])
-        part, rows, a = t.column("part")[0].as_py(), [], 0
-        for slab, k in zip(t.column("slab").to_pylist(), keys):
-            c = total[at[a:a + len(k)]]
+        weight = np.zeros(len(unique))
+        weight[np.searchsorted(unique, head)] = mass           # a bigram's first word is some slab's word
+        rows, a = [], 0
+        for slab, part, k in zip(t.column("slab").to_pylist(), t.column("part").to_pylist(), keys):
+            of = at[a:a + len(k)]
             a += len(k)
-            rows.append((slab, part, pack(c.astype(np.uint64)), pack_sorted(k[c >= least]), None, None, None))
-        often = total >= least
-        rows.append((None, part, pack(unique[often]), pack(total[often]), int(total.sum()), int((total > 0).sum()),
-                     int((total == 1).sum())))
+            rows.append((slab, part, pack(total[of].astype(np.uint64)), pack(weight[of]), None, None, None))
+        rows.append((None, None, None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum())))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                         names=["slab", "part", "a", "b", "n", "v", "ones"])
-    return vocabulary.groupBy("part").applyInArrow(
+    return vocabulary.groupBy("part").cogroup(heads.groupBy("part")).applyInArrow(
         run, "slab bigint, part int, a binary, b binary, n bigint, v bigint, ones bigint")
 
 
-def _slab(left, right, words):
-    """A slab's word numbers, the counts behind them and the numbers of frequent words (or -1)."""
-    x = unpack(left.column("a")[0].as_py(), np.uint32)
-    order = np.argsort(right.column("part").to_numpy())
-    a, b = (right.column(c).to_pylist() for c in "ab")
-    counts = np.concatenate([unpack(a[i], np.uint64) for i in order]).astype(np.int64)
-    often = np.concatenate([unpack_sorted(b[i]) for i in order])
-    number = np.full(len(counts), -1, np.int64)
-    if len(words["hash"]):
-        number[np.flatnonzero(counts >= words["least"])] = words["number"][np.searchsorted(words["hash"], often)]
-    return x, counts, number
+def _before(x, sizes):
+    """For each token the word number before it; the end stands before a text's first word."""
+    before = np.empty_like(x)
+    before[1:] = x[:-1]            # the token before a text's first one is the end of the text before
+    if len(x):
+        before[0] = x[np.sum(sizes[:1]) - 1]
+    return before
+
+
+def bigram_key(head, tail):
+    """The 64-bit key of a bigram, from the hashes of its words."""
+    with np.errstate(over="ignore"):
+        return mix(mix(head) + tail)
+
+
+def pack_hashes(number, hashes) -> tuple[bytes, bytes]:
+    """hashes[number], as the distinct ones and each entry's place among them (byte by byte: mostly zeros)."""
+    distinct, at = np.unique(number, return_inverse=True)
+    return pack_sorted(hashes[distinct]), pack(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel())
 
 
-def _bigrams(x, number, sizes):
-    """For each token the key of (word before, word), or -1; the end stands before the first word."""
-    n = number[x]
-    before = np.empty_like(n)
-    before[1:] = n[:-1]            # the token before a text's first one is the end of the text before
-    if len(n):
-        before[0] = n[np.sum(sizes[:1]) - 1]
-    return np.where((n >= 0) & (before >= 0), (before << 32) | n.clip(0), -1), before
+def unpack_hashes(distinct, at):
+    return unpack_sorted(distinct)[np.ascontiguousarray(unpack(at, np.uint8).reshape(4, -1).T).view("<u4").ravel()]
+
+
+def bigrams(texts: DataFrame, parts: int) -> DataFrame:
+    """Rows by part: first words (a, b), second words (c, d) and training counts (n) of a slab's bigrams."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for a, b, held, sizes in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "held", "sizes"))):
+                x, h = unpack(a, np.uint32).astype(np.int64), unpack_sorted(b)
+                train = np.repeat(~np.array(held, bool), sizes)
+                pair, n = np.unique(_before(x, sizes)[train] * len(h) + x[train], return_counts=True)
+                head, tail = pair // len(h), pair % len(h)
+                part = (bigram_key(h[head], h[tail]) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                rows = [(p, *pack_hashes(head[at], h), *pack_hashes(tail[at], h), pack(n[at].astype(np.uint32)))
+                        for p, at in enumerate(order[i:j] for i, j in zip(cut, cut[1:])) if len(at)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32())
+                                                      for k, c in enumerate(zip(*rows))], names=["part", *"abcdn"])
+    return texts.select("a", "b", "held", "sizes").mapInArrow(
+        run, "part int, a binary, b binary, c binary, d binary, n binary")
+
+
+def blocks_of(pairs: DataFrame, parts: int) -> DataFrame:
+    """For each part of the bigrams its filter block; and (block null) the first words of its counted
+    bigrams with their discounted masses, by part of the vocabulary."""
+    def run(t):
+        import pyarrow as pa
+        packed = [t.column(c).to_pylist() for c in "abcd"]
+        keys = [bigram_key(unpack_hashes(a, b), unpack_hashes(c, d)) for a, b, c, d in zip(*packed)]
+        key, total, at = _totals(keys, [unpack(x, np.uint32) for x in t.column("n").to_pylist()])
+        head, i = np.empty(len(key), np.uint64), 0
+        for k, a, b in zip(keys, *packed[:2]):             # unpacked again: all of them at once are large
+            head[at[i:i + len(k)]] = unpack_hashes(a, b)
+            i += len(k)
+        keep = total >= MIN_COUNT
+        key, total = key[keep], total[keep]
+        head, at = np.unique(head[keep], return_inverse=True)
+        mass = np.bincount(at, expected(level(total)) - DISCOUNT, len(head)) if len(head) else np.empty(0)
+        home = (head % np.uint64(parts)).astype(np.int64)
+        rows = [(t.column("part")[0].as_py(), build_block(key, total), None, None)]
+        rows += [(p, None, pack_sorted(head[of]), pack(mass[of])) for p in np.unique(home).tolist() for of in [home == p]]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "block", "head", "mass"])
+    return pairs.groupBy("part").applyInArrow(run, "part int, block binary, head binary, mass binary")
 
 
 def entries(key, q):
@@ -251,59 +301,22 @@ def score(docs: DataFrame, divisor: int = 5) -> DataFrame:
     read = written(slabs(docs.withColumn("held", held_out(divisor)), parts))
     texts, vocabulary = read.where("part is null"), read.where("part is not null")
     n_train = texts.agg(F.sum("train")).first()[0] or 0
-    least = max(MIN_COUNT, math.ceil(FREQUENT * n_train))
-    answered = written(answers(vocabulary.select("slab", "part", "a", "b"), least))
+    built = written(blocks_of(bigrams(texts, parts), parts))
+    blocks = built.where("block is not null").select("part", "block")
+    answered = written(answers(vocabulary.select("slab", "part", "a", "b"),
+                               built.where("block is null").select("part", "head", "mass")))
     replies, facts = answered.where("slab is not null"), answered.where("slab is null")
     v, ones = facts.agg(F.sum("v"), F.sum("ones")).first()
     v, ones = v or 0, ones or 0
-    often = [(unpack(r.a, np.uint64), unpack(r.b, np.int64)) for r in facts.select("a", "b").collect()]
-    hashes = np.concatenate([np.empty(0, np.uint64), *(a for a, _ in often)])       # at most 1 / FREQUENT words
-    counts = np.concatenate([np.empty(0, np.int64), *(b for _, b in often)])
-    order = np.argsort(hashes)
-    words = {"hash": hashes[order], "count": counts[order], "number": np.arange(len(order)), "least": least}
-    sent = spark.sparkContext.broadcast(words)
-    left = texts.select("slab", "a", "ids", "held", "sizes").groupBy("slab")
+    left = texts.select("slab", "a", "b", "ids", "held", "sizes").groupBy("slab")
     right = replies.select("slab", "part", "a", "b").groupBy("slab")
-
-    def pairs(d, r):
-        import pyarrow as pa
-        x, _, number = _slab(d, r, sent.value)
-        sizes = np.array(d.column("sizes")[0].as_py())
-        key, _ = _bigrams(x, number, sizes)
-        key = key[(key >= 0) & np.repeat(~np.array(d.column("held")[0].as_py(), bool), sizes)]
-        key, n = np.unique(key.astype(np.uint64), return_counts=True)
-        part = (mix(key) % np.uint64(parts)).astype(np.int64)
-        rows = [(p, pack_sorted(key[at]), pack(n[at].astype(np.uint32)))
-                for p in np.unique(part).tolist() for at in [part == p]]
-        rows = list(zip(*rows)) or [(), (), ()]
-        return pa.table([pa.array(c, k) for c, k in zip(rows, (pa.int32(), pa.binary(), pa.binary()))],
-                        names=["part", "a", "b"])
-
-    def block(t):
-        import pyarrow as pa
-        key, total, _ = _totals([unpack_sorted(x) for x in t.column("a").to_pylist()],
-                                [unpack(x, np.uint32) for x in t.column("b").to_pylist()])
-        keep = total >= MIN_COUNT
-        key, total = key[keep], total[keep]
-        head, at = np.unique((key >> np.uint64(32)).astype(np.int64), return_inverse=True)
-        mass = np.bincount(at, expected(level(total)) - DISCOUNT, len(head)) if len(head) else np.empty(0)
-        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([build_block(key, total)], pa.binary()),
-                         pa.array([pack(head)], pa.binary()), pa.array([pack(mass)], pa.binary())],
-                        names=["part", "block", "head", "mass"])
-
-    blocks = written(left.cogroup(right).applyInArrow(pairs, "part int, a binary, b binary")
-                     .groupBy("part").applyInArrow(block, "part int, block binary, head binary, mass binary"))
-    mass = np.zeros(len(order))
-    for r in blocks.select("head", "mass").toLocalIterator():       # sums over at most 1 / FREQUENT words
-        np.add.at(mass, unpack(r.head, np.int64), unpack(r.mass, np.float64))
-    model = {"n": n_train, "v": v, "unseen": min(max(ones / v, 0.1), 0.9) if v else 0.0, "parts": parts,
-             "left": np.clip(1 - mass / np.maximum(words["count"], 1), 0.01, 1.0)}
+    model = {"n": n_train, "v": v, "unseen": min(max(ones / v, 0.1), 0.9) if v else 0.0, "parts": parts}
     scored, segments = None, _segments(blocks)
     model["blocks"] = np.array(sum(segments, []), np.int64)
     for number, segment in enumerate(segments):
         got = {r.part: bytes(r.block) for r in blocks.where(F.col("part").isin(segment)).collect()}  # <= SEGMENT bytes
         filled = spark.sparkContext.broadcast(got)
-        one = left.cogroup(right).applyInArrow(_scorer(model, sent, filled, first=number == 0), SCORED)
+        one = left.cogroup(right).applyInArrow(_scorer(model, filled, first=number == 0), SCORED)
         scored = one if scored is None else scored.unionByName(one)
     if number:
         scored = (scored.groupBy("slab", "place").agg(
@@ -328,40 +341,39 @@ def _segments(blocks: DataFrame) -> list[list[int]]:
     return out
 
 
-def _scorer(model, sent, filled, first: bool):
+def _scorer(model, filled, first: bool):
     def run(d, r):
         import pyarrow as pa
-        words = sent.value
-        x, counts, number = _slab(d, r, words)
+        x, h = unpack(d.column("a")[0].as_py(), np.uint32).astype(np.int64), unpack_sorted(d.column("b")[0].as_py())
         sizes = np.array(d.column("sizes")[0].as_py(), np.int64)
-        key, before = _bigrams(x, number, sizes)
+        order = np.argsort(r.column("part").to_numpy())
+        counts, mass = (np.concatenate([unpack(column[i], kind) for i in order]).astype(kind) for column, kind in (
+            (r.column("a").to_pylist(), np.int64), (r.column("b").to_pylist(), np.float64)))
+        before = _before(x, sizes)
+        live = (counts[x] >= MIN_COUNT) & (counts[before] >= MIN_COUNT)       # no other bigram can be in the filter
         c = counts[x]
         n, v = model["n"], model["v"]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         if n:
             p = np.where(c > 0, c - model["unseen"], model["unseen"] * v) / n
-            context = np.where(before >= 0, before, 0)
-            if len(words["count"]):
-                p = np.where(before >= 0, p * model["left"][context], p)
-            mine = key < 0 if first else np.zeros(len(key), bool)
-            at = np.flatnonzero(key >= 0)
-            part = (mix(key[at]) % np.uint64(model["parts"])).astype(np.int64)
-            unique, back = np.unique(key[at], return_inverse=True)
-            where = np.zeros(len(unique), np.int64)
-            where[back] = part
+            p = p * np.clip(1 - mass / np.maximum(counts, 1), 0.01, 1.0)[before]
+            mine = ~live if first else np.zeros(len(x), bool)
+            pair, back = np.unique(before[live] * len(h) + x[live], return_inverse=True)
+            unique = bigram_key(h[pair // len(h)], h[pair % len(h)])
+            where = (unique % np.uint64(model["parts"])).astype(np.int64)
             q = np.zeros(len(unique), np.int64)
             seen = np.full(len(unique), first) & ~np.isin(where, model["blocks"])    # parts without any bigram
             for k, data in filled.value.items():
                 own = np.flatnonzero(where == k)
                 q[own], seen[own] = probe(data, unique[own]), True
-            own = np.zeros(len(key), bool)
-            own[at] = seen[back]
-            gain = np.zeros(len(key))
+            own = np.zeros(len(x), bool)
+            own[live] = seen[back]
+            gain = np.zeros(len(x))
             found = q[back]
-            gain[at] = np.where(found > 0, expected(found) - DISCOUNT, 0) / np.maximum(words["count"][context[at]], 1)
+            gain[live] = np.where(found > 0, expected(found) - DISCOUNT, 0) / np.maximum(counts[before[live]], 1)
             each = np.where(mine | own, np.log10(p + gain), 0.0)
         else:
-            each = base if first else np.zeros(len(key))
+            each = base if first else np.zeros(len(x))
         ends = np.cumsum(sizes) - sizes
         rows = [np.add.reduceat(y, ends) if len(ends) else np.empty(0) for y in (c > 0, base, each)]
         m = len(sizes)

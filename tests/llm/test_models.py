@@ -104,3 +104,27 @@ def test_filter_probes():
     levels = M.level(np.arange(1, 2000))
     assert levels[0] == 1 and (np.diff(levels) >= 0).all()
     assert abs(M.expected(M.level(np.arange(1, 2000))).sum() / np.arange(1, 2000).sum() - 1) < 0.1
+
+
+def test_rare_bigrams_count_in_a_larger_corpus(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 8000)) for _ in range(140)]     # a bar of 1e-5 would be 9
+    texts += ["zeta eta"] * 4 + ["eta theta zeta", "zeta eta", "eta zeta"]
+    docs = documents(spark, texts)
+    rows = [(r.doc_id, M.tokens(r.text)) for r in docs.collect()]
+    uni, bi, mass = Counter(), Counter(), Counter()
+    for i, ts in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            uni.update(ts)
+            bi.update(zip([ts[-1], *ts], ts))
+    bi = {k: float(M.expected(M.level(np.array([c])))[0]) - M.DISCOUNT for k, c in bi.items() if c >= M.MIN_COUNT}
+    for (a, _), c in bi.items():
+        mass[a] += c
+    n, v = sum(uni.values()), len(uni)
+    unseen = min(max(sum(c == 1 for c in uni.values()) / v, 0.1), 0.9)
+    want = {i: sum(math.log10((uni[w] - unseen if uni[w] else unseen * v) / n * min(max(1 - mass[a] / max(uni[a], 1), 0.01), 1)
+                              + bi.get((a, w), 0) / max(uni[a], 1)) for a, w in zip([ts[-1], *ts], ts)) for i, ts in rows}
+    assert 2 <= uni[b"zeta"] < 1e-5 * n and (b"zeta", b"eta") in bi
+    got = {r.doc_id: r.score for r in M.score(docs).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in range(140, 147))
+    assert abs(sum(got[i] for i in range(140)) / sum(want[i] for i in range(140)) - 1) < 1e-2
