@@ -1,18 +1,23 @@
 """A quality classifier on random-indexing word vectors.
 
 Every token has an index vector: a few +1 and -1 among ``DIM`` places, given by a
-hash of the token.  The ``VOCABULARY`` tokens found in most of the labelled
-sample's documents also get context vectors: the sum of the index vectors of
-their neighbours (``WINDOW`` to either side) over all documents of the corpus.  A
-token's word vector is its index vector plus its context vector scaled to the
-same length (other tokens: the index vector alone).  A document's vector is the
+hash of the token.  Its context vector is the sum of the index vectors of its
+neighbours (``WINDOW`` to either side) over all documents of the corpus, its word
+vector the index vector plus the context vector scaled to the same length (the
+index vector alone if the corpus does not hold the token).  All tokens take
+part: documents are read once into slabs, the distinct words of about ``SLAB``
+tokens with partial context vectors and the texts as word numbers; parts of the
+hashed vocabulary add the vectors up and answer every slab for its words, in
+shuffles of packed arrays.  Tokens are told apart by 64-bit hashes.  A
+document's vector is the
 mean over its tokens, together with a few figures of its shape; a network of
 two layers, fitted with numpy on a bounded labelled sample, scores it, and a
 temperature fitted on a part of the sample that the network did not see
 calibrates the probability.
 
 Defined cases: a null or empty text has the zero vector and the score the
-network gives it; repeated labelled rows count once (the largest label wins); a
+network gives it; repeated labelled rows count once (the largest label wins,
+with the largest vector); a
 null label is ignored; a sample of one class gives every document that class's
 share.  Extra columns stay out of the result.
 """
@@ -20,20 +25,21 @@ share.  Extra columns stay out of the result.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import repeat
 from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.shared import text_batches, worker_memo
+from kinrank.llm.lm_score import pack, pack_sorted, unpack, unpack_sorted
+from kinrank.llm.shared import text_batches, worker_memo, written
 from kinrank.llm.toxicity import sample
 
 DIM, MARKS = 64, 6           # length of the vectors; how many places of an index vector are not zero
-VOCABULARY = 2048
 WINDOW = 2
+SLAB = 500_000               # tokens of a slab
+PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
+CHUNK = 1 << 16              # tokens whose vectors are added up at once
 HIDDEN = 24
 SHAPE = 6                    # figures of a document's shape
 __all__ = ["fit", "sample", "scores"]
@@ -58,123 +64,171 @@ def marks(h):
         yield (bits >> np.uint64(1)).astype(np.int64) % DIM, np.where(bits & np.uint64(1), 1.0, -1.0)
 
 
-def index_vectors(words: list[str]):
-    """The sparse ternary vectors of tokens, one row each."""
-    out, rows = np.zeros((len(words), DIM), np.float32), np.arange(len(words))
-    for place, sign in marks(hashes(words)):
+def index_vectors(h):
+    """The sparse ternary vectors of hashed tokens, one row each."""
+    out, rows = np.zeros((len(h), DIM), np.float32), np.arange(len(h))
+    for place, sign in marks(h):
         out[rows, place] += sign           # a row has one place in each mark
     return out
 
 
 def _shape(found: list[str], low: list[str]) -> list[float]:
     n = len(found)
+    if not n:
+        return [0.0] * SHAPE
     return [math.log1p(n), len(set(low)) / n, sum(map(eq, low, low[1:])) / n,
             sum(map(str.isupper, found)) / n, sum(map(len, found)) / n / 10, 1 - sum(map(str.isalnum, found)) / n]
 
 
-def _numbers(low: list[str], vocabulary: dict[str, int]):
-    """Vocabulary numbers of lower-cased tokens, -1 for all others."""
-    return np.fromiter(map(vocabulary.get, low, repeat(-1)), np.int64, len(low))
+def pack_signed(x) -> bytes:
+    """Whole numbers byte by byte, lowest bytes first: the others are mostly zeros."""
+    x = ((x << 1) ^ (x >> (8 * x.itemsize - 1))).ravel()
+    return pack(x.view(np.uint8).reshape(-1, x.itemsize).T.ravel())
 
 
-def vocabulary(known: DataFrame) -> dict[str, int]:
-    """Tokens by the number of sample documents that hold them, the VOCABULARY most frequent."""
-    def run(batches):
-        import pyarrow as pa
-        for b in batches:
-            seen: Counter = Counter()
-            for texts in text_batches(b, "text"):
-                for t in texts:
-                    seen.update({w.lower() for w in tokens(t)})
-            yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
-    rows = (known.select("text").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "token").limit(VOCABULARY).collect())
-    return {r.token: i for i, r in enumerate(rows)}
+def unpack_signed(data, kind):
+    """What pack_signed had of rows of DIM numbers."""
+    x = np.ascontiguousarray(unpack(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return ((x >> 1) ^ -(x & 1)).reshape(-1, DIM)
 
 
-def context_vectors(docs: DataFrame, words: dict[str, int]):
-    """Sums of the neighbours' index vectors over all documents, one row a vocabulary word."""
-    size = len(words)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    columns = [f"c{i}" for i in range(DIM)]
+def contexts(x, sizes, h):
+    """Sums of the neighbours' index vectors over the texts of a slab, one row a word."""
+    doc, out, pairs = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(h) * DIM), []
+    for o in range(1, WINDOW + 1):
+        same = doc[:-o] == doc[o:]
+        a, c = x[:-o][same], x[o:][same]
+        pairs += [(a, c), (c, a)]
+    word, near = map(np.concatenate, zip(*pairs))
+    word *= DIM
+    for place, sign in marks(h):
+        out += np.bincount(word + place[near], sign[near], len(out))
+    return out.astype(np.int32).reshape(-1, DIM)
 
+
+def slabs(docs: DataFrame, parts: int, counted: bool) -> DataFrame:
+    """Two kinds of rows: texts as word numbers, with the words' hashes (part null), and vocabularies
+    by part, with partial context vectors if `counted`."""
     def run(batches):
         import pyarrow as pa
-        known = sent.value
-        together = np.zeros(size * size, np.int64)       # of VOCABULARY squared, whatever the input
-        rows, held = [], 0
-
-        def add():
-            x = np.concatenate([*rows, np.empty(0, np.int64)])
-            for o in range(1, WINDOW + 1):
-                a, c = x[:-o], x[o:]
-                both = (a >= 0) & (c >= 0)
-                np.add(together, np.bincount(a[both] * size + c[both], minlength=size * size), out=together)
+        from pyspark import TaskContext
+        schema = pa.schema([("slab", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()),
+                            ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
+                            ("shapes", pa.list_(pa.float32()))])
+        serial = TaskContext.get().partitionId() << 32
+
+        def flush():
+            nonlocal index, numbers, ids, sizes, shapes, serial
+            h = hashes(list(index))
+            part = (h % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((h, part))                       # words by part, then by hash
+            place = np.empty(len(h), np.int64)
+            place[order] = np.arange(len(h))
+            x, h = place[np.array(numbers, np.int64)], h[order]
+            rows = [(serial, None, pack(x.astype(np.uint32)), pack_sorted(h), ids, sizes, shapes)]
+            cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            sums = contexts(x, sizes, h) if counted else None
+            rows += [(serial, p, pack_sorted(h[a:b]), pack_signed(sums[a:b]) if counted else None, None, None, None)
+                     for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            index, numbers, ids, sizes, shapes = {}, [], [], [], []
+            serial += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        index, numbers, ids, sizes, shapes = {}, [], [], [], []
         for b in batches:
+            doc = iter(b.column(0).to_pylist())
             for texts in text_batches(b, "text"):
-                for t in texts:
-                    x = _numbers(tokens((t or "").lower()), known)
-                    rows += [x, np.full(WINDOW, -1)]
-                    held += len(x)
-                if held > 1_000_000:
-                    add()
-                    rows, held = [], 0
-        add()
-        together = together.reshape(size, size)
-        index = index_vectors(list(known)).astype(np.int64)
-        out = (together + together.T) @ index
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *(pa.array(out[:, i]) for i in range(DIM))],
-                                         names=["word", *columns])
-    if not size:
-        return np.zeros((0, DIM), np.float32)
-    sums = (docs.select("text").mapInArrow(run, "word bigint, " + ", ".join(f"{c} bigint" for c in columns))
-            .groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("word").collect())
-    return np.array([r[1:] for r in sums], np.float32)
-
-
-def pooled(model: dict):
-    """A function from text to the document's vector."""
-    words, vectors = model["words"], model["vectors"]
-
-    def pool(text):
-        found = tokens(text)
-        if not found:
-            return np.zeros(DIM + SHAPE)
-        low = list(map(str.lower, found))
-        x = _numbers(low, words)
-        total = np.bincount(x[x >= 0], minlength=len(words)) @ vectors if len(words) else np.zeros(DIM)
-        rest = hashes([low[i] for i in np.flatnonzero(x < 0).tolist()])
-        for place, sign in marks(rest):
-            total = total + np.bincount(place, sign, DIM)
-        return np.concatenate([total / len(found), _shape(found, low)])
-    return pool
+                for text in texts:
+                    found = tokens(text)
+                    low, number = list(map(str.lower, found)), index.setdefault
+                    numbers += [number(w, len(index)) for w in low]
+                    ids.append(next(doc)), sizes.append(len(low)), shapes.extend(_shape(found, low))
+                    if len(numbers) >= SLAB:
+                        yield flush()
+        if ids:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "slab bigint, part int, a binary, b binary, ids array<bigint>, sizes array<int>, shapes array<float>")
+
+
+def context_vectors(read: DataFrame) -> DataFrame:
+    """(part, a, b): the hashes of all tokens of a part of the vocabulary, and their context vectors."""
+    def run(t):
+        import pyarrow as pa
+        keys = [unpack_sorted(x) for x in t.column("a").to_pylist()]
+        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total, i = np.zeros((len(unique), DIM), np.int64), 0
+        for k, sums in zip(keys, t.column("b")):
+            total[at[i:i + len(k)]] += unpack_signed(sums.as_py(), np.int32)       # a slab has a word once
+            i += len(k)
+        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([pack_sorted(unique)], pa.binary()),
+                         pa.array([pack_signed(total)], pa.binary())], names=["part", "a", "b"])
+    return (read.where("part is not null").select("part", "a", "b").groupBy("part")
+            .applyInArrow(run, "part int, a binary, b binary"))
+
+
+def pooled(read: DataFrame, context: DataFrame) -> DataFrame:
+    """(doc_id, x): the vector of every document in the slabs."""
+    def reply(t, m):
+        import pyarrow as pa
+        known = unpack_sorted(m.column("a")[0].as_py()) if len(m) else np.empty(0, np.uint64)
+        total = unpack_signed(m.column("b")[0].as_py(), np.int64) if len(m) else None
+        rows = []
+        for slab, part, a in zip(*(t.column(c).to_pylist() for c in ("slab", "part", "a"))):
+            k, c = unpack_sorted(a), None
+            c = np.zeros((len(k), DIM), np.int64)
+            if len(known):
+                at = np.searchsorted(known, k).clip(max=len(known) - 1)
+                there = known[at] == k
+                c[there] = total[at[there]]
+            rows.append((slab, part, pack_signed(c)))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [(), (), ()],
+                                                        (pa.int64(), pa.int32(), pa.binary()))], names=["slab", "part", "c"])
+
+    def pool(d, r):
+        import pyarrow as pa
+        if not len(d):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float32()))})
+        x, h = unpack(d.column("a")[0].as_py(), np.uint32).astype(np.int64), unpack_sorted(d.column("b")[0].as_py())
+        sizes = np.array(d.column("sizes")[0].as_py(), np.int64)
+        vectors, c = index_vectors(h), r.column("c")
+        i = 0
+        for row in np.argsort(r.column("part").to_numpy()).tolist():
+            v = unpack_signed(c[row].as_py(), np.int64).astype(np.float64)
+            v *= math.sqrt(MARKS) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
+            vectors[i:i + len(v)] += v
+            i += len(v)
+        doc, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), DIM))
+        for at in range(0, len(x), CHUNK):
+            own = doc[at:at + CHUNK]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] += np.add.reduceat(vectors[x[at:at + CHUNK]], first, dtype=np.float64)
+        shapes = np.array(d.column("shapes")[0].as_py(), np.float32).reshape(-1, SHAPE)
+        out = np.concatenate([out / np.maximum(sizes, 1)[:, None], shapes], axis=1, dtype=np.float32)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * (DIM + SHAPE)
+        return pa.table([d.column("ids").combine_chunks().flatten(), pa.ListArray.from_arrays(ends, out.ravel())],
+                        names=["doc_id", "x"])
+    replies = (read.where("part is not null").select("slab", "part", "a").groupBy("part").cogroup(context.groupBy("part"))
+               .applyInArrow(reply, "slab bigint, part int, c binary"))
+    return (read.where("part is null").select("slab", "a", "b", "ids", "sizes", "shapes").groupBy("slab")
+            .cogroup(replies.groupBy("slab")).applyInArrow(pool, "doc_id bigint, x array<float>"))
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The classifier; `labelled` is what `sample` returned, a bounded number of rows."""
-    known = (docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-             .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
-    words = vocabulary(known)
-    context = context_vectors(docs, words)
-    index = index_vectors(list(words))
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = index + context / np.maximum(length, 1) * math.sqrt(MARKS)
-    model = {"words": words, "vectors": vectors}
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        import pyarrow as pa
-        pool = pooled(sent.value)
-        for b in batches:
-            x = [pool(t).tolist() for texts in text_batches(b, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))],
-                                             names=["doc_id", "label", "x"])
-    rows = (known.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, x array<double>")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // PART_BYTES))
+    read = written(slabs(docs, parts, True))
+    context = written(context_vectors(read))
+    model = {"docs": docs, "parts": parts, "context": context, "pooled": written(pooled(read, context))}
+    rows = (model["pooled"].join(F.broadcast(labelled), "doc_id").groupBy("doc_id")
+            .agg(F.max("label").alias("label"), F.max("x").alias("x"))
             .toPandas().sort_values("doc_id"))             # at most MAX_LABELLED rows
     y = rows.label.to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
-    return model | train(np.array(rows.x.tolist()), y)
+    return model | train(np.array(rows.x.tolist(), float), y)
 
 
 def train(x, y, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> dict:
@@ -215,19 +269,16 @@ def _logits(model, x):
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every document row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)     # VOCABULARY words and their vectors
+    if "constant" in model:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model["constant"]).alias("score"))
+    vectors = model["pooled"] if docs is model["docs"] else pooled(written(slabs(docs, model["parts"], False)),
+                                                                   model["context"])
+    network = {k: model[k] for k in ("mean", "scale", "w", "temperature")}
 
     def run(batches):
         import pyarrow as pa
-        m = sent.value
-        pool = None if "constant" in m else pooled(m)
         for b in batches:
-            out = []
-            for texts in text_batches(b, "text"):
-                if pool is None:
-                    out += [m["constant"]] * len(texts)
-                else:
-                    z = np.clip(_logits(m, np.array([pool(t) for t in texts])) / m["temperature"], -30, 30)
-                    out += (1 / (1 + np.exp(-z))).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double")
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), DIM + SHAPE)
+            z = np.clip(_logits(network, x) / network["temperature"], -30, 30)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+    return vectors.mapInArrow(run, "doc_id bigint, score double")

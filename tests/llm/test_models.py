@@ -40,6 +40,18 @@ def test_quality_awkward_rows(spark):
     assert {r.score for r in Q.scores(docs, none).collect()} == {0.5}
 
 
+def test_words_of_one_document_get_context(spark):
+    name = lambda n: "".join(chr(97 + n // 26 ** i % 26) for i in range(4))
+    own = [[name(20 * i + k) for k in range(20)] for i in range(300)]        # 6,000 words, none in two of these texts
+    anchors = [["alphaone", "alphatwo", "alphathree"], ["betaone", "betatwo", "betathree"]]
+    near = [" ".join(t for k, w in enumerate(ws) for t in (anchors[i % 2][k % 3], w)) for i, ws in enumerate(own)]
+    docs = documents(spark, [" ".join(ws) for ws in own] + near)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    rows = Q.scores(docs, Q.fit(docs, Q.sample(labels, "quality", F.lit(False)))).collect()
+    unseen = [r for r in rows if r.doc_id is not None and 200 <= r.doc_id < 300]
+    assert sum((r.score > 0.5) == r.doc_id % 2 for r in unseen) >= 95
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 8))
