@@ -15,6 +15,7 @@ from kinrank.llm.queries import _tokenizer
 from kinrank.llm.shared import held_out, table, written
 
 TOXIC = 0.7
+FEW = 20          # characters; a document with no more besides boilerplate is a copy, left to near-duplicate removal
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from the texts; every document stays."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Boilerplate lines go from all texts that hold more than them; every document stays."""
+    cleaned = line_dedup.dedup_lines(docs, few=FEW)
     return cleaned.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).alias(c)
                             if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -7,7 +7,8 @@ whose estimate lies within ``BAND`` standard errors (and one site) of it get an
 exact distinct count.  Lines on at least ``min_sites`` sites are boilerplate
 and go from every document, unless they make up more than ``max_share`` of the
 document's characters: such a document is a copy of one found elsewhere, which
-is near-duplicate removal's business, and stays whole.
+is near-duplicate removal's business, and stays whole.  With ``few`` only a
+document that would be left with at most so many characters stays whole.
 
 Defined cases: a null text has no lines and stays null; empty and blank lines
 are never boilerplate; a null site counts as no site; repeated rows are
@@ -61,7 +62,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                max_share: float = MAX_SHARE) -> DataFrame:
+                max_share: float = MAX_SHARE, few: int | None = None) -> DataFrame:
     """`docs` with cleaned texts, and _n_lines, _n_boilerplate, _n_removed."""
     found = boilerplate(docs, site, min_sites)
     lines = (docs.select(*_doc_key(), F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
@@ -75,9 +76,10 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     size = lambda lines: F.length(F.regexp_replace(F.array_join(lines, ""), r"\s", ""))
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains("_hit", i))
     hit = F.col("_hit").isNotNull()
+    enough = (lambda left, all_of: left >= (1 - max_share) * all_of) if few is None else lambda left, _: left > few
     cleaned = (whole.join(hits, DOC, "left")
                .withColumn("_kept", F.when(hit, kept))
-               .withColumn("_go", hit & (size(F.col("_kept")) >= (1 - max_share) * size(all_lines))))
+               .withColumn("_go", hit & enough(size(F.col("_kept")), size(all_lines))))
     count = F.coalesce(F.size("_hit"), F.lit(0))
     return cleaned.select(
         *[F.when(F.col("_go"), F.array_join("_kept", "\n")).otherwise(text).alias("text")

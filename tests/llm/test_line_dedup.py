@@ -41,3 +41,13 @@ def test_copies_stay_whole_and_awkward_rows(spark):
     assert got.where("_n_boilerplate = 2 and _n_removed = 0").count() >= 12
     both(documents(spark, MESSY, [None]), 1)
     assert L.dedup_lines(empty(spark)).count() == 0
+
+
+def test_pipeline_takes_long_notices_from_short_pages(spark):
+    from corpus_pipeline import drop_boilerplate_lines
+    notice = "the same long notice on every page " * 8
+    texts = [f"{notice}\nown text of the short page {chr(97 + i)}" for i in range(12)] + [notice] * 12
+    got = drop_boilerplate_lines(spark, documents(spark, texts, [f"s{i}" for i in range(12)]), "").collect()
+    by_id = {r.doc_id: r.text for r in got}
+    assert all(by_id[i] == f"own text of the short page {chr(97 + i)}" for i in range(12))
+    assert all(by_id[i] == notice for i in range(12, 24))                    # whole copies wait for near-duplicate removal
