@@ -8,8 +8,8 @@ p and radii r, by the Cauchy-Schwarz inequality
     p_i.p_j - R_i |p_j| - Q_i r_j  <=  q.x  <=  p_i.p_j + R_i |p_j| + Q_i d(x, p_j)
 
 (R_i, Q_i: radius and largest norm of the queries).  The lower bounds, taken
-with the cells' counts, give a score that each query's k-th best reaches for
-sure; a data vector whose upper bound stays below it is not sent to that query
+with the cells' counts of distinct vec_ids (each in one cell only), give a score
+that each query's k-th best reaches for sure; a data vector whose upper bound stays below it is not sent to that query
 cell.  Query cells are merged into groups of about ``QUERIES``, larger ones are
 split, and the data sent to a group is dealt by hash into slices of ``LEAST`` to
 ``SLICE`` vectors (as few as keep all shuffle partitions busy, for queries go to
@@ -78,7 +78,8 @@ def plan(pivots: dict, data: list, queries: list, k: int):
     """Where data goes: rows (dim, query cell, data cell, group, blocks, farthest).
 
     Data of the cell within `farthest` of its pivot must meet the queries of
-    the query cell (their group, dealt into so many blocks).
+    the query cell (their group, dealt into so many blocks).  The third figure of
+    `data` counts vec_ids, none of them in two cells.
     """
     rows, group, filled = [], 0, 0
     for dim, i, n_q, radius, norm in sorted(queries):
@@ -122,10 +123,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     def summary(df):         # at most (PIVOTS + 1) rows a dimension
         return [tuple(r) for r in df.groupBy("dim", "cell").agg(
             F.count("*"), F.max("d"), F.max("norm")).collect()]
-    data = summary(placed)
+    ids = {(dim, cell): n for dim, cell, n in     # an id counts in one of its cells: no sum over cells counts it twice
+           placed.groupBy("dim", "vec_id").agg(F.min("cell").alias("cell")).groupBy("dim", "cell").count().collect()}
+    stored = summary(placed)
+    data = [(dim, cell, ids.get((dim, cell), 0), *rest) for dim, cell, _, *rest in stored]
     rows = plan(pivots, data, summary(queries), k)
     routes = spark.createDataFrame(rows, "dim int, qcell int, cell int, grp int, blocks int, nearest double")
-    n = sum(n for _, _, n, _, _ in data)
+    n = sum(n for _, _, n, _, _ in stored)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, -(-n // SLICE), min(partitions, -(-n // LEAST)))
 

@@ -62,3 +62,12 @@ def test_awkward_vectors(spark):
     assert run(spark, [(0, [1.0])]) == set()
     df = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert K.top_k(K.integer_vectors(df), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_repeated_ids_do_not_prove_the_bound(spark):
+    rng = random.Random(3)
+    far = [(0, 8.0), (100, 6.0), (200, -6.0)]                # clusters: the best one is almost all one id
+    rows = [(at + i, [x + rng.gauss(0, 0.01), rng.gauss(0, 0.01)]) for at, x in far for i in range(60) if at or not i]
+    rows += [(7, [8.0 + rng.gauss(0, 0.01), rng.gauss(0, 0.01)]) for _ in range(40)]
+    rows += [(9, [x, 0.0]) for x in (8.0, 6.0, -6.0) for _ in range(30)]           # one id in several cells
+    assert run(spark, rows) == brute(rows, 10, 10)
