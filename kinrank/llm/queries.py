@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank.llm import (bpe, decontaminate, line_dedup, lm_score, quality, simhash, token_count, topk, toxicity,
-                         warc)
+from kinrank.llm import (bpe, decontaminate, exact_dedup, line_dedup, lm_score, quality, simhash, token_count, topk,
+                         toxicity, warc)
 from kinrank.llm.shared import held_out, table, written
 
 
@@ -81,9 +81,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents", "doc_id", "text"), "largest")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality, op3_lm_score, op4_line_dedup, op5_exact_topk, op6_token_counts, op7_toxicity,
-    op8_warc, op9_simhash, op10_bpe)}
+    op8_warc, op9_simhash, op10_bpe, op13_exact_dedup)}
 
 _TOPK_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
@@ -129,4 +133,5 @@ ORACLE = {
     "op4_line_dedup": line_dedup.line_dedup_sql(),
     "op5_exact_topk": _TOPK_SQL,
     "op8_warc": _WARC_SQL,
+    "op13_exact_dedup": exact_dedup.exact_dedup_sql(),
 }
