@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinrank.llm import (bpe, decontaminate, exact_dedup, line_dedup, lm_score, quality, simhash, token_count, topk,
-                         toxicity, warc)
+from kinrank.llm import (bpe, conversation, decontaminate, exact_dedup, lexical_search, line_dedup, lm_score, quality, simhash,
+                         token_count, topk, toxicity, warc)
 from kinrank.llm.shared import held_out, table, written
 
 
@@ -81,13 +81,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation.with_all_ids(conversation.digest(conversation.repair(conversation.damaged(rows))), rows)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents", "doc_id", "text"), "largest")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality, op3_lm_score, op4_line_dedup, op5_exact_topk, op6_token_counts, op7_toxicity,
-    op8_warc, op9_simhash, op10_bpe, op13_exact_dedup)}
+    op8_warc, op9_simhash, op10_bpe, op11_lexical_search, op12_conversation, op13_exact_dedup)}
 
 _TOPK_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
@@ -133,5 +143,6 @@ ORACLE = {
     "op4_line_dedup": line_dedup.line_dedup_sql(),
     "op5_exact_topk": _TOPK_SQL,
     "op8_warc": _WARC_SQL,
+    "op11_lexical_search": lexical_search.search_sql(),
     "op13_exact_dedup": exact_dedup.exact_dedup_sql(),
 }
