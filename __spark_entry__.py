@@ -241,6 +241,24 @@ def q_php_values(spark, d):
 
 
 def q_ref_overlap(spark, d):
+    """Matches between distinct token lists and classes of equal path token sets (named by their smallest item),
+    with the number of item pairs behind each; `ref_uses` and `path_set_classes` have the members."""
+    return _rounded(OV.overlap_classes(RF.ref_edges(T.code_items(spark, d)), _feats(spark, d)))
+
+
+def q_ref_uses(spark, d):
+    uses, _ = OV.memberships(RF.ref_edges(T.code_items(spark, d)), _feats(spark, d))
+    return uses.select("target", F.split("ref", OV.MARK).alias("tokens"), "weight")
+
+
+def q_path_set_classes(spark, d):
+    _, sets = OV.memberships(RF.ref_edges(T.code_items(spark, d)), _feats(spark, d))
+    return sets.select(F.col("candidate").alias("item_id"), F.col("kind").alias("candidate_class"))
+
+
+def q_ref_overlap_pairs(spark, d):
+    """The expanded (target, candidate, bonus) rows.  Not registered (they grow with the square of the class sizes):
+    checked against ``REF_PAIRS_SQL`` on the smallest data set in tests/test_entry.py."""
     return _rounded(OV.ref_overlap(RF.ref_edges(T.code_items(spark, d)), _feats(spark, d)))
 
 
@@ -473,6 +491,16 @@ def _content_sql(t: float) -> str:
       SELECT doc_a, doc_b, intersection, round(intersection / (na + nb - intersection), {DIGITS}) AS jaccard
       FROM pr WHERE intersection / (na + nb - intersection) >= {t}"""
 
+_REF_CLASSES = f"""WITH {_CI}, {_all_refs('ci')}, {_IT}, {_F},
+        cs AS (SELECT item_id, list_sort(list_distinct(path_tokens)) AS cset FROM f)"""
+
+REF_PAIRS_SQL = f"""WITH {_CI}, {_all_refs('ci')}, {_IT}, {_F},
+        sc AS (SELECT rf.target, c.item_id AS candidate, rf.weight,
+                      len(list_filter(rf.tokens, lambda x: list_contains(c.path_tokens, x))) / len(rf.tokens) AS share
+               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id)
+        SELECT target, candidate, round(max(least(share * weight, 1.5)), {DIGITS}) AS bonus
+        FROM sc WHERE share >= 0.5 GROUP BY target, candidate"""
+
 ORACLE = {
     "cochange_pairs": f"""WITH {_CH}
         SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count, commit_count FROM p""",
@@ -530,12 +558,18 @@ ORACLE = {
         {_PG}, {_lines('pg', 'pl')}, {_QR.replace('qr AS', 'qp AS').replace('FROM ln', 'FROM pl')}
         SELECT *, 'code' AS source FROM qr UNION ALL SELECT *, 'page' AS source FROM qp""",
     "import_refs": f"WITH {_CI}, {_lines('ci', 'ln')}, {_IR} SELECT * FROM ir",
-    "ref_overlap": f"""WITH {_CI}, {_all_refs('ci')}, {_IT}, {_F},
-        sc AS (SELECT rf.target, c.item_id AS candidate, rf.weight,
-                      len(list_filter(rf.tokens, lambda x: list_contains(c.path_tokens, x))) / len(rf.tokens) AS share
-               FROM rf CROSS JOIN f c WHERE rf.target <> c.item_id)
-        SELECT target, candidate, round(max(least(share * weight, 1.5)), {DIGITS}) AS bonus
-        FROM sc WHERE share >= 0.5 GROUP BY target, candidate""",
+    "ref_overlap": f"""{_REF_CLASSES},
+        us AS (SELECT DISTINCT target, tokens FROM rf), nu AS (SELECT tokens, count(*) AS u FROM us GROUP BY tokens),
+        nm AS (SELECT cset, min(item_id) AS kind, count(*) AS c FROM cs GROUP BY cset),
+        sc AS (SELECT nu.tokens, nm.cset, u, c, kind,
+                      len(list_filter(nu.tokens, lambda x: list_contains(cset, x))) / len(nu.tokens) AS share FROM nu CROSS JOIN nm),
+        ow AS (SELECT us.tokens, cs.cset, count(*) AS own FROM us JOIN cs ON us.target = cs.item_id GROUP BY 1, 2)
+        SELECT sc.tokens, kind AS candidate_class, round(share, {DIGITS}) AS share, (u * c - coalesce(own, 0))::BIGINT AS links
+        FROM sc LEFT JOIN ow ON ow.tokens = sc.tokens AND ow.cset = sc.cset WHERE share >= 0.5""",
+    "ref_uses": f"""{_REF_CLASSES} SELECT target, tokens, max(weight) AS weight FROM rf GROUP BY target, tokens""",
+    "path_set_classes": f"""WITH {_IT}, {_F},
+        cs AS (SELECT item_id, list_sort(list_distinct(path_tokens)) AS cset FROM f)
+        SELECT item_id, min(item_id) OVER (PARTITION BY cset) AS candidate_class FROM cs""",
     "php_use_class_component": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES} {_PHP_NAMES}",
     "php_view_route": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES} {_PHP_HINTED}",
     "php_values": f"WITH {_CI}, {_numbered('ci')}, {_PHP_LINES}, {_ENV} {_PHP_VALUES}",
@@ -585,6 +619,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "php_view_route": q_php_view_route,
     "php_values": q_php_values,
     "ref_overlap": q_ref_overlap,
+    "ref_uses": q_ref_uses,
+    "path_set_classes": q_path_set_classes,
     "exclusions_anti": q_exclusions_anti,
     "changelog_parse": q_changelog_parse,
     "relatedness": q_relatedness,

@@ -233,13 +233,14 @@ def _jw_batch(a, b):
 _JW_UDF = None
 
 
-def _ship_by_value():
-    """Pickle this module's helpers by value, so Python workers need no
-    installed copy of the package (as with --py-files on a cluster)."""
+def ship_by_value(*modules: str):
+    """Pickle the helpers of this module and of `modules` by value, so Python workers
+    need no installed copy of the package (as with --py-files on a cluster)."""
     import sys
 
     from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for name in (__name__, *modules):
+        cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
 def jaro_winkler_arrow(a: Column, b: Column) -> Column:
@@ -253,6 +254,6 @@ def jaro_winkler_arrow(a: Column, b: Column) -> Column:
     """
     global _JW_UDF
     if _JW_UDF is None:
-        _ship_by_value()
+        ship_by_value()
         _JW_UDF = F.pandas_udf(_jw_batch, "double")
     return _JW_UDF(a, b)

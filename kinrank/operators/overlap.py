@@ -6,13 +6,15 @@ token set; the pair's bonus is the best min(share * w, 1.5) over the
 target's references.
 
 Many items hold the same reference, and many candidates the same token set, so
-the match runs between distinct token lists and distinct sets and is expanded
-to targets and candidates last.  Prefix filter (lossless): order a reference's
-distinct tokens rarest first.  A set that holds none of the tokens whose
-remaining multiplicity (from that token on) is still >= ceil(n/2) cannot reach
-half, so only those tokens are join keys.  Common path words ('src',
-'controller') therefore rarely drive the join; a hot one is split by the skew
-join.  Survivors are verified against the full token list.
+the match runs, and is reported, between distinct token lists and distinct sets
+(classes, named by their smallest member), with the memberships beside it;
+`ref_overlap` expands it to the pairs of stated targets.  Prefix filter
+(lossless): order a reference's distinct tokens rarest first.  A set that holds
+none of the tokens whose remaining multiplicity (from that token on) is still
+>= ceil(n/2) cannot reach half, so only those tokens are join keys.  The lists and
+the sets of a common token are cut into slices of at most about ``SLICE`` each, and
+every slice of lists meets every slice of sets under a key of its own, so no task
+gets a whole hot token.  Survivors are verified against the full token list.
 """
 
 from __future__ import annotations
@@ -26,17 +28,23 @@ from ..session import written
 MARK = "\u0001"              # joins the tokens of a reference; no token holds it
 
 
-def ref_overlap(refs: DataFrame, candidates: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """refs: (item_id, tokens, weight); candidates: (item_id, path_tokens).
+SLICE = 2000                 # lists or sets of a token that meet in one task
 
-    Returns (target, candidate, bonus) with bonus = best capped share * weight.
-    """
+
+def memberships(refs: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, ref, weight): the distinct references of each item, tokens joined by MARK, with their best weight;
+    (candidate, cset, kind): each item's distinct tokens and the smallest item that has the same ones."""
     uses = written(refs.where(F.size("tokens") > 0)
                    .select(F.col("item_id").alias("target"), F.array_join("tokens", MARK).alias("ref"), "weight")
                    .groupBy("target", "ref").agg(F.max("weight").alias("weight")))
-    sets = written(candidates.select(F.col("item_id").alias("candidate"),
-                                     F.array_sort(F.array_distinct("path_tokens")).alias("cset")))
+    sets = candidates.select(F.col("item_id").alias("candidate"), F.array_sort(F.array_distinct("path_tokens")).alias("cset"))
     kinds = sets.groupBy("cset").agg(F.min("candidate").alias("kind"))
+    return uses, written(sets.join(kinds, "cset"))
+
+
+def list_matches(uses: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ref, kind, share): every token list and set class of which the list has at least half its tokens."""
+    kinds = sets.where(F.col("candidate") == F.col("kind")).select("kind", "cset").distinct()
     postings = kinds.select("kind", F.explode("cset").alias("token"))
     dfreq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
@@ -47,18 +55,46 @@ def ref_overlap(refs: DataFrame, candidates: DataFrame, exclude_self: bool = Tru
             .join(dfreq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))))
     w = (Window.partitionBy("ref").orderBy(F.col("df").desc(), F.col("token").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    prefix = (toks.withColumn("rest", F.sum("mult").over(w))   # multiplicity from this token on
-              .where(F.col("rest") >= F.col("need")).select("ref", "token"))
+    prefix = written(toks.withColumn("rest", F.sum("mult").over(w))   # multiplicity from this token on
+                     .where((F.col("rest") >= F.col("need")) & (F.col("df") > 0)).select("ref", "token", "df"))
+
+    # Slices of a token: m of its lists, n of its sets.
+    cuts = (prefix.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("m"), F.ceil(F.max("df") / SLICE).alias("n")))
+    def sliced(df, own, key, other):  # noqa: E306
+        return (df.join(cuts, "token").withColumn(f"s_{own}", F.pmod(F.xxhash64(key), F.col(own)))
+                .withColumn(f"s_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("m", "n"))
+    left, right = sliced(prefix.drop("df"), "m", "ref", "n"), sliced(postings, "n", "kind", "m")
 
     tokens = F.split("ref", MARK)
     plain = F.size(F.array_distinct(tokens)) == F.size(tokens)
     overlap = (F.when(plain, F.size(F.array_intersect(tokens, "cset")))
                .otherwise(F.size(F.filter(tokens, lambda x: F.array_contains("cset", x)))))
-    matched = (prefix.join(postings, "token").select("ref", "kind").distinct()
-               .join(kinds, "kind").withColumn("share", overlap / F.size(tokens))
-               .where(F.col("share") >= W.REF_SHARE_MIN).select("ref", "kind", "share"))
-    members = sets.join(kinds, "cset").select("kind", "candidate")
-    best = (uses.join(matched, "ref").groupBy("target", "kind")
+    return (left.join(right, ["token", "s_m", "s_n"]).select("ref", "kind").distinct()
+            .join(kinds, "kind").withColumn("share", overlap / F.size(tokens))
+            .where(F.col("share") >= W.REF_SHARE_MIN).select("ref", "kind", "share"))
+
+
+def overlap_classes(refs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(tokens, candidate_class, share, links): matches of classes, with the number of (target, candidate) pairs
+    of different items behind each.  Its rows grow with the classes, not with the pairs."""
+    uses, sets = memberships(refs, candidates)
+    matched = written(list_matches(uses, sets))
+    n_uses = uses.groupBy("ref").agg(F.count(F.lit(1)).alias("u"))
+    n_members = sets.groupBy("kind").agg(F.count(F.lit(1)).alias("c"))
+    self = (uses.join(sets.select(F.col("candidate").alias("target"), "kind"), "target")
+            .groupBy("ref", "kind").agg(F.count(F.lit(1)).alias("own")))
+    return (matched.join(n_uses, "ref").join(n_members, "kind").join(self, ["ref", "kind"], "left")
+            .select(F.split("ref", MARK).alias("tokens"), F.col("kind").alias("candidate_class"), "share",
+                    (F.col("u") * F.col("c") - F.coalesce("own", F.lit(0))).alias("links")))
+
+
+def ref_overlap(refs: DataFrame, candidates: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """refs: (item_id, tokens, weight) of stated targets; candidates: (item_id, path_tokens).
+
+    Returns (target, candidate, bonus) with bonus = best capped share * weight.
+    """
+    uses, sets = memberships(refs, candidates)
+    best = (uses.join(list_matches(uses, sets), "ref").groupBy("target", "kind")
             .agg(F.max(F.least(F.col("share") * F.col("weight"), F.lit(W.REF_CAP))).alias("bonus")))
-    out = best.join(members, "kind").select("target", "candidate", "bonus")
+    out = best.join(sets.select("kind", "candidate"), "kind").select("target", "candidate", "bonus")
     return out.where(F.col("target") != F.col("candidate")) if exclude_self else out

@@ -19,7 +19,7 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("name", ["cochange_topk", "specificity", "names", "name_sim", "content_jaccard", "content_classes",
-                                  "import_refs", "php_refs", "ref_overlap", "changelog_parse", "relatedness", "explain"])
+                                  "import_refs", "php_refs", "ref_overlap", "ref_uses", "path_set_classes", "changelog_parse", "relatedness", "explain"])
 def test_oracle_agreement(spark, name):
     sys.path.insert(0, os.path.join(ROOT, "tools"))
     import __spark_entry__ as E
@@ -42,6 +42,20 @@ def test_every_score_term_and_label_occurs(spark):
                       "recent"}, labels
 
 
+def test_reference_pairs(spark, monkeypatch):
+    """The pairs behind `ref_overlap`, with hot tokens cut into slices."""
+    sys.path.insert(0, os.path.join(ROOT, "tools"))
+    import __spark_entry__ as E
+    from kinrank.operators import overlap
+    from oracle_check import canon, duck
+    monkeypatch.setattr(overlap, "SLICE", 7)
+    sdf = E.q_ref_overlap_pairs(spark, SF)
+    c1, r1 = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
+    res = duck(SF).execute(E.REF_PAIRS_SQL)
+    c2, r2 = canon([d[0] for d in res.description], res.fetchall())
+    assert c1 == c2 and r1 == r2
+
+
 def test_all_targets_exact_topk(spark):
     """Every item against every item (quadratic), on the smallest data set."""
     sys.path.insert(0, os.path.join(ROOT, "tools"))
