@@ -416,3 +416,56 @@ def with_all_ids(found: DataFrame, conversations: DataFrame) -> DataFrame:
     zero |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
     return (ids.join(found, ids.id.eqNullSafe(found.conv_id), "left")
             .select(F.col("id").alias("conv_id"), *[F.coalesce(F.col(c), z).alias(c) for c, z in zero.items()]))
+
+
+def repair_sql() -> str:
+    """The `op12_conversation` rows as DuckDB SQL: damage, faults, and the cheapest edits from the last row to the first."""
+    step = ("list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda x, _: "
+            "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)")
+    checksum = (f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, strlen(key) + 1), "
+                f"lambda i: ord(substr(key, i, 1))::UBIGINT)), lambda c, b: {step}), 4294967295::UBIGINT)")
+    to, sure = {1: 3, 2: 3, 3: 4, 4: 3}, "fault NOT IN (1, 2)"
+    role = {3: "'user:'", 4: "'assistant:'"}
+
+    def kept(s: int) -> str:
+        cases = f"WHEN role[1] = '{'a' if s == 3 else 'u'}' THEN {to[s]}" + (" WHEN role[1] = 's' THEN 2" if s == 1 else "")
+        t = f"v[CASE {cases} END]"
+        return (f"CASE WHEN {sure} AND {t} IS NOT NULL THEN {{'c': {t}.c + more, 'a': 'K' || {t}.a, "
+                f"'r': list_concat([role || ':' || text], {t}.r)}} END")
+
+    def options(s: int) -> str:
+        t = f"v[{to[s]}]"
+        return (f"list_min(list_filter([{{'c': v[{s}].c + {DELETE}, 'a': 'D' || v[{s}].a, 'r': v[{s}].r}}, {kept(s)}, "
+                f"CASE WHEN {sure} THEN {{'c': {t}.c + {REROLE} + more, 'a': 'R' || {t}.a, "
+                f"'r': list_concat([{role[to[s]]} || text], {t}.r)}} END], lambda x: x IS NOT NULL)) AS q{s}")
+
+    def inserted(q: str, r: str) -> str:
+        return f"{{'c': {q}.c + {INSERT}, 'a': 'I' || {q}.a, 'r': list_concat([{r}], {q}.r)}}"
+    least = lambda s, q: f"list_min([q{s}, {inserted(q, role[to[s]])}])"
+    return rf"""
+    WITH RECURSIVE k AS (SELECT *, {checksum} % {RATE} AS k FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role,
+        coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations)),
+    d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN ''
+          WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+    f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+            WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+            lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM o),
+    r AS (SELECT *, CASE fault WHEN 3 THEN {OPEN} ELSE 0 END AS more, coalesce(conv_id::VARCHAR, ' ') AS id FROM f),
+    v AS (SELECT id, max(i) + 1 AS i, [{{'c': 0, 'a': '', 'r': []::VARCHAR[]}}, {{'c': {END[1]}, 'a': 'II', 'r': ['user:', 'assistant:']}},
+            {{'c': {END[2]}, 'a': 'I', 'r': ['assistant:']}}, {{'c': 0, 'a': '', 'r': []}}] AS v FROM r GROUP BY id
+          UNION ALL
+          SELECT id, i, [{least(1, 'y3')}, {least(2, 'y3')}, y3, y4] FROM (
+            SELECT *, {least(3, 'q4')} AS y3, {least(4, 'q3')} AS y4 FROM (
+              SELECT r.id, r.i, {options(1)}, {options(2)}, {options(3)}, {options(4)}
+              FROM v JOIN r ON r.id = v.id AND r.i = v.i - 1))),
+    s AS (SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+            count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (b IS NOT NULL AND left(b, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY id)
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost,
+           coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS id FROM conversations) c
+    LEFT JOIN s ON s.id = c.id LEFT JOIN v ON v.id = c.id AND v.i = 1"""

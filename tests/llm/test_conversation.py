@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from kinrank.llm import conversation as C
@@ -132,6 +133,9 @@ def test_damage_and_query_columns(spark):
     df = table(spark, data)
     got = C.with_all_ids(C.digest(C.repair(C.damaged(df))), df).collect()
     by = grouped(damage(data))
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(C.repair_sql()).fetchall()))
     assert {r.conv_id: tuple(r)[1:] for r in got} == {c: model(by.get(c, [])) for c in {r[0] for r in data}}
 
 
