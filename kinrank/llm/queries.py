@@ -39,7 +39,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = [F.col(f"_{c}").cast("long").alias(c) for c in ("n_lines", "n_boilerplate", "n_removed")]
-    return cleaned.select("doc_id", *count, F.sha2("text", 256).alias("text_sha256"))
+    return cleaned.select("doc_id", *count, F.col("_whole_copy").alias("whole_copy"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,5 +144,6 @@ ORACLE = {
     "op5_exact_topk": _TOPK_SQL,
     "op8_warc": _WARC_SQL,
     "op11_lexical_search": lexical_search.search_sql(),
+    "op12_conversation": conversation.repair_sql(),
     "op13_exact_dedup": exact_dedup.exact_dedup_sql(),
 }
