@@ -4,16 +4,19 @@ Every trimmed, non-empty line is keyed by 128 hash bits.  HyperLogLog sketches
 of the sites a line occurs on are built per task and merged by the
 aggregation; a sketch far above or below ``min_sites`` decides at once, lines
 whose estimate lies within ``BAND`` standard errors (and one site) of it get an
-exact distinct count.  Lines on at least ``min_sites`` sites are boilerplate
-and go from every document, unless they make up more than ``max_share`` of the
-document's characters: such a document is a copy of one found elsewhere, which
-is near-duplicate removal's business, and stays whole.  With ``few`` only a
-document that would be left with at most so many characters stays whole.
+exact distinct count.  Lines on at least ``min_sites`` sites are boilerplate and
+go from every document.  A document of which nothing is left is a whole copy of
+one found elsewhere and marked as such; with ``keep_whole`` it keeps its original
+text, for a near-duplicate removal that follows.
+
+A document's lines are cut in one pass over them, whatever their number: the
+positions that are no hits, by a set difference, and the lines at these.
 
 Defined cases: a null text has no lines and stays null; empty and blank lines
 are never boilerplate; a null site counts as no site; repeated rows are
-decided alike; columns besides doc_id, text and the site pass through (but
-for those named like the three counts that are added).
+decided alike; very long texts and texts of very many lines are cut whole; an
+empty table gives an empty result; all columns besides text pass through, the
+added ones get underscores until their names are free (`added`).
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.shared import written
+from kinrank.functions.similarity import let
+from kinrank.llm.shared import free_name, written
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 LG_K = 12                          # 4096 registers: standard error 1.6 %
 BAND = 6 * 1.04 / 2 ** (LG_K / 2)  # six standard errors
 BLANK = " \t\r"
 KEY = ["_h1", "_h2"]               # of a line
 DOC = ["_doc", "_t1", "_t2"]       # of a document: its id and its text
-ADDED = ["_n_lines", "_n_boilerplate", "_n_removed"]
+ADDED = ["_n_lines", "_n_boilerplate", "_n_removed", "_whole_copy"]
 
 
 def _clean(line: Column) -> Column:
@@ -61,35 +64,42 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return written(spread.where(~near).select(*KEY).unionByName(exact.select(*KEY)))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                max_share: float = MAX_SHARE, few: int | None = None) -> DataFrame:
-    """`docs` with cleaned texts, and _n_lines, _n_boilerplate, _n_removed."""
+def added(docs: DataFrame) -> list[str]:
+    """The names of the four columns that `dedup_lines` adds to `docs`."""
+    return [free_name(c, docs) for c in ADDED]
+
+
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_whole: bool = False) -> DataFrame:
+    """`docs` with cleaned texts and the columns `added`: lines, boilerplate lines, lines removed, whole copy."""
     found = boilerplate(docs, site, min_sites)
-    lines = (docs.select(*_doc_key(), F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
+    keyed = docs.select(*_doc_key(), F.col("text").alias("_text"))       # hashed once a text, not once a line
+    lines = (keyed.select(*DOC, F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
              .withColumn("_line", _clean(F.col("_line"))).where("_line != ''")
              .select(*DOC, "_pos", *_hashes(F.col("_line"), KEY)))
     hits = (lines.join(found, KEY, "left_semi")
             .groupBy(*DOC).agg(F.collect_set("_pos").alias("_hit")))   # at most the lines of one text
     whole = docs.select(F.struct(*docs.columns).alias("_row"), *_doc_key())    # no name of `docs` can clash
-    text = F.col("_row.text")
-    all_lines = F.split(text, "\n")
-    size = lambda lines: F.length(F.regexp_replace(F.array_join(lines, ""), r"\s", ""))
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains("_hit", i))
-    hit = F.col("_hit").isNotNull()
-    enough = (lambda left, all_of: left >= (1 - max_share) * all_of) if few is None else lambda left, _: left > few
+    text, hit = F.col("_row.text"), F.col("_hit").isNotNull()
+
+    def kept(all_lines):                           # linear: no search in `_hit` for each line
+        places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "_hit")
+        return F.transform(places, lambda i: F.get(all_lines, i))
     cleaned = (whole.join(hits, DOC, "left")
-               .withColumn("_kept", F.when(hit, kept))
-               .withColumn("_go", hit & enough(size(F.col("_kept")), size(all_lines))))
+               .withColumn("_kept", F.when(hit, F.array_join(let(F.split(text, "\n"), kept), "\n")))
+               .withColumn("_whole", hit & ~F.col("_kept").rlike(r"[^\t\n\f\r ]")))
+    stays = F.col("_whole") if keep_whole else F.lit(False)
     count = F.coalesce(F.size("_hit"), F.lit(0))
+    n_lines, n_hits, n_removed, copy = added(docs)
     return cleaned.select(
-        *[F.when(F.col("_go"), F.array_join("_kept", "\n")).otherwise(text).alias("text")
-          if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ADDED],
-        F.when(text.isNull(), 0).otherwise(F.size(all_lines)).alias(ADDED[0]),
-        F.when(hit, count).otherwise(0).alias(ADDED[1]),
-        F.when(F.col("_go"), count).otherwise(0).alias(ADDED[2]))
+        *[F.when(hit & ~stays, F.col("_kept")).otherwise(text).alias("text")
+          if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias(n_lines),
+        F.when(hit, count).otherwise(0).alias(n_hits),
+        F.when(hit & ~stays, count).otherwise(0).alias(n_removed),
+        F.col("_whole").alias(copy))
 
 
-def line_dedup_sql(min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> str:
+def line_dedup_sql(min_sites: int = MIN_SITES) -> str:
     """The `op4_line_dedup` rows as DuckDB SQL, with plain distinct counts."""
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
@@ -100,14 +110,13 @@ def line_dedup_sql(min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) ->
           GROUP BY line HAVING count(DISTINCT source) >= {min_sites}),
     m AS (SELECT l.rid, l.pos, l.raw, b.line IS NOT NULL AS hit,
                  length(regexp_replace(l.raw, '\s', '', 'g')) AS size FROM l LEFT JOIN b ON l.line = b.line),
-    a AS (SELECT rid, count(*) AS n_lines, sum(hit::INT) AS n_hit, sum(size) AS size,
+    a AS (SELECT rid, count(*) AS n_lines, sum(hit::INT) AS n_hit,
                  sum(CASE WHEN hit THEN 0 ELSE size END) AS left_size,
                  string_agg(CASE WHEN hit THEN NULL ELSE raw END, chr(10) ORDER BY pos) AS kept
           FROM m GROUP BY rid),
-    r AS (SELECT d.doc_id, d.text, coalesce(a.n_lines, 0) AS n_lines, coalesce(n_hit, 0) AS n_hit, kept,
-                 coalesce(n_hit > 0 AND left_size >= {1 - max_share} * size, false) AS go
+    r AS (SELECT d.doc_id, d.text, coalesce(a.n_lines, 0) AS n_lines, coalesce(n_hit, 0) AS n_hit, kept, left_size
           FROM d LEFT JOIN a USING (rid))
-    SELECT doc_id, n_lines::BIGINT AS n_lines, n_hit::BIGINT AS n_boilerplate,
-           (CASE WHEN go THEN n_hit ELSE 0 END)::BIGINT AS n_removed,
-           sha256(CASE WHEN go THEN coalesce(kept, '') ELSE text END) AS text_sha256
+    SELECT doc_id, n_lines::BIGINT AS n_lines, n_hit::BIGINT AS n_boilerplate, n_hit::BIGINT AS n_removed,
+           n_hit > 0 AND left_size = 0 AS whole_copy,
+           sha256(CASE WHEN n_hit > 0 THEN coalesce(kept, '') ELSE text END) AS text_sha256
     FROM r"""

@@ -23,11 +23,10 @@ def test_stages_one_by_one_against_plain_python(spark):
         for line in r["text"].split("\n"):
             sites.setdefault(line.strip(line_dedup.BLANK), set()).add(r["source"])
     common = {x for x, s in sites.items() if x and len(s) >= line_dedup.MIN_SITES}
-    solid = lambda lines: len("".join("".join(lines).split()))
     for r in left.values():
         lines = r["text"].split("\n")
         kept = [x for x in lines if x.strip(line_dedup.BLANK) not in common]
-        if len(kept) < len(lines) and solid(kept) >= (1 - line_dedup.MAX_SHARE) * solid(lines):
+        if len(kept) < len(lines) and "".join(kept).strip():
             r["text"] = "\n".join(kept)
             r["n_chars"] = len(r["text"])
 
