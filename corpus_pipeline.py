@@ -15,34 +15,43 @@ from kinrank.llm.queries import _tokenizer
 from kinrank.llm.shared import held_out, table, written
 
 TOXIC = 0.7
-FEW = 20          # characters; a document with no more besides boilerplate is a copy, left to near-duplicate removal
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches TOXIC go; the fit leaves the same labels out as op7."""
+    """Documents whose toxicity score reaches TOXIC go; the fit leaves the same labels out as op7.
+
+    Null, empty and very long texts are scored like any other; an empty table gives an empty one."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, toxicity.sample(
         table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", held_out(3))), TOXIC)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from all texts that hold more than them; every document stays."""
-    cleaned = line_dedup.dedup_lines(docs, few=FEW)
-    return cleaned.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).alias(c)
+    """Boilerplate lines go from every text; one that holds nothing else is a copy of a whole document and keeps its
+    text, so that near-duplicate removal can leave one of its kind.  Every document stays.
+
+    Null texts stay null; an empty table gives an empty one; n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs, keep_whole=True)
+    removed = line_dedup.added(docs)[2]
+    return cleaned.select(*[F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col(c)).alias(c)
                             if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group stays (one row of it)."""
+    """The document with the smallest doc_id of each near-duplicate group stays (one row of it).
+
+    Texts without words (null, empty) are one group; an empty table gives an empty one."""
     return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go.  Null and empty texts hold none and stay; whole texts are
+    scanned, however long; an empty table gives an empty one."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and the digest of the decoded text."""
+    """Token ids of what is left, and the digest of the decoded text.  A null text is empty and has no ids;
+    repeated rows are encoded alike; an empty table gives an empty one."""
     encoded = bpe.encode(docs, _tokenizer("word_bpe_49k.json"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
