@@ -7,29 +7,35 @@ training counts, the part answers with the corpus-wide counts and discounted
 masses), so every document gets the exact count of each of its words; this gives
 the base score and the unigram backoff.
 
-Before that, a slab sends its bigrams, as the 64-bit hashes of their two words,
-to parts of the hashed bigrams, which add up their counts.  Those seen
-``MIN_COUNT`` times or more, at any size of the corpus and however rare their
-words, go into a Bloom filter: a bigram of quantised log count q = 1 + floor(log_BASE c) is entered q times, as (bigram, 1) to
-(bigram, q).  Every part of the bigram keys builds its own block of the filter;
-blocks are broadcast in segments of at most ``SEGMENT`` bytes, one pass over the
-slabs for each (a token's bigram belongs to one block, so passes add up).  A
-token's count is found by probing (bigram, 1), (bigram, 2), ... until a probe
-fails.  With absolute discounting,
-
-    P(w | v) = max(c(v, w) - D, 0) / c(v) + (1 - S(v) / c(v)) P(w),
-
-where S(v) is the discounted mass of the bigrams that begin with v , and P(w)
-gives unseen words the Good-Turing share of the tokens.  The score is the sum of
-log10 P over the words and the end of a text; the end also serves as the
-context of the first word.
+Before that, a slab sends its distinct bigrams, held-out ones included, as 64-bit
+keys to parts of the hashed bigrams.  A part adds up the training counts and
+enters the bigrams seen ``MIN_COUNT`` times or more, at any size of the corpus and
+however rare their words, into its block of a Bloom filter: a bigram of quantised
+log count q = 1 + floor(log_BASE c) is entered q times, as (bigram, 1) to
+(bigram, q).  The filter grows with the text, so it isn't broadcast whole: each
+block goes to the task that probes it, which holds all slabs' keys of that part,
+finds every count by probing (bigram, 1), (bigram, 2), ... until a probe fails,
+and answers the slabs with one byte a bigram.  Every bigram is probed once, so
+the work is linear in the text.  With absolute discounting,
+
+    P(w | v) = max(l(v, w) - D, 0) / c(v) + (1 - S(v) / c(v)) P(w),
+
+where l(v, w) is the smallest count of the bigram's level, S(v) the sum of
+l - D over the counted bigrams that begin with v, and P(w) gives unseen words
+together the Good-Turing share of the tokens.  As l is never above the count,
+S(v) < c(v): the probabilities of the known words and of an unseen one add up
+to 1 in every context, but for the filter's false positives, and a false
+positive's share is limited to S(v), so that no probability exceeds 1.  The
+score is the sum of log10 P over the words and the end of a text; the end also
+serves as the context of the first word.
 
 Sums of packed arrays stay linear in the input: there are never more of them
 than distinct (slab, word) pairs.  Words are told apart by 64-bit hashes.
 
-Defined cases: a null or empty text has just its end token; a null doc_id counts
-as training; repeated rows are scored and counted each; without training rows
-both scores equal the base formula.  Extra columns stay out of the result.
+Defined cases: a null or empty text has just its end token; very long texts are
+slabs of their own; a null doc_id counts as training; repeated rows are scored
+and counted each; without training rows both scores equal the base formula; an
+empty table gives an empty result.  Extra columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -44,12 +50,11 @@ from kinrank.llm.shared import held_out, text_batches, written
 
 SLAB = 750_000               # tokens of a slab
 PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
-FREQUENT = 0.0               # no share of all tokens is asked of a bigram's words (unused; tests set it)
 MIN_COUNT = 2                # of a bigram, whatever the size of the corpus
 BASE = 1.5                   # of the logarithm that quantises counts
 DISCOUNT = 0.75
 PROBES, BITS = 6, 10         # hash functions, and bits for each entry
-SEGMENT = 32 << 20           # bytes of the filter that are broadcast at once
+UNIT = 0.25                  # discounted masses are whole multiples of it
 END = b"\n"                  # no word holds white space
 
 
@@ -149,20 +154,21 @@ def _totals(keys: list, counts: list, kind=np.int64):
 
 def answers(vocabulary: DataFrame, heads: DataFrame) -> DataFrame:
     """For each slab and part, in the slab's order, the corpus counts of its words and the discounted
-    mass of the bigrams that each begins; and for each part (slab null) its statistics."""
+    mass (in UNITs) of the bigrams that each begins; and for each part (slab null) its statistics."""
     def run(t, m):
         import pyarrow as pa
-        head, mass, _ = _totals([unpack_sorted(x) for x in m.column("head").to_pylist()],
-                                [unpack(x, np.float64) for x in m.column("mass").to_pylist()], np.float64)
-        keys = [unpack_sorted(x) for x in t.column("a").to_pylist()]
-        unique, total, at = _totals(keys, [unpack(x, np.uint32) for x in t.column("b").to_pylist()])
-        weight = np.zeros(len(unique))
-        weight[np.searchsorted(unique, head)] = mass           # a bigram's first word is some slab's word
-        rows, a = [], 0
-        for slab, part, k in zip(t.column("slab").to_pylist(), t.column("part").to_pylist(), keys):
-            of = at[a:a + len(k)]
-            a += len(k)
-            rows.append((slab, part, pack(total[of].astype(np.uint64)), pack(weight[of]), None, None, None))
+        slab = t.column("slab").to_numpy()
+        keys = [unpack_sorted(x.as_py()) for x in t.column("a")]
+        unique, total, at = _totals(keys, [unpack(x.as_py(), np.uint32) for x in t.column("b")])
+        starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
+        weight, order = np.zeros(len(unique), np.int64), np.argsort(slab)
+        for s, place, mass in zip(m.column("slab"), m.column("a"), m.column("b")):
+            row = order[np.searchsorted(slab, unpack(s.as_py(), np.int64), sorter=order)]
+            np.add.at(weight, at[starts[row] + unpack(place.as_py(), np.uint32)], unpack(mass.as_py(), np.uint32))
+        rows = []
+        for i, part in enumerate(t.column("part").to_pylist()):
+            of = at[starts[i]:starts[i + 1]]
+            rows.append((int(slab[i]), part, pack(total[of].astype(np.uint64)), pack(weight[of]), None, None, None))
         rows.append((None, None, None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum())))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
@@ -186,60 +192,86 @@ def bigram_key(head, tail):
         return mix(mix(head) + tail)
 
 
-def pack_hashes(number, hashes) -> tuple[bytes, bytes]:
-    """hashes[number], as the distinct ones and each entry's place among them (byte by byte: mostly zeros)."""
-    distinct, at = np.unique(number, return_inverse=True)
-    return pack_sorted(hashes[distinct]), pack(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel())
+def pack_bytes(x) -> bytes:
+    """Whole numbers byte by byte, lowest bytes first: the others are mostly zeros."""
+    return pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel())
 
 
-def unpack_hashes(distinct, at):
-    return unpack_sorted(distinct)[np.ascontiguousarray(unpack(at, np.uint8).reshape(4, -1).T).view("<u4").ravel()]
+def unpack_bytes(data):
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def slab_bigrams(x, sizes, h, parts: int):
+    """The distinct bigrams of a slab: (head, key, part, order by part and key, each token's bigram)."""
+    pair, back = np.unique(_before(x, sizes) * len(h) + x, return_inverse=True)
+    head = pair // max(len(h), 1)
+    key = bigram_key(h[head], h[pair - head * len(h)])
+    part = (key % np.uint64(parts)).astype(np.int64)
+    return head, key, part, np.lexsort((key, part)), back
 
 
 def bigrams(texts: DataFrame, parts: int) -> DataFrame:
-    """Rows by part: first words (a, b), second words (c, d) and training counts (n) of a slab's bigrams."""
+    """Rows by part: a slab's bigram keys, rising (key), their training counts (n), and the place of each first
+    word in the slab's vocabulary: its part (home) and its number there (place)."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for a, b, held, sizes in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "held", "sizes"))):
+            for i in range(batch.num_rows):                    # one slab unpacked at a time
+                slab, a, b, held, sizes = (batch.column(c)[i].as_py() for c in ("slab", "a", "b", "held", "sizes"))
                 x, h = unpack(a, np.uint32).astype(np.int64), unpack_sorted(b)
-                train = np.repeat(~np.array(held, bool), sizes)
-                pair, n = np.unique(_before(x, sizes)[train] * len(h) + x[train], return_counts=True)
-                head, tail = pair // len(h), pair % len(h)
-                part = (bigram_key(h[head], h[tail]) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
+                head, key, part, order, back = slab_bigrams(x, sizes, h, parts)
+                n = np.bincount(back[np.repeat(~np.array(held, bool), sizes)], minlength=len(key))
+                word_part = (h % np.uint64(parts)).astype(np.int64)
+                first = np.searchsorted(word_part, np.arange(parts))
                 cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-                rows = [(p, *pack_hashes(head[at], h), *pack_hashes(tail[at], h), pack(n[at].astype(np.uint32)))
-                        for p, at in enumerate(order[i:j] for i, j in zip(cut, cut[1:])) if len(at)]
+                rows = []
+                for p, at in enumerate(order[i:j] for i, j in zip(cut, cut[1:])):
+                    if len(at):
+                        home = word_part[head[at]]
+                        rows.append((p, slab, pack_sorted(key[at]), pack(n[at].astype(np.uint32)), pack_bytes(home),
+                                     pack_bytes(head[at] - first[home])))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32())
-                                                      for k, c in enumerate(zip(*rows))], names=["part", *"abcdn"])
-    return texts.select("a", "b", "held", "sizes").mapInArrow(
-        run, "part int, a binary, b binary, c binary, d binary, n binary")
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                     names=["part", "slab", "key", "n", "home", "place"])
+    return texts.select("slab", "a", "b", "held", "sizes").mapInArrow(
+        run, "part int, slab bigint, key binary, n binary, home binary, place binary")
 
 
-def blocks_of(pairs: DataFrame, parts: int) -> DataFrame:
-    """For each part of the bigrams its filter block; and (block null) the first words of its counted
-    bigrams with their discounted masses, by part of the vocabulary."""
+def levels(pairs: DataFrame) -> DataFrame:
+    """For each slab and part the levels of its bigrams (a), probed from the part's filter block; and (`home` not
+    null) the discounted masses of first words by part of the vocabulary: slab, place there, and mass."""
     def run(t):
         import pyarrow as pa
-        packed = [t.column(c).to_pylist() for c in "abcd"]
-        keys = [bigram_key(unpack_hashes(a, b), unpack_hashes(c, d)) for a, b, c, d in zip(*packed)]
-        key, total, at = _totals(keys, [unpack(x, np.uint32) for x in t.column("n").to_pylist()])
-        head, i = np.empty(len(key), np.uint64), 0
-        for k, a, b in zip(keys, *packed[:2]):             # unpacked again: all of them at once are large
-            head[at[i:i + len(k)]] = unpack_hashes(a, b)
-            i += len(k)
+        part, slab = t.column("part")[0].as_py(), t.column("slab").to_numpy()
+        keys = [unpack_sorted(x.as_py()) for x in t.column("key")]
+        joined = np.concatenate(keys)
+        key, first, at = np.unique(joined, return_index=True, return_inverse=True)
+        del joined
+        total = np.bincount(at, np.concatenate([unpack(x.as_py(), np.uint32) for x in t.column("n")]), len(key)).astype(np.int64)
+        del at
         keep = total >= MIN_COUNT
-        key, total = key[keep], total[keep]
-        head, at = np.unique(head[keep], return_inverse=True)
-        mass = np.bincount(at, expected(level(total)) - DISCOUNT, len(head)) if len(head) else np.empty(0)
-        home = (head % np.uint64(parts)).astype(np.int64)
-        rows = [(t.column("part")[0].as_py(), build_block(key, total), None, None)]
-        rows += [(p, None, pack_sorted(head[of]), pack(mass[of])) for p in np.unique(home).tolist() for of in [home == p]]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "block", "head", "mass"])
-    return pairs.groupBy("part").applyInArrow(run, "part int, block binary, head binary, mass binary")
+        first, block = first[keep], build_block(key[keep], total[keep])
+        mass = ((lowest(level(total[keep])) - DISCOUNT) / UNIT).astype(np.uint32)
+        del key, total
+        # The first slab that holds a counted bigram names its first word.
+        ends = np.cumsum([len(k) for k in keys])
+        row = np.searchsorted(ends, first, "right")
+        home, place = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        rows = []
+        for i in range(len(keys)):
+            own = np.flatnonzero(row == i)
+            at = first[own] - (ends[i] - len(keys[i]))
+            home[own], place[own] = (unpack_bytes(t.column(c)[i].as_py())[at] for c in ("home", "place"))
+            rows.append((int(slab[i]), part, pack(probe(block, keys[i]).astype(np.uint8)), None, None, None))
+            keys[i] = keys[i][:0]
+        order = np.argsort(home, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+            if len(own):
+                rows.append((None, int(home[own[0]]), pack(place[own].astype(np.uint32)), pack(mass[own]), pack(slab[row[own]]), True))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slab", "part", "a", "b", "slabs", "home"])
+    return pairs.groupBy("part").applyInArrow(run, "slab bigint, part int, a binary, b binary, slabs binary, home boolean")
 
 
 def entries(key, q):
@@ -260,13 +292,21 @@ def level(count):
     return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def expected(q):
-    """The mean count of a level."""
-    counts = np.array([0.0, *[(math.ceil(BASE ** (j - 1) - 1e-6) + math.ceil(BASE ** j - 1e-6) - 1) / 2
-                              for j in range(1, 120)]])
+def lowest(q):
+    """The smallest count of a level (0 of level 0)."""
+    counts = np.array([0.0, *[float(math.ceil(BASE ** (j - 1) - 1e-6)) for j in range(1, 120)]])
     return counts[q]
 
 
+def probability(own, before, mass, q, model):
+    """P(w | v) from the counts of w and v, the mass S(v) and the level of the bigram."""
+    n, v, unseen = model["n"], model["v"], model["unseen"]
+    p = np.where(own > 0, own - unseen, unseen * v) / n
+    c = np.maximum(before, 1)
+    gain = np.where(q > 0, np.minimum(lowest(q) - DISCOUNT, mass), 0.0) / c
+    return np.minimum(gain + (1.0 - mass / c) * p, 1.0)
+
+
 def build_block(key, count) -> bytes:
     """The filter block of bigram keys with their counts, as packed bits."""
     q = level(count)
@@ -301,85 +341,49 @@ def score(docs: DataFrame, divisor: int = 5) -> DataFrame:
     read = written(slabs(docs.withColumn("held", held_out(divisor)), parts))
     texts, vocabulary = read.where("part is null"), read.where("part is not null")
     n_train = texts.agg(F.sum("train")).first()[0] or 0
-    built = written(blocks_of(bigrams(texts, parts), parts))
-    blocks = built.where("block is not null").select("part", "block")
+    found = written(levels(bigrams(texts, parts)))
     answered = written(answers(vocabulary.select("slab", "part", "a", "b"),
-                               built.where("block is null").select("part", "head", "mass")))
+                               found.where("home").select("part", F.col("slabs").alias("slab"), "a", "b")))
     replies, facts = answered.where("slab is not null"), answered.where("slab is null")
     v, ones = facts.agg(F.sum("v"), F.sum("ones")).first()
     v, ones = v or 0, ones or 0
     left = texts.select("slab", "a", "b", "ids", "held", "sizes").groupBy("slab")
-    right = replies.select("slab", "part", "a", "b").groupBy("slab")
+    right = (replies.select("slab", "part", "a", "b", F.lit(False).alias("pair"))
+             .unionByName(found.where("home is null").select("slab", "part", "a", "b", F.lit(True).alias("pair"))).groupBy("slab"))
     model = {"n": n_train, "v": v, "unseen": min(max(ones / v, 0.1), 0.9) if v else 0.0, "parts": parts}
-    scored, segments = None, _segments(blocks)
-    model["blocks"] = np.array(sum(segments, []), np.int64)
-    for number, segment in enumerate(segments):
-        got = {r.part: bytes(r.block) for r in blocks.where(F.col("part").isin(segment)).collect()}  # <= SEGMENT bytes
-        filled = spark.sparkContext.broadcast(got)
-        one = left.cogroup(right).applyInArrow(_scorer(model, filled, first=number == 0), SCORED)
-        scored = one if scored is None else scored.unionByName(one)
-    if number:
-        scored = (scored.groupBy("slab", "place").agg(
-            *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")],
-            F.sum("score").alias("score")))
+    scored = left.cogroup(right).applyInArrow(_scorer(model), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"),
                          "base_score", "score")
 
 
-SCORED = ("slab bigint, place int, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-          "base_score double, score double")
-
-
-def _segments(blocks: DataFrame) -> list[list[int]]:
-    """Parts in runs of at most SEGMENT bytes (a larger single block is a run of its own)."""
-    out, filled = [[]], 0
-    for part, size in sorted(map(tuple, blocks.select("part", F.octet_length("block")).collect())):
-        if filled + size > SEGMENT and out[-1]:
-            out, filled = [*out, []], 0
-        out[-1].append(part)
-        filled += size
-    return out
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _scorer(model, filled, first: bool):
+def _scorer(model):
     def run(d, r):
         import pyarrow as pa
         x, h = unpack(d.column("a")[0].as_py(), np.uint32).astype(np.int64), unpack_sorted(d.column("b")[0].as_py())
         sizes = np.array(d.column("sizes")[0].as_py(), np.int64)
-        order = np.argsort(r.column("part").to_numpy())
-        counts, mass = (np.concatenate([unpack(column[i], kind) for i in order]).astype(kind) for column, kind in (
-            (r.column("a").to_pylist(), np.int64), (r.column("b").to_pylist(), np.float64)))
-        before = _before(x, sizes)
-        live = (counts[x] >= MIN_COUNT) & (counts[before] >= MIN_COUNT)       # no other bigram can be in the filter
-        c = counts[x]
+        pair, part = r.column("pair").to_numpy(zero_copy_only=False).astype(bool), r.column("part").to_numpy()
+
+        def joined(column, rows, kind):
+            at = np.flatnonzero(rows)
+            at = at[np.argsort(part[at])]
+            return np.concatenate([np.empty(0, kind), *(unpack(r.column(column)[i].as_py(), kind) for i in at.tolist())])
+        counts, mass = joined("a", ~pair, np.uint64).astype(np.int64), joined("b", ~pair, np.int64) * UNIT
+        c, before = counts[x], _before(x, sizes)
         n, v = model["n"], model["v"]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        each = base
         if n:
-            p = np.where(c > 0, c - model["unseen"], model["unseen"] * v) / n
-            p = p * np.clip(1 - mass / np.maximum(counts, 1), 0.01, 1.0)[before]
-            mine = ~live if first else np.zeros(len(x), bool)
-            pair, back = np.unique(before[live] * len(h) + x[live], return_inverse=True)
-            unique = bigram_key(h[pair // len(h)], h[pair % len(h)])
-            where = (unique % np.uint64(model["parts"])).astype(np.int64)
-            q = np.zeros(len(unique), np.int64)
-            seen = np.full(len(unique), first) & ~np.isin(where, model["blocks"])    # parts without any bigram
-            for k, data in filled.value.items():
-                own = np.flatnonzero(where == k)
-                q[own], seen[own] = probe(data, unique[own]), True
-            own = np.zeros(len(x), bool)
-            own[live] = seen[back]
-            gain = np.zeros(len(x))
-            found = q[back]
-            gain[live] = np.where(found > 0, expected(found) - DISCOUNT, 0) / np.maximum(counts[before[live]], 1)
-            each = np.where(mine | own, np.log10(p + gain), 0.0)
-        else:
-            each = base if first else np.zeros(len(x))
+            _, key, _, order, back = slab_bigrams(x, sizes, h, model["parts"])
+            q = np.empty(len(key), np.int64)
+            q[order] = joined("a", pair, np.uint8)
+            each = np.log10(probability(c, counts[before], mass[before], q[back], model))
         ends = np.cumsum(sizes) - sizes
         rows = [np.add.reduceat(y, ends) if len(ends) else np.empty(0) for y in (c > 0, base, each)]
-        m = len(sizes)
-        return pa.table([pa.array(np.full(m, d.column("slab")[0].as_py())), pa.array(np.arange(m, dtype=np.int32)),
-                         d.column("ids").combine_chunks().flatten(), d.column("held").combine_chunks().flatten(),
+        return pa.table([d.column("ids").combine_chunks().flatten(), d.column("held").combine_chunks().flatten(),
                          pa.array(sizes), pa.array(rows[0].astype(np.int64)), pa.array(rows[1].astype(float)),
                          pa.array(rows[2].astype(float))],
-                        names=["slab", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
     return run
