@@ -6,20 +6,21 @@ neighbours (``WINDOW`` to either side) over all documents of the corpus, its wor
 vector the index vector plus the context vector scaled to the same length (the
 index vector alone if the corpus does not hold the token).  All tokens take
 part: documents are read once into slabs, the distinct words of about ``SLAB``
-tokens with partial context vectors and the texts as word numbers; parts of the
-hashed vocabulary add the vectors up and answer every slab for its words, in
-shuffles of packed arrays.  Tokens are told apart by 64-bit hashes.  A
-document's vector is the
-mean over its tokens, together with a few figures of its shape; a network of
-two layers, fitted with numpy on a bounded labelled sample, scores it, and a
-temperature fitted on a part of the sample that the network did not see
+tokens with partial context vectors (rare, middling and common words apart, which
+packs them well) and the texts as word numbers with counts; parts of the hashed
+vocabulary add the vectors up and answer every slab with the word vectors of its
+words in steps of ``STEP``.  Slabs go through these two shuffles as packed arrays and
+are not written in between.  Tokens are told apart by 64-bit hashes.  A document's
+vector is the mean over its tokens, together with a few figures of its shape; a
+network of two layers, fitted with numpy on a bounded labelled sample, scores it,
+and a temperature fitted on a part of the sample that the network did not see
 calibrates the probability.
 
 Defined cases: a null or empty text has the zero vector and the score the
-network gives it; repeated labelled rows count once (the largest label wins,
-with the largest vector); a
+network gives it; a very long text may make its slab larger than others; repeated
+labelled rows count once (the largest label wins, with the largest vector); a
 null label is ignored; a sample of one class gives every document that class's
-share.  Extra columns stay out of the result.
+share; an empty table gives an empty result.  Extra columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.lm_score import pack, pack_sorted, unpack, unpack_sorted
+from kinrank.llm.lm_score import pack, pack_bytes, pack_sorted, unpack, unpack_bytes, unpack_sorted
 from kinrank.llm.shared import text_batches, worker_memo, written
 from kinrank.llm.toxicity import sample
 
 DIM, MARKS = 64, 6           # length of the vectors; how many places of an index vector are not zero
 WINDOW = 2
-SLAB = 500_000               # tokens of a slab
+SLAB = 2_000_000             # tokens of a slab
+RARE, COMMON = 3, 30         # occurrences in a slab that part its words into three classes
+STEP = 0.5                   # of the word vectors that are sent
 PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
 CHUNK = 1 << 16              # tokens whose vectors are added up at once
 HIDDEN = 24
@@ -94,45 +97,58 @@ def unpack_signed(data, kind):
 
 def contexts(x, sizes, h):
     """Sums of the neighbours' index vectors over the texts of a slab, one row a word."""
-    doc, out, pairs = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(h) * DIM), []
-    for o in range(1, WINDOW + 1):
-        same = doc[:-o] == doc[o:]
-        a, c = x[:-o][same], x[o:][same]
-        pairs += [(a, c), (c, a)]
-    word, near = map(np.concatenate, zip(*pairs))
-    word *= DIM
-    for place, sign in marks(h):
-        out += np.bincount(word + place[near], sign[near], len(out))
-    return out.astype(np.int32).reshape(-1, DIM)
+    doc, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(h) * DIM, np.int32)
+    spots = [(place, sign.astype(np.int32)) for place, sign in marks(h)]
+    for at in range(0, len(x), CHUNK):
+        for o in range(1, WINDOW + 1):
+            end = min(at + CHUNK, len(x) - o)
+            same = np.flatnonzero(doc[at:end] == doc[at + o:end + o]) + at
+            for word, near in ((x[same], x[same + o]), (x[same + o], x[same])):
+                for place, sign in spots:
+                    np.add.at(out, word * DIM + place[near], sign[near])
+    return out.reshape(-1, DIM)
+
+
+SLABS = ("part int, slab bigint, class int, a binary, b binary, ask boolean, ids array<bigint>, sizes binary, shapes binary, "
+         "words bigint")
 
 
-def slabs(docs: DataFrame, parts: int, counted: bool) -> DataFrame:
-    """Two kinds of rows: texts as word numbers, with the words' hashes (part null), and vocabularies
-    by part, with partial context vectors if `counted`."""
+def slabs(docs: DataFrame, parts: int, told: bool, ask: bool) -> DataFrame:
+    """Two kinds of rows by part: texts (ids not null) as rising (document, word number) keys (a) with counts (b), and
+    classes of vocabularies as hashes (a), with partial context vectors (b) if `told`, that `ask` for word vectors."""
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        schema = pa.schema([("slab", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()),
-                            ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                            ("shapes", pa.list_(pa.float32()))])
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary(),
+                 pa.binary(), pa.int64()]
         serial = TaskContext.get().partitionId() << 32
 
         def flush():
             nonlocal index, numbers, ids, sizes, shapes, serial
-            h = hashes(list(index))
+            h, x = hashes(list(index)), np.array(numbers, np.int64)
             part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((h, part))                       # words by part, then by hash
+            group = part * 3 + np.digitize(np.bincount(x, minlength=len(h)), (RARE + 1, COMMON + 1))
+            order = np.lexsort((h, group))                       # words by part, class and hash
             place = np.empty(len(h), np.int64)
             place[order] = np.arange(len(h))
-            x, h = place[np.array(numbers, np.int64)], h[order]
-            rows = [(serial, None, pack(x.astype(np.uint32)), pack_sorted(h), ids, sizes, shapes)]
-            cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-            sums = contexts(x, sizes, h) if counted else None
-            rows += [(serial, p, pack_sorted(h[a:b]), pack_signed(sums[a:b]) if counted else None, None, None, None)
-                     for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            x, h, group = place[x], h[order], group[order]
+            sums = contexts(x, sizes, h) if told else None
+            cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [len(h)]
+            rows = [(int(group[i]) // 3, serial, int(group[i]) % 3, pack_sorted(h[i:j]), pack_signed(sums[i:j]) if told else None,
+                     ask, None, None, None, None) for i, j in zip(cuts, cuts[1:])]
+            if ask:
+                key = np.repeat(np.arange(len(sizes)) * len(h), sizes) + x
+                key, n = np.unique(key, return_counts=True)
+                steps = np.diff(key, prepend=0)
+                # Two numbers a key: words skipped, and documents begun since the one before.
+                packed = pack_bytes(steps % max(len(h), 1)), pack_bytes(steps // max(len(h), 1))
+                rows.append((serial % parts, serial, None, packed[0], pack_bytes(n), None, ids, pack_bytes(np.array(sizes)),
+                             pack(np.array(shapes, np.float32)), len(h)))
+                rows.append((serial % parts, serial, -1, packed[1], None, None, [], None, None, None))
             index, numbers, ids, sizes, shapes = {}, [], [], [], []
             serial += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                              names=[c.split(" ")[0] for c in SLABS.split(", ")])
 
         index, numbers, ids, sizes, shapes = {}, [], [], [], []
         for b in batches:
@@ -148,80 +164,81 @@ def slabs(docs: DataFrame, parts: int, counted: bool) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "slab bigint, part int, a binary, b binary, ids array<bigint>, sizes array<int>, shapes array<float>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SLABS)
 
 
-def context_vectors(read: DataFrame) -> DataFrame:
-    """(part, a, b): the hashes of all tokens of a part of the vocabulary, and their context vectors."""
+def word_vectors(h, total):
+    """Index vectors plus context sums scaled to the same length, in whole STEPs."""
+    scale = math.sqrt(MARKS) / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)
+    return np.rint((index_vectors(h) + total * scale) / STEP).astype(np.int8)
+
+
+def answered(read: DataFrame) -> DataFrame:
+    """The rows that ask, with the vectors of their words (b), and the texts as they are, for the slabs."""
     def run(t):
         import pyarrow as pa
-        keys = [unpack_sorted(x) for x in t.column("a").to_pylist()]
-        unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total, i = np.zeros((len(unique), DIM), np.int64), 0
-        for k, sums in zip(keys, t.column("b")):
-            total[at[i:i + len(k)]] += unpack_signed(sums.as_py(), np.int32)       # a slab has a word once
-            i += len(k)
-        return pa.table([pa.array([t.column("part")[0].as_py()], pa.int32()), pa.array([pack_sorted(unique)], pa.binary()),
-                         pa.array([pack_signed(total)], pa.binary())], names=["part", "a", "b"])
-    return (read.where("part is not null").select("part", "a", "b").groupBy("part")
-            .applyInArrow(run, "part int, a binary, b binary"))
-
-
-def pooled(read: DataFrame, context: DataFrame) -> DataFrame:
+        t = t.combine_chunks()
+        vocabulary = [i for i, x in enumerate(t.column("ids").is_null().to_pylist()) if x]
+        keys = [unpack_sorted(t.column("a")[i].as_py()) for i in vocabulary]
+        unique, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_inverse=True)
+        total, ends = np.zeros((len(unique), DIM), np.int64), np.cumsum([len(k) for k in keys])
+        for i, k, end in zip(vocabulary, keys, ends):
+            sums = t.column("b")[i].as_py()
+            if sums:
+                total[at[end - len(k):end]] += unpack_signed(sums, np.int32)       # a class has a word once
+        del keys
+        vectors, rows = np.empty((len(unique), DIM), np.int8), []
+        for i in range(0, len(unique), CHUNK):
+            vectors[i:i + CHUNK] = word_vectors(unique[i:i + CHUNK], total[i:i + CHUNK].astype(float))
+        del total
+        place = {i: n for n, i in enumerate(vocabulary)}
+        names = ("part", "slab", "class", "a", "b", "ids", "sizes", "shapes", "words")
+        for i in range(len(t)):
+            row = [t.column(c)[i].as_py() for c in names]
+            if i in place:
+                if not t.column("ask")[i].as_py():
+                    continue
+                of = at[(ends[place[i]] - len(unpack_sorted(row[3]))):ends[place[i]]]
+                row[3], row[4] = None, pack_signed(vectors[of])
+            rows.append(row)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, kinds)], names=list(names))
+    return read.groupBy("part").applyInArrow(
+        run, "part int, slab bigint, class int, a binary, b binary, ids array<bigint>, sizes binary, shapes binary, words bigint")
+
+
+def pooled(read: DataFrame) -> DataFrame:
     """(doc_id, x): the vector of every document in the slabs."""
-    def reply(t, m):
-        import pyarrow as pa
-        known = unpack_sorted(m.column("a")[0].as_py()) if len(m) else np.empty(0, np.uint64)
-        total = unpack_signed(m.column("b")[0].as_py(), np.int64) if len(m) else None
-        rows = []
-        for slab, part, a in zip(*(t.column(c).to_pylist() for c in ("slab", "part", "a"))):
-            k, c = unpack_sorted(a), None
-            c = np.zeros((len(k), DIM), np.int64)
-            if len(known):
-                at = np.searchsorted(known, k).clip(max=len(known) - 1)
-                there = known[at] == k
-                c[there] = total[at[there]]
-            rows.append((slab, part, pack_signed(c)))
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [(), (), ()],
-                                                        (pa.int64(), pa.int32(), pa.binary()))], names=["slab", "part", "c"])
-
-    def pool(d, r):
+    def pool(t):
         import pyarrow as pa
-        if not len(d):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float32()))})
-        x, h = unpack(d.column("a")[0].as_py(), np.uint32).astype(np.int64), unpack_sorted(d.column("b")[0].as_py())
-        sizes = np.array(d.column("sizes")[0].as_py(), np.int64)
-        vectors, c = index_vectors(h), r.column("c")
-        i = 0
-        for row in np.argsort(r.column("part").to_numpy()).tolist():
-            v = unpack_signed(c[row].as_py(), np.int64).astype(np.float64)
-            v *= math.sqrt(MARKS) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1)
-            vectors[i:i + len(v)] += v
-            i += len(v)
-        doc, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), DIM))
-        for at in range(0, len(x), CHUNK):
-            own = doc[at:at + CHUNK]
+        t = t.combine_chunks()
+        kind, part = t.column("class").to_pylist(), t.column("part").to_pylist()
+        text, more = kind.index(None), kind.index(-1)
+        get = lambda c, i=text: t.column(c)[i].as_py()
+        sizes, n = unpack_bytes(get("sizes")).astype(np.int64), unpack_bytes(get("b")).astype(np.float32)
+        width = max(get("words"), 1)
+        key = np.cumsum(unpack_bytes(get("a")).astype(np.int64) + unpack_bytes(get("a", more)).astype(np.int64) * width)
+        replies = sorted((part[i], kind[i], i) for i in range(len(kind)) if i not in (text, more))
+        vectors = np.concatenate([np.empty((0, DIM), np.int8), *(unpack_signed(get("b", i), np.int8) for _, _, i in replies)])
+        out = np.zeros((len(sizes), DIM))
+        for at in range(0, len(key), CHUNK):
+            own = key[at:at + CHUNK] // width
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            out[own[first]] += np.add.reduceat(vectors[x[at:at + CHUNK]], first, dtype=np.float64)
-        shapes = np.array(d.column("shapes")[0].as_py(), np.float32).reshape(-1, SHAPE)
-        out = np.concatenate([out / np.maximum(sizes, 1)[:, None], shapes], axis=1, dtype=np.float32)
+            each = vectors[key[at:at + CHUNK] % width] * n[at:at + CHUNK, None]
+            out[own[first]] += np.add.reduceat(each, first, dtype=np.float64)
+        shapes = unpack(get("shapes"), np.float32).reshape(-1, SHAPE)
+        out = np.concatenate([out * STEP / np.maximum(sizes, 1)[:, None], shapes], axis=1, dtype=np.float32)
         ends = np.arange(len(out) + 1, dtype=np.int32) * (DIM + SHAPE)
-        return pa.table([d.column("ids").combine_chunks().flatten(), pa.ListArray.from_arrays(ends, out.ravel())],
-                        names=["doc_id", "x"])
-    replies = (read.where("part is not null").select("slab", "part", "a").groupBy("part").cogroup(context.groupBy("part"))
-               .applyInArrow(reply, "slab bigint, part int, c binary"))
-    return (read.where("part is null").select("slab", "a", "b", "ids", "sizes", "shapes").groupBy("slab")
-            .cogroup(replies.groupBy("slab")).applyInArrow(pool, "doc_id bigint, x array<float>"))
+        ids = t.column("ids").slice(text, 1).combine_chunks().flatten()
+        return pa.table([ids, pa.ListArray.from_arrays(ends, out.ravel())], names=["doc_id", "x"])
+    return answered(read).groupBy("slab").applyInArrow(pool, "doc_id bigint, x array<float>")
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The classifier; `labelled` is what `sample` returned, a bounded number of rows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // PART_BYTES))
-    read = written(slabs(docs, parts, True))
-    context = written(context_vectors(read))
-    model = {"docs": docs, "parts": parts, "context": context, "pooled": written(pooled(read, context))}
+    model = {"docs": docs, "parts": parts, "pooled": written(pooled(slabs(docs, parts, told=True, ask=True)))}
     rows = (model["pooled"].join(F.broadcast(labelled), "doc_id").groupBy("doc_id")
             .agg(F.max("label").alias("label"), F.max("x").alias("x"))
             .toPandas().sort_values("doc_id"))             # at most MAX_LABELLED rows
@@ -271,8 +288,8 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every document row."""
     if "constant" in model:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model["constant"]).alias("score"))
-    vectors = model["pooled"] if docs is model["docs"] else pooled(written(slabs(docs, model["parts"], False)),
-                                                                   model["context"])
+    vectors = model["pooled"] if docs is model["docs"] else pooled(
+        slabs(docs, model["parts"], told=False, ask=True).unionByName(slabs(model["docs"], model["parts"], told=True, ask=False)))
     network = {k: model[k] for k in ("mean", "scale", "w", "temperature")}
 
     def run(batches):
