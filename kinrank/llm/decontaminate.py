@@ -2,28 +2,33 @@
 
 Texts are lower-cased (A-Z) and cut into words; an item's windows are its runs
 of ``n`` words (an item of fewer words is one window).  The hash set of the
-windows is broadcast in blocks of at most ``BLOCK`` windows (one pass over the
-documents for each block, usually one), so what is broadcast has a fixed
-bound.  A pass maps document words to the block's vocabulary, hashes windows of
+windows is broadcast in blocks of at most ``BLOCK`` windows and ``BYTES`` bytes of
+them (one pass over the documents for each block, usually one), so what is
+broadcast has a fixed bound; a worker indexes a block once.  A pass maps document words to the block's vocabulary, hashes windows of
 known words with numpy, looks them up in the sorted hash set and verifies every
 hit word by word.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no windows; equal windows of several items count for each; repeated
 document rows are scanned alike; a null item_id counts as an item without a
-name (no entry in the list).  Extra columns stay out of the result.
+name (no entry in the list); very long texts are scanned whole, one at a time;
+an empty table gives an empty result, and documents are clean if there are no
+items.  Extra columns stay out of the result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.shared import text_batches, worker_memo, written
+from kinrank.llm.shared import latest, text_batches, worker_memo, written
 
 N = 10
-BLOCK = 1_000_000            # windows broadcast at once
+BLOCK = 250_000              # windows broadcast at once (a worker's index of them takes about 200 MB) ...
+BYTES = 32 << 20             # ... and their bytes
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 HITS = "doc_id {id}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
@@ -104,7 +109,8 @@ def _window_hashes(ids, n: int):
 def _blocks(docs: DataFrame, benchmark: DataFrame, n: int):
     """Broadcasts of the windows, at most BLOCK in each, one after the other: (broadcast, is it the last)."""
     grams = written(windows(benchmark, n))
-    blocks = max(1, -(-grams.count() // (BLOCK // 2)))     # half full on average, so that BLOCK holds
+    rows, size = grams.agg(F.count(F.lit(1)), F.sum(F.octet_length("window"))).first()
+    blocks = max(1, -(-rows // (BLOCK // 2)), -(-(size or 0) // (BYTES // 2)))     # half full on average, so that both hold
     for at in range(blocks):
         own = grams.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == at)
         yield docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()]), at == blocks - 1
@@ -123,9 +129,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> D
     """The rows of `docs`, all columns, in which no window of the benchmark occurs."""
     out = docs
     for sent, last in _blocks(docs, benchmark, n):
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, token=uuid.uuid4().hex):
             import pyarrow as pa
-            block = _Block(sent.value)
+            block = latest("decontaminate-block", token, lambda: _Block(sent.value))
             for b in batches:
                 yield b.filter(pa.array([not block.find(words(text))[0] for texts in text_batches(b, "text")
                                          for text in texts], pa.bool_()))
@@ -161,9 +167,11 @@ def _cut(text: str | None, spans: list[dict]):
 
 def _scan(docs: DataFrame, sent, kind: str, first: bool, with_text: bool) -> DataFrame:
     """One pass: adds a block's hits to those of earlier passes; the text goes along where asked for."""
+    token = uuid.uuid4().hex
+
     def run(batches):
         import pyarrow as pa
-        block = _Block(sent.value)
+        block = latest("decontaminate-block", token, lambda: _Block(sent.value))
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))

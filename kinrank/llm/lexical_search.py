@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinrank.llm.shared import worker_memo, written
+from kinrank.llm.shared import latest, written
 
 K = 10
 CELLS = 4_000_000            # of the weight matrix that is broadcast (32 MB of float64)
@@ -58,15 +58,6 @@ def _binary(column):
     return column.cast(pa.binary())
 
 
-def _latest(token: str, build):
-    """What a worker has built for a pass over the documents; that of an earlier pass goes."""
-    held = worker_memo("lexical-search", dict)
-    if token not in held:
-        held.clear()
-        held[token] = build()
-    return held[token]
-
-
 def _item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term): the distinct terms of each item."""
     def run(batches):
@@ -111,7 +102,7 @@ def _statistics(docs: DataFrame, vocabulary) -> tuple[int, int, dict[int, int]]:
 
     def run(batches):
         import pyarrow as pa
-        get = _latest(token, lambda: {w: i for i, w in enumerate(vocabulary.value)}).get
+        get = latest("lexical-search", token, lambda: {w: i for i, w in enumerate(vocabulary.value)}).get
         df, with_terms, length = np.zeros(len(vocabulary.value), np.int64), 0, 0
         for b in batches:
             for start in range(0, b.num_rows, 64):
@@ -233,7 +224,7 @@ def _search_block(docs, shared, n_docs, n_terms, k, names, kinds) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        tiles = _latest(token, lambda: Tiles(*shared.value))
+        tiles = latest("lexical-search", token, lambda: Tiles(*shared.value))
         best, kind = Best(len(shared.value[1]), k), pa.null()
         for b in batches:
             kind = b.schema.field(0).type

@@ -35,6 +35,15 @@ def worker_memo(key, build):
     return store[key]
 
 
+def latest(name: str, token: str, build):
+    """What a worker has built for one pass over the data (named by `token`); that of an earlier pass goes."""
+    held = worker_memo(name, dict)
+    if token not in held:
+        held.clear()
+        held[token] = build()
+    return held[token]
+
+
 def text_batches(batch, column: str, rows: int = 256):
     """The texts of a record batch as Python strings, a few rows at a time."""
     values = batch.column(batch.schema.get_field_index(column))
