@@ -7,7 +7,7 @@ training counts, the part answers with the corpus-wide counts and discounted
 masses), so every document gets the exact count of each of its words; this gives
 the base score and the unigram backoff.
 
-Before that, a slab sends its distinct bigrams, held-out ones included, as 64-bit
+Before that, a slab sends its distinct bigrams, held-out ones included, as 48-bit
 keys to parts of the hashed bigrams.  A part adds up the training counts and
 enters the bigrams seen ``MIN_COUNT`` times or more, at any size of the corpus and
 however rare their words, into its block of a Bloom filter: a bigram of quantised
@@ -30,7 +30,8 @@ score is the sum of log10 P over the words and the end of a text; the end also
 serves as the context of the first word.
 
 Sums of packed arrays stay linear in the input: there are never more of them
-than distinct (slab, word) pairs.  Words are told apart by 64-bit hashes.
+than distinct (slab, word) pairs.  Words are told apart by 64-bit hashes, the
+bigrams of a part (12 MB of text) by 48 bits.
 
 Defined cases: a null or empty text has just its end token; very long texts are
 slabs of their own; a null doc_id counts as training; repeated rows are scored
@@ -49,7 +50,8 @@ from pyspark.sql import functions as F
 from kinrank.llm.shared import held_out, text_batches, written
 
 SLAB = 750_000               # tokens of a slab
-PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
+PART_BYTES = 12 << 20        # bytes of text for each part of the words and bigrams
+KEY = (1 << 48) - 1          # bits of a bigram's key within its part
 MIN_COUNT = 2                # of a bigram, whatever the size of the corpus
 BASE = 1.5                   # of the logarithm that quantises counts
 DISCOUNT = 0.75
@@ -192,13 +194,22 @@ def bigram_key(head, tail):
         return mix(mix(head) + tail)
 
 
-def pack_bytes(x) -> bytes:
+def pack_bytes(x, kind: str = "<u4") -> bytes:
     """Whole numbers byte by byte, lowest bytes first: the others are mostly zeros."""
-    return pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel())
+    return pack(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.ravel())
 
 
-def unpack_bytes(data):
-    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpack_bytes(data, kind: str = "<u4"):
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_keys(x) -> bytes:
+    """Rising keys of a part, as their differences byte by byte."""
+    return pack_bytes(np.diff(x, prepend=x.dtype.type(0)), "<u8")
+
+
+def unpack_keys(data):
+    return np.cumsum(unpack_bytes(data, "<u8"), dtype=np.uint64)
 
 
 def slab_bigrams(x, sizes, h, parts: int):
@@ -206,7 +217,7 @@ def slab_bigrams(x, sizes, h, parts: int):
     pair, back = np.unique(_before(x, sizes) * len(h) + x, return_inverse=True)
     head = pair // max(len(h), 1)
     key = bigram_key(h[head], h[pair - head * len(h)])
-    part = (key % np.uint64(parts)).astype(np.int64)
+    part, key = (key % np.uint64(parts)).astype(np.int64), key // np.uint64(parts) & np.uint64(KEY)
     return head, key, part, np.lexsort((key, part)), back
 
 
@@ -228,7 +239,7 @@ def bigrams(texts: DataFrame, parts: int) -> DataFrame:
                 for p, at in enumerate(order[i:j] for i, j in zip(cut, cut[1:])):
                     if len(at):
                         home = word_part[head[at]]
-                        rows.append((p, slab, pack_sorted(key[at]), pack(n[at].astype(np.uint32)), pack_bytes(home),
+                        rows.append((p, slab, pack_keys(key[at]), pack(n[at].astype(np.uint32)), pack_bytes(home),
                                      pack_bytes(head[at] - first[home])))
                 if rows:
                     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
@@ -244,7 +255,7 @@ def levels(pairs: DataFrame) -> DataFrame:
     def run(t):
         import pyarrow as pa
         part, slab = t.column("part")[0].as_py(), t.column("slab").to_numpy()
-        keys = [unpack_sorted(x.as_py()) for x in t.column("key")]
+        keys = [unpack_keys(x.as_py()) for x in t.column("key")]
         joined = np.concatenate(keys)
         key, first, at = np.unique(joined, return_index=True, return_inverse=True)
         del joined
