@@ -271,6 +271,38 @@ def q_exclusions_anti(spark, d):
     return LD.exclude(T.item_paths(spark, d), EXCLUDE_PATTERNS)
 
 
+def q_exclusions_table(spark, d):
+    """The rules come from a table."""
+    return LD.exclude_by(T.item_paths(spark, d), T.rules(spark, d))
+
+
+def q_files_scan(spark, d):
+    """The items written as a tree of files, hidden folders and names included, and scanned again."""
+    root = shared_dir(spark)
+    T.write_tree(spark, d, root)
+    return LD.read_files(spark, root).select("path", "content")
+
+
+def q_relativized_paths(spark, d):
+    """Paths below a project root or behind './', as an ingest sees them."""
+    given = F.expr("concat(CASE item_id % 3 WHEN 0 THEN '/data/project/' WHEN 1 THEN './' ELSE '././' END, path)")
+    return LD.relativize(T.item_paths(spark, d).withColumn("path", given), "/data/project")
+
+
+def q_ranked_written(spark, d):
+    """The co-change ranking persisted and read back."""
+    path = shared_dir(spark)
+    LD.write_ranked(co.cochange_topk(T.changes(spark, d), n=10), path)
+    return _rounded(spark.read.parquet(path))
+
+
+def q_cochange_uncapped(spark, d):
+    """Co-change with the size cap lifted to 20,000 items a group, over one group for each day (hundreds of items)."""
+    days = T.changes(spark, d, with_time=True).where(F.col("ts") >= F.lit("1998-07-01").cast("timestamp"))
+    days = days.select(F.datediff("ts", F.lit("1998-01-01")).cast("long").alias("group_id"), "item")
+    return _rounded(co.cochange_topk(days, n=3, max_size=20_000))
+
+
 def q_changelog_parse(spark, d):
     """A change log written from the orders (newest first), parsed again."""
     path = shared_dir(spark)
@@ -583,11 +615,26 @@ ORACLE = {
         SELECT group_id::BIGINT AS group_id, line_no::BIGINT AS line_no, item FROM o WHERE item IS NOT NULL""",
     "exclusions_anti": f"""WITH {_IT} SELECT item_id, path FROM it
         WHERE NOT regexp_matches(path, '\\.d\\.ts$') AND NOT regexp_matches(path, '^src/promo/')""",
+    "exclusions_table": f"""WITH {_IT}, ru AS ({T.RULES_SQL})
+        SELECT item_id, path FROM it WHERE NOT EXISTS (SELECT 1 FROM ru WHERE regexp_matches(path, pattern))""",
+    "files_scan": f"""SELECT {T.TREE_PATH_SQL} AS path,
+        concat({T.PART_CONTENT_SQL}, CASE WHEN p_partkey % 50 = 1 THEN chr(65533) ELSE '' END) AS content FROM part""",
+    "relativized_paths": f"WITH {_IT} SELECT item_id, path FROM it",
     "relatedness": _relatedness_sql(_TARGETS),
     "relatedness_topk": _relatedness_sql(_TARGETS, top_n=10),
     "explain": _relatedness_sql(_TARGETS, top_n=10, labels=True),
 }
 
+ORACLE["ranked_written"] = ORACLE["cochange_topk"]
+ORACLE["cochange_uncapped"] = f"""WITH {_CH.replace("SELECT DISTINCT l_orderkey AS group_id, l_partkey AS item FROM lineitem",
+        "SELECT DISTINCT datediff('day', DATE '1998-01-01', o_orderdate::DATE)::BIGINT AS group_id, l_partkey AS item "
+        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1998-07-01'")
+        .replace("BETWEEN 2 AND 64", "BETWEEN 2 AND 20000")}
+        SELECT * FROM (SELECT target, candidate, round(weighted_count, {DIGITS}) AS weighted_count,
+               commit_count, round(score, {DIGITS}) AS score,
+               row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, candidate) AS rank FROM s)
+        WHERE rank <= 3"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cochange_pairs": q_cochange_pairs,
     "cochange_score": q_cochange_score,
@@ -622,6 +669,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ref_uses": q_ref_uses,
     "path_set_classes": q_path_set_classes,
     "exclusions_anti": q_exclusions_anti,
+    "exclusions_table": q_exclusions_table,
+    "files_scan": q_files_scan,
+    "relativized_paths": q_relativized_paths,
+    "ranked_written": q_ranked_written,
+    "cochange_uncapped": q_cochange_uncapped,
     "changelog_parse": q_changelog_parse,
     "relatedness": q_relatedness,
     "relatedness_topk": q_relatedness_topk,

@@ -6,10 +6,11 @@ per (group, item) touch.  A group is a commit, an order, a basket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
+from ..session import written
 from .topk import top_n_per_key
 
 KEEP_CHANGE_TYPES = ("A", "C", "M", "R")   # added, copied, modified, renamed
@@ -20,60 +21,157 @@ def filter_change_types(changes: DataFrame, keep=KEEP_CHANGE_TYPES) -> DataFrame
     return changes.where(F.col("change_type").isin(list(keep)))
 
 
+BUCKETS, FEW = 1024, 10_000        # of a pass of `nth_largest`; values that are sorted outright
+OLDEST = -(1 << 62)                # stands for a missing time
+
+
+def _ordinal(df: DataFrame, column: str):
+    """`column` as a whole number in the same order (times in microseconds), or None if its type has no such form."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp") or kind == "date":
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.col(column).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else None
+
+
+def nth_largest(df: DataFrame, column: str, n: int) -> tuple[int, int]:
+    """(the n-th largest value of a whole-number column, how many are larger); df has at least n rows.
+
+    Selection by counting: a pass counts BUCKETS equal ranges, the range that holds the n-th value is cut again,
+    until it has few values or is one value.  No pass sorts, and at most BUCKETS or FEW rows reach the driver."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    larger = 0
+    while True:
+        width = -(-(high - low + 1) // BUCKETS)
+        inside = df.where(F.col(column).between(low, high))
+        bucket = F.floor((F.col(column) - F.lit(low)) / width) if width > 1 else F.col(column) - F.lit(low)
+        counts = dict(inside.groupBy(bucket.cast("bigint").alias("b")).count().collect())
+        for b in sorted(counts, reverse=True):
+            if larger + counts[b] >= n:
+                break
+            larger += counts[b]
+        low, high = low + b * width, min(high, low + b * width + width - 1)
+        if low == high:
+            return low, larger
+        if counts[b] <= FEW:
+            top = sorted((r[0] for r in df.where(F.col(column).between(low, high)).select(column).collect()), reverse=True)
+            value = top[n - larger - 1]
+            return value, larger + top.index(value)
+
+
+def _groups(changes: DataFrame) -> DataFrame:
+    """(group_id, ts, even): each group's newest time, and whether all its rows have it."""
+    return changes.groupBy("group_id").agg(F.max("ts").alias("ts"), F.min("ts").eqNullSafe(F.max("ts")).alias("even"))
+
+
+def _cut(groups: DataFrame, n: int):
+    """A condition on (group_id, ts) that holds for exactly the newest n groups; None if no order can be counted."""
+    k, g = _ordinal(groups, "ts"), _ordinal(groups, "group_id")
+    if k is None or g is None:
+        return None
+    k, g = F.coalesce(k, F.lit(OLDEST)), F.coalesce(g, F.lit(OLDEST))
+    keyed = groups.select(k.alias("k"), g.alias("g"))
+    if n <= FEW:
+        top = keyed.orderBy(F.col("k").desc(), F.col("g").desc()).limit(n).collect()
+        if len(top) < n:
+            return F.lit(True)
+        time, last = top[-1]
+    else:
+        if groups.count() <= n:
+            return F.lit(True)
+        time, newer = nth_largest(keyed, "k", n)
+        last, _ = nth_largest(keyed.where(F.col("k") == time), "g", n - newer)
+    return (k > time) | ((k == time) & (g >= last))
+
+
+def _newest(groups: DataFrame, n: int) -> DataFrame:
+    """The rank order outright, for ids or times that are neither numbers nor times."""
+    return groups.orderBy(F.col("ts").desc(), F.col("group_id").desc()).limit(n)
+
+
 def recent_groups(changes: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` groups, (group_id, ts); ties broken by group id.
+    """The newest ``n`` groups, (group_id, ts); ties broken by group id, groups without a time are the oldest.
 
-    Planned as partial + final top-n (TakeOrderedAndProject): at most
-    n rows per task leave the map side, so the result is bounded by n.
-    """
-    groups = changes.groupBy("group_id").agg(F.max("ts").alias("ts"))
-    return groups.orderBy(F.col("ts").desc(), F.col("group_id").desc()).limit(n)
+    The n-th (ts, group_id) is found first, by a partial and final top-n up to FEW and by counting passes beyond, so
+    n may be any size; the rest is a range filter."""
+    groups = _groups(changes)
+    if n <= 0:
+        return groups.where(F.lit(False)).select("group_id", "ts")
+    groups = written(groups) if n > FEW else groups
+    cut = _cut(groups, n)
+    return (_newest(groups, n) if cut is None else groups.where(cut)).select("group_id", "ts")
 
 
 def limit_history(changes: DataFrame, n: int | None) -> DataFrame:
     """Keep the rows of the newest ``n`` groups (all when n is None; none at 0).
 
-    The kept group list has at most ``n`` rows by construction, so it is
-    broadcast into a semi join."""
+    If all rows of a group have one time, as commits do, the cut is a filter on the rows themselves; else the
+    groups are joined."""
     if n is None:
         return changes
-    keep = recent_groups(changes, n).select("group_id")
-    return changes.join(F.broadcast(keep), "group_id", "left_semi")
+    if n <= 0:
+        return changes.where(F.lit(False))
+    groups = written(_groups(changes))
+    cut = _cut(groups, n)
+    if cut is not None and groups.where(~F.col("even")).isEmpty():
+        return changes.where(cut)
+    keep = _newest(groups, n) if cut is None else groups.where(cut)
+    return changes.join(keep.select("group_id"), "group_id", "left_semi")
 
 
-def clean_groups(changes: DataFrame, min_size: int = W.MIN_GROUP,
-                 max_size: int = W.MAX_GROUP) -> DataFrame:
-    """A4: distinct items per group, groups of min..max items only.
+BLOCK = 64                   # items of a group that meet at once if large groups are let in
+
+
+def clean_groups(changes: DataFrame, min_size: int = W.MIN_GROUP, max_size: int | None = W.MAX_GROUP,
+                 dropped: Observation | None = None) -> DataFrame:
+    """A4: distinct items per group, groups of min..max items only (no upper bound when max_size is None).
 
     Sizes come from a two-phase count (map-side partial aggregation), so a
     group holding a third of all rows is counted without being gathered in
     one task; oversized groups are then dropped before any pair is formed.
+    ``dropped`` is told, once the result has run, how many groups were too
+    small, too large, and how many items the latter had.
     Returns (group_id, item, n).
     """
     touched = changes.select("group_id", "item").distinct()
-    sizes = (touched.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n").between(min_size, max_size)))
-    return touched.join(sizes, "group_id")
-
-
-def cochange_pairs(changes: DataFrame, min_size: int = W.MIN_GROUP,
-                   max_size: int = W.MAX_GROUP, targets: DataFrame | None = None) -> DataFrame:
+    sizes = touched.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    large = F.lit(False) if max_size is None else n > max_size
+    if dropped is not None:
+        sizes = sizes.observe(dropped, F.count(F.when(n < min_size, 1)).alias("too_small"),
+                              F.count(F.when(large, 1)).alias("too_large"),
+                              F.coalesce(F.sum(F.when(large, n)), F.lit(0)).alias("items_of_large"))
+    return touched.join(sizes.where((n >= min_size) & ~large), "group_id")
+
+
+def cochange_pairs(changes: DataFrame, min_size: int = W.MIN_GROUP, max_size: int | None = W.MAX_GROUP,
+                   targets: DataFrame | None = None, dropped: Observation | None = None) -> DataFrame:
     """A5: for every ordered pair of distinct items sharing a group, the sum
     of 1/sqrt(group size) and the number of groups.
 
     The self-join is on group_id after the size filter, so each group emits
     at most max_size * (max_size - 1) rows; the pair sums use partial
-    aggregation.  Returns (target, candidate, weighted_count, commit_count).
+    aggregation.  Where the cap is lifted, a group is dealt into blocks of about
+    BLOCK items and every pair of blocks meets under a key of its own, so that
+    no task gets more than BLOCK * BLOCK pairs of one group.
+    Returns (target, candidate, weighted_count, commit_count).
 
     ``targets`` (item ids, column ``item_id``) limits the left side to those
     items; group sizes still count every item, so the scores are unchanged.
     """
-    g = clean_groups(changes, min_size, max_size)
+    g = clean_groups(changes, min_size, max_size, dropped)
     left = g.select("group_id", F.col("item").alias("target"), "n")
+    right = g.select("group_id", F.col("item").alias("candidate"), "n")
+    key = ["group_id"]
     if targets is not None:
         left = left.join(targets.select(F.col("item_id").alias("target")).distinct(), "target", "left_semi")
-    right = g.select("group_id", F.col("item").alias("candidate"))
-    return (left.join(right, "group_id")
+    if max_size is None or max_size > BLOCK:
+        blocks = F.ceil(F.col("n") / BLOCK)
+        def dealt(df, item, own, other):  # noqa: E306
+            return (df.withColumn(own, F.pmod(F.xxhash64(item), blocks))
+                    .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))))
+        left, right = dealt(left, "target", "_l", "_r"), dealt(right, "candidate", "_r", "_l")
+        key = ["group_id", "_l", "_r"]
+    return (left.join(right.drop("n"), key)
             .where(F.col("target") != F.col("candidate"))
             .groupBy("target", "candidate")
             .agg(F.sum(1.0 / F.sqrt("n")).alias("weighted_count"),

@@ -70,6 +70,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Did a write to `path` end?"""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def written_once(df: DataFrame, path: str) -> DataFrame:
+    """`df` as Parquet at `path`, unless an earlier run finished writing it there."""
+    if not finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process, once no result that reads them is needed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

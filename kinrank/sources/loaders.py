@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.refs import trim_ws
+from ..session import written
+from .files import read_tree
 
 # Marker line that opens each commit in a name-only change log.
 COMMIT_MARKER = "__COMMIT__"
@@ -30,15 +32,9 @@ def read_items(spark: SparkSession, path: str, root: str | None = None) -> DataF
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """S1 (convenience): regular files under ``root`` via the binaryFile
-    source, keyed by relative path; bytes that are not UTF-8 become U+FFFD.
-    Note that Spark's file listing skips names starting with '_' or '.', so
-    use ``read_items`` when such files matter."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select(F.regexp_replace("path", "^file:/*", "/").alias("path"),
-                  F.col("modificationTime").alias("mtime"),
-                  F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
-    return relativize(df, root).withColumn("item_id", F.col("path"))
+    """S1 (file tree): every regular file under ``root``, hidden ones included, keyed by its path relative to
+    the root; bytes that are not UTF-8 become U+FFFD (see ``files.read_tree``)."""
+    return read_tree(spark, root).select("path", "mtime", "content", F.col("path").alias("item_id"))
 
 
 def exclude(items: DataFrame, patterns: Sequence[str], col: str = "path", fold: int = 200) -> DataFrame:
@@ -51,6 +47,25 @@ def exclude(items: DataFrame, patterns: Sequence[str], col: str = "path", fold:
     return items
 
 
+RULE_CHARS = 1_000_000       # of the patterns that one pass over the items takes
+
+
+def exclude_by(items: DataFrame, rules: DataFrame, col: str = "path") -> DataFrame:
+    """S2 with the rules in a table: column `pattern`, one regular expression a row (nulls are no rules).
+
+    The table's size is checked first.  Up to RULE_CHARS it is folded into one filter next to the scan; a larger
+    table is taken in blocks of about half as many characters, one written pass each, so that neither the driver
+    nor a plan ever holds more than one block."""
+    rules = rules.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    size = rules.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    blocks = 1 if size <= RULE_CHARS else -(-2 * size // RULE_CHARS)
+    for i in range(blocks):
+        own = rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i).orderBy("pattern")
+        items = exclude(items, [r.pattern for r in own.collect()], col)
+        items = written(items) if blocks > 1 else items
+    return items
+
+
 def parse_changelog(spark: SparkSession, path: str, marker: str = COMMIT_MARKER) -> DataFrame:
     """S3: a name-only change log, newest commit first (a line that is the
     marker, then one path per line), as ``changes(group_id, ts, line_no, item)``.

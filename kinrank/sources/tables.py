@@ -154,3 +154,34 @@ def code_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"), F.expr(CODE_PATH_SQL).alias("path"),
         F.expr(CODE_CONTENT_SQL).alias("content"))
+
+
+# The items as files, in plain, hidden and private folders; every 50th one ends in a byte that is not UTF-8.
+TREE_PATH_SQL = ("concat(CASE p_partkey % 3 WHEN 0 THEN '.hidden/' WHEN 1 THEN '_private/' ELSE 'plain/' END, "
+                 f"CAST(p_partkey % 40 AS STRING), '/_', CAST(p_partkey AS STRING), '/', {PART_PATH_SQL})")
+
+
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """One file an item below `root`, a folder that all machines share."""
+    rows = read_table(spark, sf_dir, "part").select(
+        F.expr(TREE_PATH_SQL).alias("path"), F.expr(PART_CONTENT_SQL).alias("content"), (F.col("p_partkey") % 50 == 1).alias("bad"))
+
+    def write(rows_):
+        from pyarrow import fs
+        system, base = fs.FileSystem.from_uri(root)
+        for r in rows_:
+            path = f"{base}/{r.path}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(r.content.encode() + (b"\xff" if r.bad else b""))
+    rows.foreachPartition(write)
+
+
+RULES_SQL = ("SELECT DISTINCT concat('/', replace(p_brand, '#', '-'), '/.*[.]spec[.]ts$') AS pattern FROM part "
+             "WHERE p_size % 10 = 3 UNION SELECT DISTINCT concat('^lib/', lower(p_type), '/') FROM part WHERE p_type LIKE 'S%'")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignore rules, one pattern a row: test files of some brands, library folders of some types."""
+    read_table(spark, sf_dir, "part").createOrReplaceTempView("kinrank_rule_parts")
+    return spark.sql(RULES_SQL.replace(" FROM part", " FROM kinrank_rule_parts"))

@@ -31,3 +31,44 @@ def test_history_limit_and_change_types(spark):
     kept = co.limit_history(co.filter_change_types(ch), 1)
     assert {r.group_id for r in kept.collect()} == {3}
     assert co.limit_history(ch, 0).count() == 0
+
+
+def test_newest_groups_by_counting(spark, monkeypatch):
+    import random
+    rng = random.Random(5)
+    rows = [(g, f"i{k}", rng.choice([None, 5, 5, 5, 70, 10 ** 15, -3, g])) for g in range(300) for k in range(rng.randint(1, 3))]
+    newest = {}
+    for g, _, t in rows:
+        newest[g] = max(newest.get(g, -10 ** 18), -10 ** 18 if t is None else t)
+    order = sorted(newest, key=lambda g: (newest[g], g), reverse=True)
+    ch = spark.createDataFrame(rows, "group_id long, item string, ts long")
+    for few in (10_000, 3):
+        monkeypatch.setattr(co, "FEW", few)
+        monkeypatch.setattr(co, "BUCKETS", 1024 if few > 3 else 16)
+        for n in (1, 17, 250, 300, 301):
+            assert {r.group_id for r in co.recent_groups(ch, n).collect()} == set(order[:n])
+        kept = co.limit_history(ch, 40)
+        assert {r.group_id for r in kept.collect()} == set(order[:40])
+        assert kept.count() == sum(g in set(order[:40]) for g, _, _ in rows)
+    named = ch.selectExpr("cast(group_id as string) group_id", "item", "ts")
+    assert co.recent_groups(named, 5).count() == 5 and co.limit_history(named, 0).count() == 0
+
+
+def test_uncapped_groups_equal_brute_force_and_drops_are_observed(spark):
+    from pyspark.sql import Observation
+    big = [f"f{i}" for i in range(300)]
+    groups = [big, big[:70], ["a", "f0"], ["solo"]]
+    ch = _changes(spark, groups)
+    got = {(r.target, r.candidate): (r.commit_count, r.weighted_count) for r in co.cochange_pairs(ch, max_size=None).collect()}
+    want = {}
+    for items in groups:
+        for a in items:
+            for b in items:
+                if a != b:
+                    c, w = want.get((a, b), (0, 0.0))
+                    want[a, b] = (c + 1, w + len(items) ** -0.5)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == c and abs(got[k][1] - w) < 1e-9 for k, (c, w) in want.items())
+    seen = Observation("dropped")
+    assert co.cochange_pairs(ch, dropped=seen).count() == 2
+    assert seen.get == {"too_small": 1, "too_large": 2, "items_of_large": 370}

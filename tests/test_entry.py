@@ -19,7 +19,8 @@ def test_entry_smoke(spark):
 
 
 @pytest.mark.parametrize("name", ["cochange_topk", "specificity", "names", "name_sim", "content_jaccard", "content_classes",
-                                  "import_refs", "php_refs", "ref_overlap", "ref_uses", "path_set_classes", "changelog_parse", "relatedness", "explain"])
+                                  "import_refs", "php_refs", "ref_overlap", "ref_uses", "path_set_classes", "changelog_parse", "relatedness", "explain",
+                                  "files_scan", "exclusions_table", "cochange_uncapped", "recent_groups"])
 def test_oracle_agreement(spark, name):
     sys.path.insert(0, os.path.join(ROOT, "tools"))
     import __spark_entry__ as E

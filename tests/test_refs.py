@@ -103,3 +103,18 @@ def test_overlap_matches_brute_force(spark):
     got = ref_overlap(spark.createDataFrame(refs, "item_id long, tokens array<string>, weight double"),
                       spark.createDataFrame(paths, "item_id long, path_tokens array<string>"))
     assert {(r.target, r.candidate): r.bonus for r in got.collect()} == pytest.approx(want)
+
+
+def test_doubling_values_share_memory():
+    from kinrank.operators import php
+    def source(n, used):  # noqa: E306
+        return "\n".join(["$a = 'x.y';", *["$a = 'z.' . $a . $a;"] * n, "return view($b);", f"return view({used});"])
+    env = {"a": ("x.y", True)}
+    plain = "x.y"
+    for _ in range(12):
+        plain = "z." + plain + plain
+        env["a"] = php.resolve("'z.' . $a . $a", env)
+    assert php.text_of(env["a"][0]) == plain and php.size_of(env["a"][0]) == len(plain)
+    assert list(php.argument_values(source(12, "$a"))) == [("php_view", plain, True)]
+    assert list(php.argument_values(source(40, "$a"))) == []                  # longer than LONGEST: refers to nothing
+    assert list(php.argument_values(source(40, "'ui.home'"))) == [("php_view", "ui.home", True)]

@@ -45,6 +45,30 @@ def test_read_files_replaces_bad_bytes(spark, tmp_path):
     assert got["b.txt"] == "é" and got["sub/a.txt"].startswith("ok \ufffd")
 
 
+def test_hidden_and_flat_trees(spark, tmp_path, monkeypatch):
+    from kinrank.sources import files
+    monkeypatch.setattr(files, "FLAT", 7)
+    names = ["__init__.py", "_form.php", ".env", ".git/config", "a/b/c/d/_deep/.x", "a/plain.txt", *(f"flat/f{i}" for i in range(30))]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "nowhere").symlink_to(tmp_path / "missing")
+    (tmp_path / "empty").mkdir()
+    for pieces in (1, 3, 64):
+        got = files.read_tree(spark, f"file://{tmp_path}", pieces).collect()
+        assert sorted(r.path for r in got) == sorted(names) and all(r.content == r.path and r.mtime for r in got)
+
+
+def test_rules_from_a_table(spark, monkeypatch):
+    df = spark.createDataFrame([(f"src/a{i}.ts",) for i in range(40)], "path string")
+    rules = spark.createDataFrame([(f"a{i}[.]",) for i in range(0, 40, 2)] + [(None,), ("a0[.]",)], "pattern string")
+    want = sorted(f"src/a{i}.ts" for i in range(1, 40, 2))
+    assert sorted(r.path for r in LD.exclude_by(df, rules).collect()) == want
+    monkeypatch.setattr(LD, "RULE_CHARS", 30)
+    assert sorted(r.path for r in LD.exclude_by(df, rules).collect()) == want
+    assert LD.exclude_by(df, rules.where("false")).count() == 40
+
+
 def test_items_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("./x/a.py", "t"), ("/r/b.py", None)], "path string, content string")
     LD.write_ranked(df, str(tmp_path / "items"))
