@@ -2,24 +2,28 @@
 
 Fit (on a bounded sample of labelled rows): every word and every word prefix
 of 3 to 8 letters gets a log-odds ratio between toxic and clean documents
-under an informative Dirichlet prior (the pooled counts of both classes).
+under an informative Dirichlet prior (the pooled counts of both classes; a word
+that follows itself counts once there, so that repetition is no evidence).
 Features whose ratio is significant form the lexicon; a token scores the best
 lower confidence bound among its features, every other token scores a small
 negative constant, so that the expected score of clean text is negative.
 
 Scan: Ruzzo and Tompa's linear-time algorithm finds every maximal scoring
-segment of a whole text.  Segments are kept if their expected number in clean
+segment of a whole text.  All tokens are scanned; the k-th of equal tokens in a row
+scores a k-th, so a repeated word weighs more than one but repetition alone is no
+passage.  Segments are kept if their expected number in clean
 text of that length (an extreme-value law whose two constants are fitted on
-clean sample documents) is below ``MAX_E``.  A logistic curve over the log
-expectation of the best segment and the positive score of the text's distinct
-words (a word that a text repeats counts once there) turns them into one
-probability per document.
+clean sample documents) is below ``MAX_E``.  A logistic curve over the sum of the
+log expectations of all segments that are rarer than one in a clean text of that
+length, and over the positive score of the text's distinct words, turns them into
+one probability per document.
 
 Defined cases: a null or empty text has no tokens, no passages and the score
-of the curve at "nothing found"; repeated labelled rows count once (the
-largest label wins); a null label is ignored; with no toxic or no clean row
-in the sample every document scores the share of toxic rows, or 0.  Extra
-columns of the input stay out of the result.
+of the curve at "nothing found"; very long texts are scanned whole; repeated
+labelled rows count once (the largest label wins); a null label is ignored; with
+no toxic or no clean row in the sample every document scores the share of toxic
+rows, or 0; an empty table gives an empty result.  Extra columns of the input stay
+out of the result.
 """
 
 from __future__ import annotations
@@ -31,10 +35,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.shared import text_batches, worker_memo
+from kinrank.llm.shared import text_batches, worker_memo, written
 
 MAX_LABELLED = 20_000     # rows of the labelled sample: bounds what is fitted and broadcast
-MAX_FEATURES = 100_000    # size of the lexicon candidates, strongest first
 PREFIXES = range(3, 9)
 PRIOR = 50.0              # Dirichlet prior mass that is spread as the pooled counts ...
 FLAT = 0.5                # ... and the pseudo-count that every feature has besides
@@ -48,10 +51,9 @@ PASSAGES = ("doc_id bigint, score double, n_tokens bigint, n_passages int, passa
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case; a word that repeats its neighbour counts once."""
+    """Runs of letters, in lower case."""
     import regex
-    found = worker_memo("toxicity-words", lambda: regex.compile(r"\p{L}+")).findall((text or "").lower())
-    return [w for w, before in zip(found, [None, *found]) if w != before]
+    return worker_memo("toxicity-words", lambda: regex.compile(r"\p{L}+")).findall((text or "").lower())
 
 
 def features(word: str) -> list[str]:
@@ -67,8 +69,8 @@ def sample(labels: DataFrame, label: str, is_held_out) -> DataFrame:
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The model as a small dictionary; `labelled` is what `sample` returned."""
-    known = (docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-             .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
+    known = written(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
+                    .groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")))
 
     def count(batches):
         import pyarrow as pa
@@ -79,6 +81,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> dict:
             for texts in text_batches(b, "text"):
                 for text in texts:
                     label, found = next(labels), words(text)
+                    found = [w for w, before in zip(found, [None, *found]) if w != before]
                     tokens[label] += len(found)
                     seen[label].update(f for w in found for f in features(w))
             names = [*(seen[0] | seen[1]), ""]
@@ -90,29 +93,29 @@ def fit(docs: DataFrame, labelled: DataFrame) -> dict:
 
     counts = (known.mapInArrow(count, "feature string, toxic bigint, clean bigint")
               .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    strong = (counts.where((F.col("toxic") >= 2) | (F.col("feature") == ""))
-              .orderBy(F.col("feature") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), F.desc("toxic"), "feature")
-              .limit(MAX_FEATURES).toPandas())
+    counts = written(counts)
     share = labelled.agg(F.avg("label")).first()[0] or 0.0
-    total = strong[strong.feature == ""]
-    t_all, c_all = (float(total.toxic.sum()), float(total.clean.sum())) if len(total) else (0.0, 0.0)
+    total = counts.where("feature = ''").first()
+    t_all, c_all = (float(total.toxic), float(total.clean)) if total else (0.0, 0.0)
     if not t_all or not c_all:
         return {"constant": float(share)}
 
-    strong = strong[strong.feature != ""]
-    t, c = strong.toxic.to_numpy(float), strong.clean.to_numpy(float)
+    t, c = F.col("toxic"), F.col("clean")
     prior = FLAT + PRIOR * (t + c) / (t_all + c_all)
-    odds = (np.log((t + prior) / (t_all + PRIOR - t - prior).clip(0.5))
-            - np.log((c + prior) / (c_all + PRIOR - c - prior).clip(0.5)))
-    error = np.sqrt(1 / (t + prior) + 1 / (c + prior))
+
+    def odds_of(n, all_of):
+        return F.log((n + prior) / F.greatest(all_of + PRIOR - n - prior, F.lit(0.5)))
+    odds, error = odds_of(t, t_all) - odds_of(c, c_all), F.sqrt(1 / (t + prior) + 1 / (c + prior))
     worth = odds - BOUND * error
-    good = (odds / error >= Z_MIN) & (worth > math.log(3.0))
-    lexicon = dict(zip(strong.feature[good].tolist(), worth[good].tolist()))
+    # The significant features only; the labelled sample bounds them.
+    strong = (counts.where((t >= 2) & (F.col("feature") != "") & (odds / error >= Z_MIN) & (worth > math.log(3.0)))
+              .select("feature", worth.alias("worth")))
+    lexicon = {r.feature: r.worth for r in strong.collect()}
 
     model = {"lexicon": lexicon, "gap": 0.05}
     # Share of lexicon tokens in either class, and the clean documents' best segments.
-    rows = (known.mapInArrow(_scanner(model), "doc_id bigint, n bigint, hits bigint, best double, total double")
-            .join(labelled, "doc_id").toPandas())     # at most MAX_LABELLED short rows
+    scanned = "doc_id bigint, label int, n bigint, hits bigint, best double, rare double, total double"
+    rows = known.mapInArrow(_scanner(model), scanned).toPandas()     # at most MAX_LABELLED short rows
     rate = {k: (g.hits.sum() + 0.5) / (g.n.sum() + 1.0) for k, g in rows.groupby("label")}
     model["gap"] = float(max(0.02, math.log((1 - rate.get(0, 0.0)) / (1 - min(rate.get(1, 0.0), 0.9)))))
     clean, length = rows[rows.label == 0].best.to_numpy(), rows[rows.label == 0].n.to_numpy(float).clip(1)
@@ -121,15 +124,23 @@ def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     model["lambda"] = float(np.clip(1.0 / max(clean[hit].mean() / 2, 0.2), 0.3, 2.0)) if hit.any() else 1.0
     model["K"] = float((hit.sum() + 0.5) / length.sum()
                        * (np.exp(model["lambda"] * np.median(clean[hit])) if hit.any() else 1.0))
-    x = np.array([_evidence(model, *r) for r in rows[["n", "hits", "best", "total"]].itertuples(index=False)])
+    rows = known.mapInArrow(_scanner(model), scanned).toPandas()     # with the fitted gap and law
+    x = np.array([_evidence(*r) for r in rows[["n", "rare", "total"]].itertuples(index=False)])
     model["curve"] = _logistic(x, rows.label.to_numpy(float))
     return model
 
 
-def _evidence(model: dict, n, hits, best, total) -> list[float]:
+def _rarity(model: dict, n: int, found) -> float:
+    """Sum of -log of the expected number in clean text over the segments where that is below one."""
+    if not found or "K" not in model:
+        return 0.0
+    chance = math.log(model["K"] * max(n, 1))
+    return sum(max(model["lambda"] * v - chance, 0.0) for _, _, v in found)
+
+
+def _evidence(n, rare, total) -> list[float]:
     """What the final curve sees of one document."""
-    log_e = math.log(model["K"] * max(n, 1)) - model["lambda"] * best if best > 0 else 0.0
-    return [1.0, min(max(-log_e, 0.0), 30.0), min(total / math.sqrt(n + 10.0), 30.0), math.log1p(total)]
+    return [1.0, min(rare, 30.0), min(total / math.sqrt(n + 10.0), 30.0), math.log1p(total)]
 
 
 def _logistic(x, y, ridge=1e-2, rounds=100):
@@ -171,7 +182,7 @@ def segments(positions, scores, gap: float) -> list[tuple[int, int, float]]:
 
 
 def _token_scores(model: dict):
-    """A function from words to (places of positive tokens, their scores, sum over distinct words)."""
+    """A function from words to (places of positive tokens, their damped scores, sum over distinct words)."""
     lexicon, known = model["lexicon"], {}
 
     def score(found):
@@ -183,7 +194,12 @@ def _token_scores(model: dict):
                 w = found[i]
                 out[i] = known[w] = max((lexicon.get(f, 0.0) for f in features(w)), default=0.0)
         at = [i for i, s in enumerate(out) if s > 0]
-        return at, [out[i] for i in at], sum({found[i]: out[i] for i in at}.values())
+        damped, before, k = [], -2, 1
+        for i in at:
+            k = k + 1 if i == before + 1 and found[i] == found[before] else 1
+            damped.append(out[i] / k)
+            before = i
+        return at, damped, sum({found[i]: out[i] for i in at}.values())
     return score
 
 
@@ -197,13 +213,14 @@ def _scanner(model: dict):
                 for text in texts:
                     found = words(text)
                     at, s, total = score(found)
-                    best = max((x[2] for x in segments(at, s, model["gap"])), default=0.0)
-                    out.append((len(found), len(at), best, float(total)))
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            n, hits, best, total = zip(*out) if out else ((), (), (), ())
+                    all_of = segments(at, s, model["gap"])
+                    out.append((len(found), len(at), max((x[2] for x in all_of), default=0.0),
+                                _rarity(model, len(found), all_of), float(total)))
+            ids, labels = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "label"))
+            n, hits, *figures = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(best, pa.float64()),
-                 pa.array(total, pa.float64())], names=["doc_id", "n", "hits", "best", "total"])
+                [ids, labels, pa.array(n, pa.int64()), pa.array(hits, pa.int64()), *[pa.array(f, pa.float64()) for f in figures]],
+                names=["doc_id", "label", "n", "hits", "best", "rare", "total"])
     return run
 
 
@@ -217,7 +234,7 @@ def _judge(model: dict):
         found = words(text)
         at, s, total = score(found)
         all_of = segments(at, s, gap)
-        x = _evidence(model, len(found), len(at), max((v[2] for v in all_of), default=0.0), float(total))
+        x = _evidence(len(found), _rarity(model, len(found), all_of), float(total))
         p = 1 / (1 + math.exp(-min(max(sum(a * w for a, w in zip(x, curve)), -30), 30)))
         return p, len(found), [
             {"first": i, "last": j, "score": v, "expected": e} for i, j, v in all_of
@@ -228,7 +245,7 @@ def _judge(model: dict):
 def toxic_passages(docs: DataFrame, model: dict) -> DataFrame:
     """One row per document: score and every significant toxic passage
     (word places first..last, score, expected number by chance)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)     # at most MAX_FEATURES short entries
+    sent = docs.sparkSession.sparkContext.broadcast(model)     # bounded by the labelled sample
 
     def run(batches):
         import pyarrow as pa
