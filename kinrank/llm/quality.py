@@ -6,12 +6,13 @@ neighbours (``WINDOW`` to either side) over all documents of the corpus, its wor
 vector the index vector plus the context vector scaled to the same length (the
 index vector alone if the corpus does not hold the token).  All tokens take
 part: documents are read once into slabs, the distinct words of about ``SLAB``
-tokens with partial context vectors (rare, middling and common words apart, which
+tokens with partial context vectors (classes of like frequency apart, which
 packs them well) and the texts as word numbers with counts; parts of the hashed
 vocabulary add the vectors up and answer every slab with the word vectors of its
-words in steps of ``STEP``.  Slabs go through these two shuffles as packed arrays and
-are not written in between.  Tokens are told apart by 64-bit hashes.  A document's
-vector is the mean over its tokens, together with a few figures of its shape; a
+words in steps of ``STEP`` (rounded up or down by a hash of word and place, in
+proportion, so that sums over words are not biased).  Slabs go through these two
+shuffles as packed arrays and are not written in between.  The tokens of a part (24 MB
+of text) are told apart by 48-bit hashes.  A document's vector is the mean over its tokens, together with a few figures of its shape; a
 network of two layers, fitted with numpy on a bounded labelled sample, scores it,
 and a temperature fitted on a part of the sample that the network did not see
 calibrates the probability.
@@ -32,15 +33,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinrank.llm.lm_score import pack, pack_bytes, pack_sorted, unpack, unpack_bytes, unpack_sorted
+from kinrank.llm.lm_score import mix, pack, pack_bytes, pack_keys, unpack, unpack_bytes, unpack_keys
 from kinrank.llm.shared import text_batches, worker_memo, written
 from kinrank.llm.toxicity import sample
 
-DIM, MARKS = 64, 6           # length of the vectors; how many places of an index vector are not zero
+DIM, MARKS = 48, 6           # length of the vectors; how many places of an index vector are not zero
 WINDOW = 2
 SLAB = 2_000_000             # tokens of a slab
-RARE, COMMON = 3, 30         # occurrences in a slab that part its words into three classes
-STEP = 0.5                   # of the word vectors that are sent
+CLASSES = (2, 4, 31)         # occurrences in a slab that part its words into classes
+STEP = 1.0                   # of the word vectors that are sent
+KEY = (1 << 48) - 1          # bits of a token's hash within its part
 PART_BYTES = 24 << 20        # bytes of text for each part of the vocabulary
 CHUNK = 1 << 16              # tokens whose vectors are added up at once
 HIDDEN = 24
@@ -55,13 +57,16 @@ def tokens(text: str | None) -> list[str]:
     return find(text or "")
 
 
-def hashes(words: list[str]):
+def hashes(words: list[str], parts: int):
+    """Numbers of tokens whose remainder by `parts` is the token's part."""
     from xxhash import xxh3_64_intdigest
-    return np.fromiter((xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+    h, n = np.fromiter((xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words)), np.uint64(parts)
+    return (h // n & np.uint64(KEY)) * n + h % n
 
 
 def marks(h):
     """The places and signs of the index vectors behind the hashes, mark by mark."""
+    h = mix(h)
     for m in range(MARKS):
         bits = (h >> np.uint64(10 * m)) & np.uint64(1023)
         yield (bits >> np.uint64(1)).astype(np.int64) % DIM, np.where(bits & np.uint64(1), 1.0, -1.0)
@@ -95,6 +100,21 @@ def unpack_signed(data, kind):
     return ((x >> 1) ^ -(x & 1)).reshape(-1, DIM)
 
 
+def pack_vectors(x) -> bytes:
+    """Rows of DIM whole numbers: two to a byte if all are small, else byte by byte."""
+    if np.abs(x).max(initial=0) > 7:
+        return b"w" + pack_signed(x.astype(np.int32))
+    x = (x + 8).astype(np.uint8)
+    return b"n" + pack((x[:, ::2] << 4 | x[:, 1::2]).ravel())
+
+
+def unpack_vectors(data):
+    if data[:1] == b"w":
+        return unpack_signed(data[1:], np.int32)
+    x = unpack(data[1:], np.uint8).reshape(-1, DIM // 2)
+    return np.stack([x >> 4, x & 15], axis=2).reshape(-1, DIM).astype(np.int32) - 8
+
+
 def contexts(x, sizes, h):
     """Sums of the neighbours' index vectors over the texts of a slab, one row a word."""
     doc, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(h) * DIM, np.int32)
@@ -125,17 +145,17 @@ def slabs(docs: DataFrame, parts: int, told: bool, ask: bool) -> DataFrame:
 
         def flush():
             nonlocal index, numbers, ids, sizes, shapes, serial
-            h, x = hashes(list(index)), np.array(numbers, np.int64)
-            part = (h % np.uint64(parts)).astype(np.int64)
-            group = part * 3 + np.digitize(np.bincount(x, minlength=len(h)), (RARE + 1, COMMON + 1))
+            h, x = hashes(list(index), parts), np.array(numbers, np.int64)
+            part, classes = (h % np.uint64(parts)).astype(np.int64), len(CLASSES) + 1
+            group = part * classes + np.digitize(np.bincount(x, minlength=len(h)), CLASSES)
             order = np.lexsort((h, group))                       # words by part, class and hash
             place = np.empty(len(h), np.int64)
             place[order] = np.arange(len(h))
             x, h, group = place[x], h[order], group[order]
             sums = contexts(x, sizes, h) if told else None
             cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [len(h)]
-            rows = [(int(group[i]) // 3, serial, int(group[i]) % 3, pack_sorted(h[i:j]), pack_signed(sums[i:j]) if told else None,
-                     ask, None, None, None, None) for i, j in zip(cuts, cuts[1:])]
+            rows = [(int(group[i]) // classes, serial, int(group[i]) % classes, pack_keys(h[i:j] // np.uint64(parts)),
+                     pack_vectors(sums[i:j]) if told else None, ask, None, None, None, None) for i, j in zip(cuts, cuts[1:])]
             if ask:
                 key = np.repeat(np.arange(len(sizes)) * len(h), sizes) + x
                 key, n = np.unique(key, return_counts=True)
@@ -170,22 +190,25 @@ def slabs(docs: DataFrame, parts: int, told: bool, ask: bool) -> DataFrame:
 def word_vectors(h, total):
     """Index vectors plus context sums scaled to the same length, in whole STEPs."""
     scale = math.sqrt(MARKS) / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)
-    return np.rint((index_vectors(h) + total * scale) / STEP).astype(np.int8)
+    up = mix(h[:, None] * np.uint64(DIM) + np.arange(DIM, dtype=np.uint64)) / 2.0 ** 64
+    return np.floor((index_vectors(h) + total * scale) / STEP + up * (1 - 1e-9)).astype(np.int8)
 
 
-def answered(read: DataFrame) -> DataFrame:
+def answered(read: DataFrame, parts: int) -> DataFrame:
     """The rows that ask, with the vectors of their words (b), and the texts as they are, for the slabs."""
     def run(t):
         import pyarrow as pa
         t = t.combine_chunks()
         vocabulary = [i for i, x in enumerate(t.column("ids").is_null().to_pylist()) if x]
-        keys = [unpack_sorted(t.column("a")[i].as_py()) for i in vocabulary]
+        n, part = np.uint64(parts), np.uint64(t.column("part")[0].as_py())
+        keys = [unpack_keys(t.column("a")[i].as_py()) * n + part for i in vocabulary]
         unique, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_inverse=True)
         total, ends = np.zeros((len(unique), DIM), np.int64), np.cumsum([len(k) for k in keys])
         for i, k, end in zip(vocabulary, keys, ends):
             sums = t.column("b")[i].as_py()
             if sums:
-                total[at[end - len(k):end]] += unpack_signed(sums, np.int32)       # a class has a word once
+                total[at[end - len(k):end]] += unpack_vectors(sums)       # a class has a word once
+        sizes = [len(k) for k in keys]
         del keys
         vectors, rows = np.empty((len(unique), DIM), np.int8), []
         for i in range(0, len(unique), CHUNK):
@@ -198,8 +221,8 @@ def answered(read: DataFrame) -> DataFrame:
             if i in place:
                 if not t.column("ask")[i].as_py():
                     continue
-                of = at[(ends[place[i]] - len(unpack_sorted(row[3]))):ends[place[i]]]
-                row[3], row[4] = None, pack_signed(vectors[of])
+                of = at[ends[place[i]] - sizes[place[i]]:ends[place[i]]]
+                row[3], row[4] = None, pack_vectors(vectors[of])
             rows.append(row)
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, kinds)], names=list(names))
@@ -207,8 +230,8 @@ def answered(read: DataFrame) -> DataFrame:
         run, "part int, slab bigint, class int, a binary, b binary, ids array<bigint>, sizes binary, shapes binary, words bigint")
 
 
-def pooled(read: DataFrame) -> DataFrame:
-    """(doc_id, x): the vector of every document in the slabs."""
+def pooled(read: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, x): the vector of every document in the slabs, as 16-bit floats."""
     def pool(t):
         import pyarrow as pa
         t = t.combine_chunks()
@@ -219,7 +242,7 @@ def pooled(read: DataFrame) -> DataFrame:
         width = max(get("words"), 1)
         key = np.cumsum(unpack_bytes(get("a")).astype(np.int64) + unpack_bytes(get("a", more)).astype(np.int64) * width)
         replies = sorted((part[i], kind[i], i) for i in range(len(kind)) if i not in (text, more))
-        vectors = np.concatenate([np.empty((0, DIM), np.int8), *(unpack_signed(get("b", i), np.int8) for _, _, i in replies)])
+        vectors = np.concatenate([np.empty((0, DIM), np.int8), *(unpack_vectors(get("b", i)).astype(np.int8) for _, _, i in replies)])
         out = np.zeros((len(sizes), DIM))
         for at in range(0, len(key), CHUNK):
             own = key[at:at + CHUNK] // width
@@ -227,25 +250,28 @@ def pooled(read: DataFrame) -> DataFrame:
             each = vectors[key[at:at + CHUNK] % width] * n[at:at + CHUNK, None]
             out[own[first]] += np.add.reduceat(each, first, dtype=np.float64)
         shapes = unpack(get("shapes"), np.float32).reshape(-1, SHAPE)
-        out = np.concatenate([out * STEP / np.maximum(sizes, 1)[:, None], shapes], axis=1, dtype=np.float32)
-        ends = np.arange(len(out) + 1, dtype=np.int32) * (DIM + SHAPE)
+        out = np.concatenate([out * STEP / np.maximum(sizes, 1)[:, None], shapes], axis=1).astype("<f2")
         ids = t.column("ids").slice(text, 1).combine_chunks().flatten()
-        return pa.table([ids, pa.ListArray.from_arrays(ends, out.ravel())], names=["doc_id", "x"])
-    return answered(read).groupBy("slab").applyInArrow(pool, "doc_id bigint, x array<float>")
+        return pa.table([ids, pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "x"])
+    return answered(read, parts).groupBy("slab").applyInArrow(pool, "doc_id bigint, x binary")
+
+
+def _vectors(packed):
+    return np.frombuffer(b"".join(packed), "<f2").astype(float).reshape(-1, DIM + SHAPE)
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> dict:
     """The classifier; `labelled` is what `sample` returned, a bounded number of rows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // PART_BYTES))
-    model = {"docs": docs, "parts": parts, "pooled": written(pooled(slabs(docs, parts, told=True, ask=True)))}
+    model = {"docs": docs, "parts": parts, "pooled": written(pooled(slabs(docs, parts, told=True, ask=True), parts))}
     rows = (model["pooled"].join(F.broadcast(labelled), "doc_id").groupBy("doc_id")
             .agg(F.max("label").alias("label"), F.max("x").alias("x"))
             .toPandas().sort_values("doc_id"))             # at most MAX_LABELLED rows
     y = rows.label.to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
-    return model | train(np.array(rows.x.tolist(), float), y)
+    return model | train(_vectors(map(bytes, rows.x)), y)
 
 
 def train(x, y, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> dict:
@@ -289,13 +315,14 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     if "constant" in model:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model["constant"]).alias("score"))
     vectors = model["pooled"] if docs is model["docs"] else pooled(
-        slabs(docs, model["parts"], told=False, ask=True).unionByName(slabs(model["docs"], model["parts"], told=True, ask=False)))
+        slabs(docs, model["parts"], told=False, ask=True).unionByName(slabs(model["docs"], model["parts"], told=True, ask=False)),
+        model["parts"])
     network = {k: model[k] for k in ("mean", "scale", "w", "temperature")}
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), DIM + SHAPE)
+            x = _vectors(b.column(1).to_pylist())
             z = np.clip(_logits(network, x) / network["temperature"], -30, 30)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
     return vectors.mapInArrow(run, "doc_id bigint, score double")

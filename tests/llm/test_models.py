@@ -59,22 +59,34 @@ def test_pooled_vectors_equal_plain_sums(spark, monkeypatch):
     docs = documents(spark, texts)
     found = [[t.lower() for t in Q.tokens(r.text)] for r in docs.collect()]
     sums = {w: np.zeros(Q.DIM) for ts in found for w in ts}
-    index = {w: Q.index_vectors(Q.hashes([w]))[0].astype(float) for w in sums}
+    index = {w: Q.index_vectors(Q.hashes([w], 3))[0].astype(float) for w in sums}
     for ts in found:
         for i, w in enumerate(ts):
             for j in range(max(0, i - Q.WINDOW), min(len(ts), i + Q.WINDOW + 1)):
                 if i != j:
                     sums[w] += index[ts[j]]
-    vector = {w: np.rint((index[w] + s * np.sqrt(Q.MARKS) / max(np.linalg.norm(s), 1)) / Q.STEP) * Q.STEP for w, s in sums.items()}
+    exact = {w: index[w] + s * np.sqrt(Q.MARKS) / max(np.linalg.norm(s), 1) for w, s in sums.items()}
+    vector = {w: Q.word_vectors(Q.hashes([w], 3), s[None])[0] * Q.STEP for w, s in sums.items()}
+    assert all(np.abs(vector[w] - x).max() < Q.STEP for w, x in exact.items())
     want = sorted(tuple(np.round(sum((vector[w] for w in ts), np.zeros(Q.DIM)) / max(len(ts), 1), 4)) for ts in found)
-    got = Q.pooled(Q.slabs(docs, 3, told=True, ask=True)).collect()
+    got = Q.pooled(Q.slabs(docs, 3, told=True, ask=True), 3).collect()
     assert len(got) == docs.count()
-    assert np.abs(np.array(sorted(tuple(np.round(r.x[:Q.DIM], 4)) for r in got)) - np.array(want)).max() < 1e-3
+    assert np.abs(np.sort([Q._vectors([r.x])[0][:Q.DIM] for r in got], axis=0) - np.sort(want, axis=0)).max() < 2e-3
     model = Q.fit(docs, Q.sample(spark.createDataFrame([(0, 1), (1, 0), (7, 1), (8, 0)], "doc_id bigint, quality int"), "quality", F.lit(False)))
     one = docs.where("doc_id = 1")
     assert abs(Q.scores(one, model).first().score - Q.scores(docs, model).where("doc_id = 1").first().score) < 1e-9
 
 
+def test_vectors_pack_and_round_without_bias():
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(-7, 8, (50, Q.DIM)), rng.integers(-900, 900, (9, Q.DIM)), np.zeros((0, Q.DIM), int)):
+        assert (Q.unpack_vectors(Q.pack_vectors(x)) == x).all()
+    h = Q.hashes([f"w{i}" for i in range(4000)], 7)
+    total = np.tile(rng.normal(0, 5, Q.DIM), (4000, 1))
+    off = Q.word_vectors(h, total) * Q.STEP - Q.index_vectors(h) - total * np.sqrt(Q.MARKS) / np.linalg.norm(total[0])
+    assert np.abs(off.mean(axis=0)).max() < 0.05
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 8))
