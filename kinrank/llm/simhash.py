@@ -18,9 +18,9 @@ sent.  Each task returns a spanning set of links (as many as its members, never
 all pairs), which keeps every connection.
 
 Defined cases: null, empty or blank texts have the fingerprint zero and link
-like any other; repeated rows share a fingerprint; a row without doc_id gets
-the component of its fingerprint but never names one.  Extra columns stay out
-of the result.
+like any other; repeated rows share a fingerprint; very long texts are fingerprinted whole; a row
+without doc_id gets the component of its fingerprint but never names one; an empty
+table gives an empty result.  Extra columns stay out of the result.
 """
 
 from __future__ import annotations

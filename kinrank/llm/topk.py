@@ -18,8 +18,9 @@ merges the slices' best.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
 and rows without vec_id take no part; only vectors of equal length meet; rows
-that repeat a vec_id count once per query (with their best score); a query
-with no candidate has no rows; ties go to the smaller vec_id.  Scores are
+that repeat a vec_id count once per query (with their best score); a query id
+that is repeated with different vectors asks with its largest one, in the order
+of arrays; a query with no candidate has no rows, an empty table gives none; ties go to the smaller vec_id.  Scores are
 computed in double precision where that is exact, else as integers, and beyond
 the range of a long count as its end; extra columns stay out of the result.
 """

@@ -15,8 +15,10 @@ records are gathered in arrays (a handful by nature).
 
 Defined cases: a null html is an empty payload; a null url is written as an
 empty target; a page without page_id is always a response and nobody refers to
-it; of repeated rows one is the response and the rest revisit it; extra columns
-are not archived.
+it; of repeated rows one is the response and the rest revisit it; very long payloads
+are written whole (files are cut by their number of records, so payloads of many
+MB want a smaller `captures_per_file`: the reader takes files of up to 2 GB); an
+empty table gives no captures; extra columns are not archived.
 """
 
 from __future__ import annotations
