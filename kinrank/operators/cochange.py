@@ -6,10 +6,12 @@ per (group, item) touch.  A group is a commit, an order, a basket.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
+from ..functions.similarity import ship_by_value
 from ..session import written
 from .topk import top_n_per_key
 
@@ -43,7 +45,7 @@ def nth_largest(df: DataFrame, column: str, n: int) -> tuple[int, int]:
     while True:
         width = -(-(high - low + 1) // BUCKETS)
         inside = df.where(F.col(column).between(low, high))
-        bucket = F.floor((F.col(column) - F.lit(low)) / width) if width > 1 else F.col(column) - F.lit(low)
+        bucket = F.expr(f"(cast({column} as decimal(20, 0)) - {low}) div {width}")      # doubles would misplace values at a bound
         counts = dict(inside.groupBy(bucket.cast("bigint").alias("b")).count().collect())
         for b in sorted(counts, reverse=True):
             if larger + counts[b] >= n:
@@ -183,8 +185,10 @@ def cochange_scores(pairs: DataFrame) -> DataFrame:
 
     The per-target maximum is a hash aggregate joined back (not a window), so
     a target with very many partners is split by AQE's skew-join handling
-    instead of being sorted in one task."""
-    best = pairs.groupBy("target").agg(F.max("weighted_count").alias("max_weighted"))
+    instead of being sorted in one task.  It reads both figures of a pair, so that
+    Spark sees the same shuffle of the pairs twice and makes it once."""
+    best = (pairs.groupBy("target").agg(F.max("weighted_count").alias("max_weighted"), F.max("commit_count").alias("most"))
+            .where(F.col("most") > 0).drop("most"))
     return (pairs.join(best, "target")
             .withColumn("score", F.when(F.col("max_weighted") > 0,
                                         F.col("weighted_count") / F.col("max_weighted"))
@@ -192,7 +196,120 @@ def cochange_scores(pairs: DataFrame) -> DataFrame:
             .drop("max_weighted"))
 
 
+BLOCK_TOUCHES = 4_000_000    # (group, item) rows that are broadcast together, 12 bytes each
+TASK_TOUCHES = 100_000       # of the targets of a task
+MEMBERS = 4_000_000          # items of a target's groups that are looked at together
+
+
+class _Members:
+    """The items of each group, for a block of the items."""
+
+    def __init__(self, groups, items):
+        self.items, at = np.unique(items, return_inverse=True)
+        self.groups, group = np.unique(groups, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        self.member, self.ends = at[order].astype(np.int32), np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+
+    def partners(self, target, groups, sizes):
+        """(places of the other items that share a group, weighted count, count)."""
+        at = np.minimum(np.searchsorted(self.groups, groups), len(self.groups) - 1)
+        own = self.groups[at] == groups
+        at, weight = at[own], 1.0 / np.sqrt(sizes[own])
+        count = self.ends[at + 1] - self.ends[at]
+        if count.sum() * 8 < len(self.items):
+            member = np.concatenate([self.member[self.ends[k]:self.ends[k + 1]] for k in at.tolist()] or [self.member[:0]])
+            place, where = np.unique(member, return_inverse=True)
+            total, n = np.bincount(where, np.repeat(weight, count), len(place)), np.bincount(where, minlength=len(place))
+        else:
+            total, n = np.zeros(len(self.items)), np.zeros(len(self.items), np.int64)
+            piece = np.cumsum(count) // MEMBERS
+            for p in np.unique(piece).tolist():
+                part = np.flatnonzero(piece == p)
+                member = np.concatenate([self.member[self.ends[k]:self.ends[k + 1]] for k in at[part].tolist()])
+                total += np.bincount(member, np.repeat(weight[part], count[part]), len(total))
+                n += np.bincount(member, minlength=len(n))
+            place = np.flatnonzero(n)
+            total, n = total[place], n[place]
+        other = self.items[place] != target
+        return place[other], total[other], n[other]
+
+
+def _best(score, n: int):
+    """Places of the n highest scores, those equal to 9 places in their order, as `top_n_per_key` ranks them."""
+    from decimal import ROUND_HALF_UP, Decimal
+    if len(score) <= n:
+        return np.arange(len(score))
+    last = np.partition(score, len(score) - n)[len(score) - n]
+    sure, near = np.flatnonzero(score > last + 2e-9), np.flatnonzero(np.abs(score - last) <= 2e-9)
+    values, at = np.unique(score[near], return_inverse=True)
+    rounded = np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in values.tolist()])
+    return np.concatenate([sure, near[np.lexsort((near, -rounded[at]))][:n - len(sure)]])
+
+
+def _topk_of_large_groups(changes: DataFrame, n: int, targets: DataFrame | None = None, **kw) -> DataFrame:
+    """`cochange_topk` where the pairs of large groups would be too many to shuffle: each target's groups are streamed past
+    blocks of the groups' members, which are broadcast, and only its best partners of a block leave a task."""
+    spark = changes.sparkSession
+    g = written(clean_groups(changes, **kw).where(F.col("item").isNotNull()))
+    touches, id_type = g.count(), dict(g.dtypes)["item"]
+    left = g if targets is None else g.join(targets.select(F.col("item_id").alias("item")).distinct(), "item", "left_semi")
+    lists = left.groupBy(F.col("item").alias("target")).agg(F.collect_list(F.struct("group_id", "n")).alias("g"))
+    blocks = max(1, -(-touches // BLOCK_TOUCHES))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-touches // TASK_TOUCHES))
+    lists = (written(lists) if blocks > 1 else lists).repartition(tasks)
+    ship_by_value(__name__)
+
+    def members(p):
+        rows = g.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == p).select("group_id", "item").toArrow()
+        return spark.sparkContext.broadcast(_Members(*(c.to_numpy() for c in rows.columns)))
+
+    def stream(batches, block, most: bool):
+        """Each target's largest weighted count, or its best partners, by the count in the third column if there is one."""
+        import pyarrow as pa
+        known = block.value
+        for b in batches:
+            g_ = b.column(1)
+            ends = g_.offsets.to_numpy()
+            groups, sizes = (g_.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            top = b.column(2).to_pylist() if b.num_columns > 2 else None
+            out = []
+            for row, target in enumerate(b.column(0).to_pylist()):
+                own = slice(ends[row], ends[row + 1])
+                place, total, count = known.partners(target, groups[own], sizes[own]) if len(known.items) else ((), (), ())
+                if not len(place):
+                    continue
+                if most:
+                    out.append((row, total.max()))
+                    continue
+                score = total / (top[row] if top else total.max())
+                out += [(row, known.items[place[k]], total[k], count[k], score[k]) for k in _best(score, n).tolist()]
+            if out:
+                row, *rest = zip(*out)
+                kind = b.schema.field(0).type
+                target = b.column(0).take(pa.array(row))
+                columns = [target, pa.array(rest[0])] if most else [target, pa.array(rest[0], kind), *map(pa.array, rest[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names=["target", "most"] if most else
+                                                 ["target", "candidate", "weighted_count", "commit_count", "score"])
+
+    def union(rows, most):
+        schema = f"target {id_type}, most double" if most else (
+            f"target {id_type}, candidate {id_type}, weighted_count double, commit_count bigint, score double")
+        out = None
+        for p in range(blocks):
+            block = members(p)
+            found = written(rows.mapInArrow(lambda batches, block=block: stream(batches, block, most), schema))
+            block.destroy()
+            out = found if out is None else out.unionByName(found)
+        return out
+    if blocks > 1:
+        lists = lists.join(union(lists, True).groupBy("target").agg(F.max("most").alias("most")), "target")
+    return top_n_per_key(union(lists, False), "target", "score", "candidate", n)
+
+
 def cochange_topk(changes: DataFrame, n: int = 10, **kw) -> DataFrame:
     """K6 over co-change: each item's n most co-changed partners."""
+    largest = kw.get("max_size", W.MAX_GROUP)
+    if largest is None or largest > BLOCK:
+        return _topk_of_large_groups(changes, n, **kw)
     return top_n_per_key(cochange_scores(cochange_pairs(changes, **kw)),
                          "target", "score", "candidate", n)

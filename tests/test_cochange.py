@@ -72,3 +72,22 @@ def test_uncapped_groups_equal_brute_force_and_drops_are_observed(spark):
     seen = Observation("dropped")
     assert co.cochange_pairs(ch, dropped=seen).count() == 2
     assert seen.get == {"too_small": 1, "too_large": 2, "items_of_large": 370}
+
+
+def test_large_groups_by_blocks_rank_as_the_join_does(spark, monkeypatch):
+    import random
+    from kinrank.operators.topk import top_n_per_key
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(90)) for g in range(25) for _ in range(rng.choice([1, 3, 40, 120]))] + [(None, 1), (3, None), (4, 5), (4, 5)]
+    ch = spark.createDataFrame(rows, "group_id long, item long")
+    want = sorted(map(str, top_n_per_key(co.cochange_scores(co.cochange_pairs(ch, max_size=200)), "target", "score", "candidate", 3)
+                      .selectExpr("target", "candidate", "round(weighted_count, 9)", "commit_count", "round(score, 9)", "rank").collect()))
+
+    def got():
+        out = co.cochange_topk(ch, n=3, max_size=200)
+        return sorted(map(str, out.selectExpr("target", "candidate", "round(weighted_count, 9)", "commit_count", "round(score, 9)", "rank").collect()))
+    monkeypatch.setattr(co, "cochange_pairs", None)           # no pairs are formed by a join
+    assert got() == want and len(want) > 100
+    for name, value in (("BLOCK_TOUCHES", 400), ("TASK_TOUCHES", 300), ("MEMBERS", 30)):
+        monkeypatch.setattr(co, name, value)
+    assert got() == want
