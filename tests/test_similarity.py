@@ -39,3 +39,25 @@ def test_weighted_jaccard_forms_agree(spark):
     assert abs(r[0].w - 1.2 / 3.2) < 1e-12 and abs(r[0].p - r[0].w) < 1e-12
     assert r[1].w == r[1].p == 1.0
     assert r[2].w == r[2].p == 0.0
+
+
+def test_jaro_winkler_by_bits_equals_the_matrix_form():
+    import random
+    import numpy as np
+    from kinrank.functions import similarity as S
+    rng = random.Random(8)
+    for alphabet, longest in (("ab", 12), ("abcdeß 中", 64), ("abcdefghijkl", 30)):
+        a, b = (["".join(rng.choices(alphabet, k=rng.randint(0, longest))) for _ in range(500)] for _ in range(2))
+        la, lb = (np.array([len(x) for x in y]) for y in (a, b))
+        ca, cb = S._codes(a, longest), S._codes(b, longest)
+        cb[cb == -1] = -2
+        reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+        for bits, plain in zip(S._matches_by_bits(ca, cb, reach), S._matches(ca, cb, reach)):
+            assert bits.tolist() == plain.tolist()
+    assert S._matches_by_bits(np.zeros((1, 65), np.int32), np.zeros((1, 65), np.int32), reach[:1]) is None
+
+
+def test_symmetric_signals_come_in_both_orders(spark):
+    from kinrank.operators.pairs import both_ways
+    df = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25)], "target long, candidate long, s double")
+    assert sorted(map(tuple, both_ways(df, "s").collect())) == [(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5), (3, 1, 0.25)]
