@@ -91,3 +91,15 @@ def test_large_groups_by_blocks_rank_as_the_join_does(spark, monkeypatch):
     for name, value in (("BLOCK_TOUCHES", 400), ("TASK_TOUCHES", 300), ("MEMBERS", 30)):
         monkeypatch.setattr(co, name, value)
     assert got() == want
+
+
+def test_scores_shuffle_the_pairs_once(spark):
+    ch = _changes(spark, [[f"f{i}" for i in range(g, g + 5)] for g in range(200)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = co.cochange_scores(co.cochange_pairs(ch))
+        assert len(out.collect()) > 1000
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Reused" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

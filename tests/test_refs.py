@@ -118,3 +118,23 @@ def test_doubling_values_share_memory():
     assert list(php.argument_values(source(12, "$a"))) == [("php_view", plain, True)]
     assert list(php.argument_values(source(40, "$a"))) == []                  # longer than LONGEST: refers to nothing
     assert list(php.argument_values(source(40, "'ui.home'"))) == [("php_view", "ui.home", True)]
+
+
+def test_best_bonus_of_classes_expands_to_the_pairs(spark):
+    """Each row of `overlap_classes` stands for the pairs of its members, self pairs left out, with their bonus."""
+    import random
+    from kinrank.operators import overlap as OV
+    rng = random.Random(6)
+    words = [f"t{i}" for i in range(6)]
+    lists = [rng.choices(words, k=rng.randint(1, 4)) for _ in range(4)]
+    refs = spark.createDataFrame([(i, rng.choice(lists), rng.choice([1.0, 1.9])) for i in range(25) for _ in range(2)],
+                                 "item_id long, tokens array<string>, weight double")
+    items = spark.createDataFrame([(i, rng.sample(words, rng.randint(1, 2))) for i in range(40)], "item_id long, path_tokens array<string>")
+    uses, sets = OV.memberships(refs, items)
+    t_class = {r.target: r.target_class for r in OV.target_classes(uses).collect()}
+    c_class = {r.candidate: r.kind for r in sets.collect()}
+    want = {}
+    for r in OV.ref_overlap(refs, items).collect():
+        want.setdefault((t_class[r.target], c_class[r.candidate]), []).append(r.bonus)
+    got = {(r.target_class, r.candidate_class): (r.bonus, r.links) for r in OV.overlap_classes(refs, items).collect()}
+    assert got == {k: (b[0], len(b)) for k, b in want.items()} and all(len(set(b)) == 1 for b in want.values())

@@ -109,3 +109,13 @@ def test_intermediate_tables_can_be_removed(spark, monkeypatch):
     assert os.path.isdir(folder)
     session.remove_written(spark)
     assert not os.path.exists(folder) and not session._FOLDERS
+
+
+def test_texts_of_parts_are_derived_in_many_tasks(spark, tmp_path):
+    from kinrank.sources import tables as T
+    rows = [(i, f"red ring{i % 3}", "SMALL", "Brand#1", i % 50) for i in range(90)] + [(7, None, None, None, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet")
+    items = T.code_items(spark, str(tmp_path))
+    per_task = items.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(n > 0 for n in per_task) >= 4 and sum(per_task) == 91
