@@ -67,3 +67,24 @@ def test_all_targets_exact_topk(spark):
     res = duck(SF).execute(E.ALL_TARGETS_SQL)
     c2, r2 = canon([d[0] for d in res.description], res.fetchall())
     assert c1 == c2 and r1 == r2
+
+
+def test_reference_overlap_has_every_pair(spark, tmp_path):
+    """The registered query names each pair of items once, also where items have equal references or paths or ids repeat."""
+    sys.path.insert(0, os.path.join(ROOT, "tools"))
+    import duckdb
+    import __spark_entry__ as E
+    from oracle_check import canon
+    rows = [(k, name, "Brand#1", kind, size) for k, name, kind, size in [
+        (1, "iron forge", "SMALL TIN", 0), (2, "iron forge", "SMALL TIN", 0), (8, "iron forge", "SMALL TIN", 3), (9, "iron forge", "SMALL TIN", 3),
+        (28, "iron forge", "SMALL TIN", 3), (10, "red lamp", "LARGE OAK", 1), (11, "blue iron", "SMALL TIN", 1), (11, "red oak", "LARGE OAK", 2)]]
+    (spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+     .coalesce(1).write.parquet(str(tmp_path / "part.parquet")))
+    sdf = E.queries()["ref_overlap"](spark, str(tmp_path))
+    assert sorted(sdf.columns) == ["bonus", "candidate", "target"]
+    c1, r1 = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    res = con.execute(E.oracle_sql()["ref_overlap"])
+    c2, r2 = canon([d[0] for d in res.description], res.fetchall())
+    assert c1 == c2 and r1 == r2 and len({(r["target"], r["candidate"]) for r in sdf.collect()}) == len(r1) > 20
