@@ -7,7 +7,7 @@ per (group, item) touch.  A group is a commit, an order, a basket.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as W
@@ -196,54 +196,181 @@ def cochange_scores(pairs: DataFrame) -> DataFrame:
             .drop("max_weighted"))
 
 
-BLOCK_TOUCHES = 4_000_000    # (group, item) rows that are broadcast together, 12 bytes each
+BLOCK_TOUCHES = 8_000_000    # (group, item) rows that are broadcast together, 12 bytes each
 TASK_TOUCHES = 100_000       # of the targets of a task
 MEMBERS = 4_000_000          # items of a target's groups that are looked at together
+DENSE = 512                  # members from which on a group that holds a 128th of a block's items becomes a bitmap
+TIE = 2e-9                   # of the largest possible score: scores that differ by less may be ties
+
+
+def _planes(rows):
+    """How many of the bitmaps have each bit, as bitmaps of binary digits, lowest first (carry-save adders)."""
+    out, rows = [], list(rows)
+    while rows:
+        carries = []
+        while len(rows) > 1:
+            a, b = rows.pop(), rows.pop()
+            differ, carry = a ^ b, a & b
+            if rows:
+                c = rows.pop()
+                carry |= differ & c
+                differ ^= c
+            rows.append(differ)
+            carries.append(carry)
+        out.append(rows[0])
+        rows = carries
+    return out
+
+
+def _at_least(planes, k: int):
+    """A bitmap of the counts of at least k >= 1."""
+    more, equal = None, None
+    for i in range(len(planes) - 1, -1, -1):
+        p = planes[i]
+        if k >> i & 1:
+            equal = p if equal is None else equal & p
+        else:
+            above = p if equal is None else equal & p
+            more = above if more is None else more | above
+            equal = ~p if equal is None else equal & ~p
+    return equal if more is None else equal | more
+
+
+def _bits(bitmap):
+    """The numbers of the bits that are set, in order."""
+    word = np.flatnonzero(bitmap)
+    row, bit = np.nonzero(np.unpackbits(bitmap[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return word[row] * 64 + bit
 
 
 class _Members:
-    """The items of each group, for a block of the items."""
+    """The items of each group, for a block of the items; those of large groups as bitmaps too."""
 
     def __init__(self, groups, items):
         self.items, at = np.unique(items, return_inverse=True)
         self.groups, group = np.unique(groups, return_inverse=True)
         order = np.argsort(group, kind="stable")
         self.member, self.ends = at[order].astype(np.int32), np.searchsorted(group[order], np.arange(len(self.groups) + 1))
+        self.bitmaps = None                          # made in the workers
+
+    def _large(self):
+        """(the place of each group's bitmap or -1, bitmaps)"""
+        if self.bitmaps is None:
+            count = np.diff(self.ends)
+            large = np.flatnonzero((count >= DENSE) & (count * 128 >= len(self.items)))
+            place = np.full(len(count), -1)
+            place[large] = np.arange(len(large))
+            maps = np.zeros((len(large), -(-len(self.items) // 64)), np.uint64)
+            held = np.zeros(maps.shape[1] * 64, bool)
+            for i, k in enumerate(large.tolist()):
+                held[:] = False
+                held[self.member[self.ends[k]:self.ends[k + 1]]] = True
+                maps[i] = np.packbits(held, bitorder="little").view(np.uint64)
+            self.bitmaps = place, maps
+        return self.bitmaps
+
+    def _listed(self, at):
+        return np.concatenate([self.member[self.ends[k]:self.ends[k + 1]] for k in at.tolist()] or [self.member[:0]])
+
+    def _few(self, at, weight, count):
+        """(places, weighted counts, counts) of the members of groups with few of them."""
+        place, where = np.unique(self._listed(at), return_inverse=True)
+        return place, np.bincount(where, np.repeat(weight, count), len(place)), np.bincount(where, minlength=len(place))
+
+    def _all(self, at, weight, count):
+        """As `_few`, with a place for every item of the block."""
+        total, n = np.zeros(len(self.items)), np.zeros(len(self.items), np.int64)
+        piece = np.cumsum(count) // MEMBERS
+        for p in np.unique(piece).tolist():
+            part = np.flatnonzero(piece == p)
+            member = self._listed(at[part])
+            total += np.bincount(member, np.repeat(weight[part], count[part]), len(total))
+            n += np.bincount(member, minlength=len(n))
+        place = np.flatnonzero(n)
+        return place, total[place], n[place]
+
+    def _best_of_large(self, target, at, weight, count, n: int, slack: float):
+        """`partners`, but those that cannot be among the n best (by `slack`) may be left out; None if bitmaps do not help.
+
+        A count of k large groups stands for a weight between those of the k smallest and the k largest weights."""
+        place, maps = self._large()
+        own = place[at]
+        large = own >= 0
+        if not large.any():
+            return None
+        rows, heavy = own[large], weight[large]
+        few, total, times = self._few(at[~large], weight[~large], count[~large])
+        most = count[large].sum() + len(self.items)           # what `_all` would look at
+        if len(few) * len(rows) > most:
+            return None
+        planes = _planes(maps[r] for r in rows.tolist()) if len(rows) > 1 else [maps[rows[0]].copy()]
+        self_ = int(np.searchsorted(self.items, target))
+        if self_ < len(self.items) and self.items[self_] == target:
+            for p in planes:
+                p[self_ >> 6] &= ~np.uint64(1 << (self_ & 63))
+        k, mask = 1 << len(planes), None
+        for i in range(len(planes) - 1, -1, -1):     # the largest count
+            found = planes[i] if mask is None else mask & planes[i]
+            k >>= 1
+            if found.any():
+                mask, high = found, k if mask is None else high + k
+        if mask is not None:
+            k = high
+            mask = _at_least(planes, k)
+            while k > 1 and int(np.bitwise_count(mask).sum(dtype=np.int64)) < n:
+                k -= 1
+                mask = _at_least(planes, k)
+            order = np.sort(heavy)
+            least, largest = order[:k].sum(), np.cumsum(order[::-1])
+            need = int(np.searchsorted(largest, least - slack - 1e-9 * least)) + 1      # the fewest groups that may weigh as much
+            if need < k:
+                mask = _at_least(planes, need)
+            if (int(np.bitwise_count(mask).sum(dtype=np.int64)) + len(few)) * len(rows) > most:
+                return None
+            found = _bits(mask)
+        else:
+            found = few[:0]
+        if len(few):
+            where = np.union1d(found, few)
+            base, times_ = np.zeros(len(where)), np.zeros(len(where), np.int64)
+            spot = np.searchsorted(where, few)
+            base[spot], times_[spot] = total, times
+        else:
+            where, base, times_ = found, 0.0, 0
+        held = (maps[rows[:, None], where >> 6] >> (where & 63).astype(np.uint64)) & np.uint64(1)
+        return where, base + (heavy[:, None] * held).sum(axis=0), times_ + held.sum(axis=0).astype(np.int64)
 
-    def partners(self, target, groups, sizes):
-        """(places of the other items that share a group, weighted count, count)."""
+    def partners(self, target, groups, sizes, n: int):
+        """(places, weighted counts, counts) of the other items that share a group, at least those that may be among the n best."""
         at = np.minimum(np.searchsorted(self.groups, groups), len(self.groups) - 1)
         own = self.groups[at] == groups
+        slack = TIE * float((1.0 / np.sqrt(sizes)).sum())
         at, weight = at[own], 1.0 / np.sqrt(sizes[own])
         count = self.ends[at + 1] - self.ends[at]
         if count.sum() * 8 < len(self.items):
-            member = np.concatenate([self.member[self.ends[k]:self.ends[k + 1]] for k in at.tolist()] or [self.member[:0]])
-            place, where = np.unique(member, return_inverse=True)
-            total, n = np.bincount(where, np.repeat(weight, count), len(place)), np.bincount(where, minlength=len(place))
+            found = self._few(at, weight, count)
         else:
-            total, n = np.zeros(len(self.items)), np.zeros(len(self.items), np.int64)
-            piece = np.cumsum(count) // MEMBERS
-            for p in np.unique(piece).tolist():
-                part = np.flatnonzero(piece == p)
-                member = np.concatenate([self.member[self.ends[k]:self.ends[k + 1]] for k in at[part].tolist()])
-                total += np.bincount(member, np.repeat(weight[part], count[part]), len(total))
-                n += np.bincount(member, minlength=len(n))
-            place = np.flatnonzero(n)
-            total, n = total[place], n[place]
+            found = self._best_of_large(target, at, weight, count, n, slack) or self._all(at, weight, count)
+        place, total, times = found
         other = self.items[place] != target
-        return place[other], total[other], n[other]
-
-
-def _best(score, n: int):
-    """Places of the n highest scores, those equal to 9 places in their order, as `top_n_per_key` ranks them."""
-    from decimal import ROUND_HALF_UP, Decimal
-    if len(score) <= n:
-        return np.arange(len(score))
-    last = np.partition(score, len(score) - n)[len(score) - n]
-    sure, near = np.flatnonzero(score > last + 2e-9), np.flatnonzero(np.abs(score - last) <= 2e-9)
-    values, at = np.unique(score[near], return_inverse=True)
-    rounded = np.array([float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in values.tolist()])
-    return np.concatenate([sure, near[np.lexsort((near, -rounded[at]))][:n - len(sure)]])
+        place, total, times = place[other], total[other], times[other]
+        if len(place) > n:
+            best = _best(total, n, slack)
+            place, total, times = place[best], total[best], times[best]
+        return place, total, times
+
+
+def _best(total, n: int, slack: float):
+    """Places of the n highest totals, and of those that may tie with the last one: n of each value, in their order."""
+    last = np.partition(total, len(total) - n)[len(total) - n]
+    best = np.flatnonzero(total >= last - slack)
+    if len(best) > n:
+        sure, near = best[total[best] > last + slack], best[total[best] <= last + slack]
+        values, at = np.unique(total[near], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(values)))
+        best = np.concatenate([sure, near[order[np.arange(len(near)) - starts[at[order]] < n]]])
+    return best
 
 
 def _topk_of_large_groups(changes: DataFrame, n: int, targets: DataFrame | None = None, **kw) -> DataFrame:
@@ -256,54 +383,41 @@ def _topk_of_large_groups(changes: DataFrame, n: int, targets: DataFrame | None
     lists = left.groupBy(F.col("item").alias("target")).agg(F.collect_list(F.struct("group_id", "n")).alias("g"))
     blocks = max(1, -(-touches // BLOCK_TOUCHES))
     tasks = max(4 * spark.sparkContext.defaultParallelism, -(-touches // TASK_TOUCHES))
-    lists = (written(lists) if blocks > 1 else lists).repartition(tasks)
+    lists = lists.repartition(tasks)
+    lists = written(lists) if blocks > 1 else lists
     ship_by_value(__name__)
 
     def members(p):
         rows = g.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == p).select("group_id", "item").toArrow()
         return spark.sparkContext.broadcast(_Members(*(c.to_numpy() for c in rows.columns)))
 
-    def stream(batches, block, most: bool):
-        """Each target's largest weighted count, or its best partners, by the count in the third column if there is one."""
+    def stream(batches, block):
         import pyarrow as pa
         known = block.value
         for b in batches:
             g_ = b.column(1)
             ends = g_.offsets.to_numpy()
             groups, sizes = (g_.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            top = b.column(2).to_pylist() if b.num_columns > 2 else None
             out = []
             for row, target in enumerate(b.column(0).to_pylist()):
                 own = slice(ends[row], ends[row + 1])
-                place, total, count = known.partners(target, groups[own], sizes[own]) if len(known.items) else ((), (), ())
-                if not len(place):
-                    continue
-                if most:
-                    out.append((row, total.max()))
-                    continue
-                score = total / (top[row] if top else total.max())
-                out += [(row, known.items[place[k]], total[k], count[k], score[k]) for k in _best(score, n).tolist()]
+                if len(known.items):
+                    place, *figures = known.partners(target, groups[own], sizes[own], n)
+                    if len(place):
+                        out.append((np.full(len(place), row), known.items[place], *figures))
             if out:
-                row, *rest = zip(*out)
-                kind = b.schema.field(0).type
-                target = b.column(0).take(pa.array(row))
-                columns = [target, pa.array(rest[0])] if most else [target, pa.array(rest[0], kind), *map(pa.array, rest[1:])]
-                yield pa.RecordBatch.from_arrays(columns, names=["target", "most"] if most else
-                                                 ["target", "candidate", "weighted_count", "commit_count", "score"])
-
-    def union(rows, most):
-        schema = f"target {id_type}, most double" if most else (
-            f"target {id_type}, candidate {id_type}, weighted_count double, commit_count bigint, score double")
-        out = None
-        for p in range(blocks):
-            block = members(p)
-            found = written(rows.mapInArrow(lambda batches, block=block: stream(batches, block, most), schema))
-            block.destroy()
-            out = found if out is None else out.unionByName(found)
-        return out
-    if blocks > 1:
-        lists = lists.join(union(lists, True).groupBy("target").agg(F.max("most").alias("most")), "target")
-    return top_n_per_key(union(lists, False), "target", "score", "candidate", n)
+                row, item, total, count = map(np.concatenate, zip(*out))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item, b.schema.field(0).type), pa.array(total), pa.array(count)],
+                                                 names=["target", "candidate", "weighted_count", "commit_count"])
+    schema = f"target {id_type}, candidate {id_type}, weighted_count double, commit_count bigint"
+    out = None
+    for p in range(blocks):
+        block = members(p)
+        found = written(lists.mapInArrow(lambda batches, block=block: stream(batches, block), schema))
+        block.destroy()
+        out = found if out is None else out.unionByName(found)
+    most = F.max("weighted_count").over(Window.partitionBy("target"))       # the best partner is always found
+    return top_n_per_key(out.withColumn("score", F.col("weighted_count") / most), "target", "score", "candidate", n)
 
 
 def cochange_topk(changes: DataFrame, n: int = 10, **kw) -> DataFrame:

@@ -103,3 +103,35 @@ def test_scores_shuffle_the_pairs_once(spark):
         assert "Reused" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bitmaps_of_large_groups_find_the_best_partners(monkeypatch):
+    """The partners that may be among the best equal brute force, ties and unequal weights included, and few others come back."""
+    import numpy as np
+    monkeypatch.setattr(co, "DENSE", 2)
+    looked = []
+    plain = co._Members._all
+    monkeypatch.setattr(co._Members, "_all", lambda self, *a: looked.append(1) or plain(self, *a))
+    rng, most = np.random.default_rng(3), 0
+    for case in range(60):
+        n_items, n_groups, n = int(rng.integers(2, 400)), int(rng.integers(1, 14)), int(rng.integers(1, 6))
+        member = rng.random((n_groups, n_items)) < rng.choice([0.02, 0.3, 0.9], n_groups)[:, None]
+        if case % 3 == 0:
+            member[:, n_items // 2:] = member[:, :n_items - n_items // 2]               # the same groups again: ties
+        groups, items = np.nonzero(member)
+        sizes = member.sum(axis=1) + rng.choice([0, 1, 500], n_groups)                  # members of other blocks count
+        known = co._Members(groups * 10, items * 3 + 1)
+        for target in rng.choice(n_items + 1, 5).tolist():
+            own = np.flatnonzero(member[:, target] if target < n_items else member[:, 0])
+            if not len(own) or not len(items):
+                continue
+            total, times = (member[own] / np.sqrt(sizes[own])[:, None]).sum(axis=0), member[own].sum(axis=0)
+            score = np.round(total / max(1e-300, np.delete(total, target).max() if target < n_items else total.max()), 9)
+            want = [i for i in np.lexsort((np.arange(n_items), -score)).tolist() if i != target and times[i]][:n]
+            place, weighted, count = known.partners(target * 3 + 1, own * 10, sizes[own].astype(float), n)
+            found = {int((known.items[p] - 1) // 3): (w, c) for p, w, c in zip(place, weighted, count)}
+            assert set(want) <= set(found) and target not in found
+            assert all(abs(found[i][0] - total[i]) < 1e-12 and found[i][1] == times[i] for i in found)
+            assert min((score[i] for i in found), default=0) >= min((score[i] for i in want), default=0) - 1e-8
+            most = max(most, len(found) - len(want))
+    assert most <= 12 and len(looked) < 200
