@@ -135,3 +135,14 @@ def test_bitmaps_of_large_groups_find_the_best_partners(monkeypatch):
             assert min((score[i] for i in found), default=0) >= min((score[i] for i in want), default=0) - 1e-8
             most = max(most, len(found) - len(want))
     assert most <= 12 and len(looked) < 200
+
+
+def test_uncapped_query_reads_every_day(spark, tmp_path):
+    import datetime as dt
+    import __spark_entry__ as E
+    orders = [(k, dt.datetime(1993 + k, 2, 3, k)) for k in range(4)] + [(9, dt.datetime(1993, 2, 3, 20)), (10, None)]
+    lines = [(k, p, "N") for k, _ in orders for p in ((1, 2) if k != 9 else (3, 3))] + [(3, None, "N"), (77, 5, "N")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.target, r.candidate): (r.commit_count, r["rank"]) for r in E.queries()["cochange_uncapped"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): (4, 1), (2, 1): (4, 1), (1, 3): (1, 2), (2, 3): (1, 2), (3, 1): (1, 1), (3, 2): (1, 2)}
